@@ -27,7 +27,7 @@ def non_empty(col) -> Column:
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Trimmed lower-case column names without byte-order mark, trimmed values."""
-    renamed = df.toDF(*[name.strip().lstrip("﻿").lower() for name in df.columns])
+    renamed = df.toDF(*[name.strip().lstrip("\ufeff").lower() for name in df.columns])
     return renamed.select(*[strip(F.col(f"`{name}`")).alias(name) for name in renamed.columns])
 
 

@@ -9,8 +9,8 @@ from ..constants import (
 )
 from .columns import as_column, strip
 
-UNICODE_WHITESPACE = " \t\n\r\x0b\x0c\x85   "
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+UNICODE_WHITESPACE = " \t\n\r\x0b\x0c\x85\u1680\u2028\u2029"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 @F.arrow_udf("string")
