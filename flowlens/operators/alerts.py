@@ -168,13 +168,21 @@ def first_per_key(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
 
 
 def new_alerts(batch: DataFrame, existing: DataFrame, keys: list[str] = ALERT_KEY) -> DataFrame:
-    """Rows of `batch` whose key is not stored yet; a blank window id never matches."""
+    """Rows of `batch` whose key is not stored yet; a blank window id never matches.
+
+    The stored table is first cut down to the keys of the batch, so a small batch
+    is sent to the large table and never the other way round.
+    """
     stored = existing.filter(F.length("window_id") > 0).select(*keys)
-    return batch.join(stored, keys, "left_anti")
+    met = stored.join(broadcast_if_small(batch.select(*keys)), keys, "left_semi")
+    return batch.join(met, keys, "left_anti")
+
+
+def last_id(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
-def _next_ids(rows: DataFrame, existing: DataFrame, order_by: list[str]) -> DataFrame:
-    last = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+def _next_ids(rows: DataFrame, last: int, order_by: list[str]) -> DataFrame:
     indexed = with_row_index(rows, order_by)
     return indexed.withColumn("id", F.col("row_index") + 1 + last).drop("row_index")
 
@@ -210,14 +218,15 @@ def incoming_alerts(batch: DataFrame) -> DataFrame:
     return merged.unionByName(blank)
 
 
-def added_alerts(existing: DataFrame, incoming: DataFrame, now) -> DataFrame:
-    """New rows for the alert table, with ids after the largest stored one."""
+def added_alerts(existing: DataFrame, incoming: DataFrame, now, last: int | None = None) -> DataFrame:
+    """New rows for the alert table, with ids after `last`, by default the largest stored id."""
+    last = last_id(existing) if last is None else last
     fresh = new_alerts(incoming, existing)
     stamped = fresh.withColumn(
         "triggered", F.coalesce(F.col("triggered"), F.col("model_score") >= F.col("threshold"))
     ).withColumns({"created_at": F.lit(now).cast("timestamp"), "updated_at": F.lit(now).cast("timestamp")})
     order = ["arrival", "timestamp", "window_id", "model_type", "model_score"]
-    return _columns(_next_ids(stamped, existing, order), "alerts")
+    return _columns(_next_ids(stamped, last, order), "alerts")
 
 
 def backfilled_explanations(existing: DataFrame, incoming: DataFrame, now) -> DataFrame:
@@ -226,7 +235,7 @@ def backfilled_explanations(existing: DataFrame, incoming: DataFrame, now) -> Da
         (F.length("window_id") > 0) & (F.length("explanation_summary") > 0)
     ).select(*ALERT_KEY, F.col("explanation_summary").alias("_text"))
     lacking = existing.filter(F.coalesce(F.length("explanation_summary"), F.lit(0)) == 0)
-    matched = lacking.select("id", *ALERT_KEY).join(offered, ALERT_KEY)
+    matched = lacking.select("id", *ALERT_KEY).join(broadcast_if_small(offered), ALERT_KEY)
     # Only the first stored row of a key is filled in.
     return matched.groupBy(*ALERT_KEY).agg(F.min("id").alias("id"), F.first("_text").alias("explanation_summary")) \
         .select("id", "explanation_summary", F.lit(now).cast("timestamp").alias("updated_at"))
@@ -277,7 +286,7 @@ def update_investigations(investigations: DataFrame, changes: DataFrame, now) ->
 def append_audit(audit: DataFrame, actions: DataFrame, now) -> DataFrame:
     """Adds one audit row per action (`user_id`, `action`, `target`, optional `details`)."""
     stamped = actions.withColumn("created_at", F.lit(now).cast("timestamp"))
-    return audit.unionByName(_columns(_next_ids(stamped, audit, ["action", "target", "user_id"]), "audit_log"))
+    return audit.unionByName(_columns(_next_ids(stamped, last_id(audit), ["action", "target", "user_id"]), "audit_log"))
 
 
 def ingest_actions(alerts: DataFrame) -> DataFrame:
@@ -306,7 +315,7 @@ def create_investigations(investigations: DataFrame, new: DataFrame, alerts: Dat
     stamped = rows.withColumns({"created_at": at, "updated_at": at})
     order = [c for c in ("alert_id", "user_id", "status", "notes") if c in stamped.columns]
     return investigations.unionByName(
-        _columns(_next_ids(stamped, investigations, order), "alert_investigations")
+        _columns(_next_ids(stamped, last_id(investigations), order), "alert_investigations")
     )
 
 
@@ -369,8 +378,7 @@ def register_model(models: DataFrame, manifest: DataFrame, now, activate: bool =
         )).alias("model_metadata"),
         F.lit(now).cast("timestamp").alias("created_at"),
     )
-    last = models.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    row = row.withColumn("id", F.lit(last.first()[0] + 1))
+    row = row.withColumn("id", F.lit(last_id(models) + 1))
     if activate:
         kind = row.select("model_type").first()[0]
         models = models.withColumn("active", F.when(F.col("model_type") == kind, False).otherwise(F.col("active")))

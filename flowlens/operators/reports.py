@@ -116,18 +116,25 @@ def credibility_warnings(label_sources: list[str], structured_f1_mean: float | N
 def request_rollup(
     requests: DataFrame, window: str = "5 minutes", slide: str = "1 minute", ts_ms: str = "ts_ms",
 ) -> DataFrame:
-    """Sliding request rate, 5xx and 200 rates per second and mean latency in ms per endpoint."""
-    frame = F.window(F.timestamp_millis(ts_ms), window, slide)
-    seconds = (F.unix_millis("w.end") - F.unix_millis("w.start")) / F.lit(1000.0)
-    counted = requests.groupBy(frame.alias("w"), "endpoint").agg(
+    """Sliding request rate, 5xx and 200 rates per second and mean latency in ms per endpoint.
+
+    Requests are summed per slide step first, so only the sums are copied into the
+    overlapping windows. `window` must be a multiple of `slide`.
+    """
+    step = F.window(F.timestamp_millis(ts_ms), slide)
+    steps = requests.groupBy(step["start"].alias("step"), "endpoint").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status").between(500, 599)).alias("errors"),
         F.count_if(F.col("status") == 200).alias("successes"),
-        F.avg("duration_s").alias("mean_s"),
+        F.sum("duration_s").alias("busy_s"), F.count("duration_s").alias("timed"),
+    )
+    seconds = (F.unix_millis("w.end") - F.unix_millis("w.start")) / F.lit(1000.0)
+    frames = steps.groupBy(F.window("step", window, slide).alias("w"), "endpoint").agg(
+        *[F.sum(c).alias(c) for c in ("n", "errors", "successes", "busy_s", "timed")]
     )
-    return counted.select(
+    return frames.select(
         F.unix_millis("w.start").alias("window_start_ms"), "endpoint",
         (F.col("n") / seconds).alias("request_rate"), (F.col("errors") / seconds).alias("error_rate"),
         (F.col("successes") / seconds).alias("success_rate"),
-        (F.col("mean_s") * 1000).alias("mean_latency_ms"),
+        (F.try_divide(F.col("busy_s"), F.col("timed")) * 1000).alias("mean_latency_ms"),
     )
