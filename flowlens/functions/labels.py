@@ -13,11 +13,22 @@ from ..schemas import TAG_SCHEMA
 from .columns import as_column, clean_count_map, non_empty, parse_label, strip
 
 
-def nested_objects(window) -> list[Column]:
-    """The window, then its nested objects in probe order; a missing object is a null struct."""
+def tagged_objects(window) -> Column:
+    """The window and its nested objects in probe order, as an array of label and family fields.
+
+    Each object held as JSON text is parsed once; a missing object is a null entry.
+    """
     w = as_column(window)
-    texts = [F.from_json(w[key], TAG_SCHEMA) for key in NESTED_OBJECT_KEYS if key != "metadata"]
-    return [w, w["metadata"], *texts]
+    fields = lambda obj: F.struct(*[obj[key].alias(key) for key in TAG_SCHEMA.fieldNames()])
+    metadata = F.when(w["metadata"].isNotNull(), fields(w["metadata"]))
+    parsed = [F.from_json(w[key], TAG_SCHEMA) for key in NESTED_OBJECT_KEYS if key != "metadata"]
+    return F.array_compact(F.array(fields(w), metadata, *parsed))
+
+
+def _tags(window, keys: tuple[str, ...]) -> Column:
+    """All non-null values under `keys`, object by object, in key order."""
+    values = F.transform(tagged_objects(window), lambda obj: F.array(*[obj[key] for key in keys]))
+    return F.filter(F.flatten(values), lambda value: value.isNotNull())
 
 
 def _total(counts: Column, words: tuple[str, ...]) -> Column:
@@ -28,8 +39,8 @@ def _total(counts: Column, words: tuple[str, ...]) -> Column:
 def metadata_label(window) -> Column:
     """Label found in the window's own fields, its nested objects or its simulation counts."""
     w = as_column(window)
-    tags = F.array_compact(F.array(*[obj[key] for obj in nested_objects(w) for key in LABEL_KEYS]))
-    tagged = F.get(F.filter(F.transform(tags, parse_label), lambda x: x.isNotNull()), 0)
+    parsed = F.transform(_tags(w, LABEL_KEYS), parse_label)
+    tagged = F.get(F.filter(parsed, lambda x: x.isNotNull()), 0)
 
     malicious = F.coalesce(w["simulation_malicious_event_count"], F.lit(-1))
     benign = F.coalesce(w["simulation_benign_event_count"], F.lit(-1))
@@ -104,7 +115,7 @@ def attack_family_candidates(window) -> Column:
         listed = F.from_json(value, T.ArrayType(T.StringType()))
         return F.when(F.startswith(value, F.lit("[")), listed).otherwise(F.array(value))
 
-    texts = F.array_compact(F.array(*[obj[key] for obj in nested_objects(w) for key in FAMILY_KEYS]))
+    texts = _tags(w, FAMILY_KEYS)
     counted = [
         F.map_keys(F.map_filter(clean_count_map(w[key]), lambda _, v: v > 0)) for key in FAMILY_MAP_KEYS
     ]

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import (
     CONTROL_CHARACTERS, IDENTIFIER_PATTERN, PLACEHOLDER_MARKERS, SECRET_PATTERNS, SENSITIVE_KEYS,
@@ -13,7 +13,7 @@ UNICODE_WHITESPACE = " \t\n\r\x0b\x0c\x85\u1680\u2028\u2029"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc(values: pa.Array) -> pa.Array:
     return pc.utf8_normalize(values, form="NFKC")
 

@@ -3,23 +3,45 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import CATEGORY_FIELDS, FEATURE_SCHEMA, NUMERIC_FIELDS, OPTIONAL_TEXT_FIELDS
-from ..functions.columns import as_column, category, clean_count_map, fixed_text, non_empty, safe_ratio, strip
+from ..functions.columns import category, clean_count_map, fixed_text, non_empty, safe_ratio, strip
 from ..session import prepare
 
 STATS = ("total", "unique", "peak", "mean", "std", "concentration")
 MAP_PREFIXES = ("source_ip", "destination_ip", "proto", "service", "state")
 
 
-def map_stats(counts: Column) -> dict[str, Column]:
-    """Total, distinct keys, peak, mean, population deviation and peak share; all 0 when empty."""
+def map_stats(counts: Column) -> Column:
+    """Total, distinct keys, peak, mean, population deviation and peak share, in the order of `STATS`.
+
+    All are 0 for an empty map. The one-element `transform`s compute total and mean once
+    per row, where a plain column expression would be repeated in each use.
+    """
+    def with_mean(values: Column, total: Column, mean: Column) -> Column:
+        size = F.size(values).cast("double")
+        spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+        peak = F.coalesce(F.array_max(values), F.lit(0)).cast("double")
+        return F.array(total, size, peak, mean, F.sqrt(safe_ratio(spread, size)), safe_ratio(peak, total))
+
     values = F.map_values(counts)
-    size = F.size(values).cast("double")
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    mean = safe_ratio(total, size)
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    peak = F.coalesce(F.array_max(values), F.lit(0)).cast("double")
-    numbers = (total, size, peak, mean, F.sqrt(safe_ratio(spread, size)), safe_ratio(peak, total))
-    return dict(zip(STATS, numbers))
+    bound = F.transform(F.array(F.struct(values.alias("v"), total.alias("t"))), lambda s: F.transform(
+        F.array(safe_ratio(s["t"], F.size(s["v"]))), lambda mean: with_mean(s["v"], s["t"], mean))[0])
+    return bound[0]
+
+
+def _cell(name: Column, value: Column) -> Column:
+    return F.struct(name.alias("key"), value.cast("double").alias("value"))
+
+
+def _count_cells(prefix: str, counts: Column, total: Column) -> Column:
+    def pair(e):
+        key = F.coalesce(non_empty(e["key"]), F.lit("unknown"))
+        return F.array(
+            _cell(F.concat(F.lit(f"{prefix}="), key), e["value"]),
+            _cell(F.concat(F.lit(f"{prefix}_rate="), key), safe_ratio(e["value"], total)),
+        )
+
+    return F.flatten(F.transform(F.array_sort(F.map_entries(counts)), pair))
 
 
 def sparse_count_features(prefix: str, counts: Column) -> Column:
@@ -28,116 +50,120 @@ def sparse_count_features(prefix: str, counts: Column) -> Column:
     Keys are trimmed; when two keys fall together the one sorting last wins.
     """
     total = F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, v: acc + v)
-    entries = F.array_sort(F.map_entries(counts))
-    name = lambda e: F.coalesce(non_empty(e["key"]), F.lit("unknown"))
-    sizes = F.transform(entries, lambda e: F.struct(
-        F.concat(F.lit(f"{prefix}="), name(e)).alias("key"), e["value"].cast("double").alias("value")))
-    rates = F.transform(entries, lambda e: F.struct(
-        F.concat(F.lit(f"{prefix}_rate="), name(e)).alias("key"), safe_ratio(e["value"], total).alias("value")))
-    return F.map_from_entries(F.concat(sizes, rates))
+    return F.map_from_entries(_count_cells(prefix, counts, total))
+
+
+PARTS = "_p_"
+
+
+def part(name: str) -> Column:
+    return F.col(PARTS + name)
+
+
+def _with_parts(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """Adds helper columns, each computed once per row whatever its number of uses.
+
+    They are top-level columns: Spark copies the fields of a helper struct into every use.
+    """
+    return df.withColumns({PARTS + name: value for name, value in parts.items()})
+
+
+def _without_parts(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(PARTS)])
 
 
 def _with_flow_parts(df: DataFrame, window: str) -> DataFrame:
-    """Adds the struct `_p`: cleaned counts, categories and derived numbers of each window."""
+    """Adds cleaned counts, categories and derived numbers of each window as helper columns."""
     w = F.col(window)
-    cats = {name: category(w[name]) for name in CATEGORY_FIELDS}
 
     def or_single(counts: Column, key: Column) -> Column:
         single = F.when(F.length(key) > 0, F.create_map(key, F.lit(1).cast("bigint")))
         return F.when(F.size(counts) > 0, counts).otherwise(F.coalesce(single, counts))
 
-    maps = {
-        "source_ip": or_single(clean_count_map(w["counts_by_source_ip"]), strip(w["srcip"])),
-        "destination_ip": or_single(clean_count_map(w["counts_by_destination_ip"]), strip(w["dstip"])),
-        **{n: or_single(clean_count_map(w[f"counts_by_{n}"]), cats[n]) for n in CATEGORY_FIELDS},
-    }
-    number = {n: F.coalesce(w[n], F.lit(0.0)) for n in ("sbytes", "dbytes", "spkts", "dpkts", "dur")}
     events = F.greatest(F.lit(1).cast("bigint"), F.coalesce(w["event_count"], F.lit(1).cast("bigint")))
-    first = df.withColumn("_p", F.struct(
-        events.cast("double").alias("event_count"),
-        *[c.alias(n) for n, c in cats.items()],
-        *[c.alias(f"{n}_counts") for n, c in maps.items()],
-        *[c.alias(n) for n, c in number.items()],
-    ))
-    p = F.col("_p")
-    bytes_total, packets_total = p["sbytes"] + p["dbytes"], p["spkts"] + p["dpkts"]
-    seconds = F.greatest(p["dur"], F.lit(1e-6))
-    unique = {
-        n: F.coalesce(w[f"unique_{n}_count"], F.size(p[f"{n}_counts"]).cast("bigint")).cast("double")
-        for n in MAP_PREFIXES
-    }
-    return first.withColumn("_d", F.struct(
-        bytes_total.alias("bytes_total"),
-        packets_total.alias("packets_total"),
-        (p["sbytes"] / F.greatest(bytes_total, F.lit(1.0))).alias("sbytes_ratio"),
-        (p["spkts"] / F.greatest(packets_total, F.lit(1.0))).alias("spkts_ratio"),
-        (bytes_total / F.greatest(packets_total, F.lit(1.0))).alias("bytes_per_packet"),
-        (packets_total / seconds).alias("packets_per_second"),
-        (bytes_total / seconds).alias("bytes_per_second"),
-        *[F.greatest(F.lit(0.0), c).alias(f"unique_{n}_count") for n, c in unique.items()],
-        (unique["source_ip"] / p["event_count"]).alias("source_ip_spread"),
-        (unique["destination_ip"] / p["event_count"]).alias("destination_ip_spread"),
-    ))
-
-
-DERIVED = (
+    first = _with_parts(df, {
+        "event_count": events.cast("double"),
+        **{n: category(w[n]) for n in CATEGORY_FIELDS},
+        **{n: F.coalesce(w[n], F.lit(0.0)) for n in ("sbytes", "dbytes", "spkts", "dpkts", "dur")},
+        **{f"{n}_clean": clean_count_map(w[f"counts_by_{n}"]) for n in MAP_PREFIXES},
+    })
+    keys = {"source_ip": strip(w["srcip"]), "destination_ip": strip(w["dstip"]), **{n: part(n) for n in CATEGORY_FIELDS}}
+    second = _with_parts(first, {
+        "bytes_total": part("sbytes") + part("dbytes"), "packets_total": part("spkts") + part("dpkts"),
+        "seconds": F.greatest(part("dur"), F.lit(1e-6)),
+        **{f"{n}_counts": or_single(part(f"{n}_clean"), keys[n]) for n in MAP_PREFIXES},
+    })
+    return _with_parts(second, {
+        "sbytes_ratio": part("sbytes") / F.greatest(part("bytes_total"), F.lit(1.0)),
+        "spkts_ratio": part("spkts") / F.greatest(part("packets_total"), F.lit(1.0)),
+        "bytes_per_packet": part("bytes_total") / F.greatest(part("packets_total"), F.lit(1.0)),
+        "packets_per_second": part("packets_total") / part("seconds"),
+        "bytes_per_second": part("bytes_total") / part("seconds"),
+        **{f"{n}_distinct": F.coalesce(w[f"unique_{n}_count"], F.size(part(f"{n}_counts")).cast("bigint")).cast("double")
+           for n in MAP_PREFIXES},
+    })
+
+
+RATIOS = (
     "bytes_total", "packets_total", "sbytes_ratio", "spkts_ratio", "bytes_per_packet",
-    "packets_per_second", "bytes_per_second", *[f"unique_{n}_count" for n in MAP_PREFIXES],
-    "source_ip_spread", "destination_ip_spread",
+    "packets_per_second", "bytes_per_second",
 )
 
 
+def _spread(prefix: str) -> Column:
+    return part(f"{prefix}_distinct") / part("event_count")
+
+
 def flow_features(df: DataFrame, window: str = "window", output: str = "features") -> DataFrame:
     """Adds the sparse feature map of each flow window; missing numeric fields are left out.
 
     A category's count replaces its one-hot value, because both share the name `proto=x`.
     """
     prepare(df.sparkSession)
-    parts = _with_flow_parts(df, window)
-    w, p, d = F.col(window), F.col("_p"), F.col("_d")
-    fixed = {
-        "event_count": p["event_count"],
-        **{name: w[name] for name in NUMERIC_FIELDS},
-        **{name: d[name] for name in DERIVED},
+    w = F.col(window)
+    parts = _with_parts(
+        _with_flow_parts(df, window), {f"{n}_stats": map_stats(part(f"{n}_counts")) for n in MAP_PREFIXES}
+    )
+    numeric = F.array(*[_cell(F.lit(name), w[name]) for name in NUMERIC_FIELDS])
+    always = {
+        "event_count": part("event_count"),
+        **{name: part(name) for name in RATIOS},
+        **{f"unique_{n}_count": F.greatest(F.lit(0.0), part(f"{n}_distinct")) for n in MAP_PREFIXES},
+        "source_ip_spread": _spread("source_ip"), "destination_ip_spread": _spread("destination_ip"),
+        **{f"{n}_{stat}": part(f"{n}_stats")[at] for n in MAP_PREFIXES for at, stat in enumerate(STATS)},
     }
-    for prefix in MAP_PREFIXES:
-        for stat, value in map_stats(p[f"{prefix}_counts"]).items():
-            fixed[f"{prefix}_{stat}"] = value
-    numbers = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in fixed]), F.array(*fixed.values())),
-        lambda _, v: v.isNotNull(),
+    fixed = [_cell(F.lit(name), value) for name, value in always.items()]
+    one_hot = [_cell(F.concat(F.lit(f"{n}="), part(n)), F.lit(1.0)) for n in CATEGORY_FIELDS]
+    counts = [_count_cells(n, part(f"{n}_counts"), part(f"{n}_stats")[0]) for n in CATEGORY_FIELDS]
+    cells = F.concat(
+        F.filter(numeric, lambda cell: cell["value"].isNotNull()), F.array(*fixed, *one_hot), *counts
     )
-    one_hot = F.create_map(*[
-        part for n in CATEGORY_FIELDS for part in (F.concat(F.lit(f"{n}="), p[n]), F.lit(1.0))
-    ])
-    counts = [sparse_count_features(n, p[f"{n}_counts"]) for n in CATEGORY_FIELDS]
-    return parts.withColumn(output, F.map_concat(numbers, one_hot, *counts)).drop("_p", "_d")
+    return _without_parts(parts.withColumn(output, F.map_from_entries(cells)))
 
 
 def window_text(df: DataFrame, window: str = "window", output: str = "window_text") -> DataFrame:
     """Adds the one-line text summary of each flow window; labels never enter it."""
-    parts = _with_flow_parts(df, window)
-    w, p, d = F.col(window), F.col("_p"), F.col("_d")
+    w = F.col(window)
     numbers = (
-        ("dur", p["dur"], 6), ("sbytes", p["sbytes"], 3), ("dbytes", p["dbytes"], 3),
-        ("spkts", p["spkts"], 3), ("dpkts", p["dpkts"], 3),
-        ("bytes_total", d["bytes_total"], 3), ("packets_total", d["packets_total"], 3),
-        ("bytes_per_second", d["bytes_per_second"], 3),
-        ("packets_per_second", d["packets_per_second"], 3),
-        ("source_ip_spread", d["source_ip_spread"], 3),
-        ("destination_ip_spread", d["destination_ip_spread"], 3),
+        ("dur", part("dur"), 6), ("sbytes", part("sbytes"), 3), ("dbytes", part("dbytes"), 3),
+        ("spkts", part("spkts"), 3), ("dpkts", part("dpkts"), 3),
+        ("bytes_total", part("bytes_total"), 3), ("packets_total", part("packets_total"), 3),
+        ("bytes_per_second", part("bytes_per_second"), 3), ("packets_per_second", part("packets_per_second"), 3),
+        ("source_ip_spread", _spread("source_ip"), 3), ("destination_ip_spread", _spread("destination_ip"), 3),
     )
     optional = tuple((name, w[name], 3) for name in OPTIONAL_TEXT_FIELDS)
-    rendered = parts.withColumn("_t", fixed_text(*[(c, n) for _, c, n in numbers + optional]))
-    text = lambda at: F.col("_t")[at]
+    rendered = _with_parts(
+        _with_flow_parts(df, window), {"texts": fixed_text(*[(c, n) for _, c, n in numbers + optional])}
+    )
+    text = lambda at: part("texts")[at]
     pieces = [F.lit(f"feature_schema={FEATURE_SCHEMA}"),
-              F.concat(F.lit("event_count="), p["event_count"].cast("bigint").cast("string"))]
+              F.concat(F.lit("event_count="), part("event_count").cast("bigint").cast("string"))]
     pieces += [F.concat(F.lit(f"{name}="), text(at)) for at, (name, _, _) in enumerate(numbers)]
-    pieces += [F.concat(F.lit(f"{name}="), p[name]) for name in CATEGORY_FIELDS]
+    pieces += [F.concat(F.lit(f"{name}="), part(name)) for name in CATEGORY_FIELDS]
     pieces += [
         F.concat(F.lit(f"{name}="), text(at)) for at, (name, _, _) in enumerate(optional, len(numbers))
     ]
-    return rendered.withColumn(output, F.concat_ws(" ", *pieces)).drop("_p", "_d", "_t")
+    return _without_parts(rendered.withColumn(output, F.concat_ws(" ", *pieces)))
 
 
 def _key_counts(events: DataFrame, time: Column, dims: dict[str, str]) -> DataFrame:

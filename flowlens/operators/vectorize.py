@@ -106,7 +106,7 @@ def ngrams(text) -> Column:
     words = F.regexp_extract_all(F.lower(as_column(text)), F.lit(TOKEN), F.lit(1))
     pairs = F.greatest(F.size(words) - 1, F.lit(0))
     neighbors = F.zip_with(
-        F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b)
+        F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs), lambda a, b: F.concat(a, F.lit(" "), b)
     )
     return F.concat(words, neighbors)
 
