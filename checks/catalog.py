@@ -473,7 +473,7 @@ FEATURES_SQL = _features_sql()
 
 @op("f3_flow_features", f"WITH {FEATURES_SQL} SELECT flow_id, name, value FROM features")
 def _(spark, sf):
-    return FE.flow_features(records(spark, sf)).select("flow_id", F.explode("features").alias("name", "value"))
+    return FE.flow_features(records(spark, sf)).select("flow_id", F.explode_outer("features").alias("name", "value"))
 
 
 @op("f4_window_text", """
@@ -535,3 +535,789 @@ def _(spark, sf):
     w = FE.build_windows(table(spark, sf, "events"), 3_600_000, {"type": "event_type", "user": "user_id"})
     return w.select("id", "window_start_ms", "window_end_ms", "event_count", flat("counts_by_type").alias("types"),
                     "unique_type_count", "unique_user_count", flat("counts_by_user").alias("users"))
+
+
+# --- joins, window functions, lists --------------------------------------------------------
+
+COEFFICIENTS = (("bytes_total", -0.0001), ("packets_total", 0.02), ("sbytes_ratio", 0.5), ("proto=tcp", 0.3), ("proto=udp", -0.2),
+                ("service=error", 1.1), ("service=view", -0.7), ("state=con", 0.05), ("dur", -0.01), ("unused", 3.0))
+COEF_SQL = "coef(feature, coefficient) AS (VALUES " + ", ".join(f"('{n}', {c:.6f}::DOUBLE)" for n, c in COEFFICIENTS) + ")"
+CONTRIB_SQL = f"""{FEATURES_SQL}, {COEF_SQL}, contrib AS (SELECT flow_id, f.name AS feature, value AS feature_value, coefficient,
+  abs(value * coefficient) AS importance_score FROM features f JOIN coef ON f.name = coef.feature WHERE value <> 0)"""
+TOP_SQL = """top AS (SELECT flow_id, CAST(row_number() OVER (PARTITION BY flow_id ORDER BY importance_score DESC, feature) AS INTEGER) AS rank, feature,
+  importance_score, CASE WHEN coefficient > 0 THEN 'increases_threat' ELSE 'decreases_threat' END AS contribution, feature_value FROM contrib)"""
+
+
+def _coefficients(spark):
+    return spark.createDataFrame(list(COEFFICIENTS), "feature string, coefficient double")
+
+
+def _featured(spark, sf):
+    return FE.flow_features(records(spark, sf)).select("flow_id", "features")
+
+
+@op("j1_route_by_family", """
+SELECT flow_id, CASE WHEN attack_cat = 'DoS' THEN 'network_dos' ELSE 'global' END AS routed_model,
+  CASE WHEN attack_cat = 'DoS' THEN 0.3e0 ELSE 0.5e0 END AS threshold FROM flows""")
+def _(spark, sf):
+    table_ = spark.createDataFrame([("network_dos", 0.3, True), ("network_recon", 0.2, False)], "family string, threshold double, has_model boolean")
+    f = view(spark, sf, "flows").select("flow_id", L.family_name("attack_cat").alias("family"))
+    return A.route_by_family(f, table_, 0.5).select("flow_id", "routed_model", "threshold")
+
+
+@op("j2_alert_investigations", "SELECT i.id, alert_id, user_id, status, created_ms FROM investigations i WHERE alert_id IN (SELECT id FROM alerts WHERE triggered) ORDER BY created_ms DESC, i.id DESC")
+def _(spark, sf):
+    alerts = view(spark, sf, "alerts").filter("triggered")
+    inv = stored_investigations(spark, sf)
+    return A.alert_investigations(alerts, inv).select("id", "alert_id", "user_id", "status", F.unix_millis("created_at").alias("created_ms"))
+
+
+@op("j3_new_alerts", "SELECT id, window_id FROM alerts WHERE NOT (triggered AND model_score < 0.8e0)")
+def _(spark, sf):
+    a = view(spark, sf, "alerts")
+    return A.new_alerts(a, a.filter("triggered and model_score < 0.8D")).select("id", "window_id")
+
+
+@op("j4_feature_contributions", f"WITH {CONTRIB_SQL} SELECT flow_id, feature, feature_value, coefficient, importance_score FROM contrib")
+def _(spark, sf):
+    return E.feature_contributions(_featured(spark, sf), _coefficients(spark), "flow_id")
+
+
+@op("w1_top_k_features", f"WITH {CONTRIB_SQL}, {TOP_SQL} SELECT * FROM top WHERE rank <= 5")
+def _(spark, sf):
+    return E.top_k_features(E.feature_contributions(_featured(spark, sf), _coefficients(spark), "flow_id"), 5, "flow_id")
+
+
+@op("ml8_explain_linear", f"WITH {CONTRIB_SQL}, {TOP_SQL} SELECT * FROM top WHERE rank <= 3")
+def _(spark, sf):
+    top = E.explain_linear(_featured(spark, sf), dict(COEFFICIENTS), 3)
+    return top.select("flow_id", F.posexplode("top_features").alias("at", "t")).select("flow_id", (F.col("at") + 1).alias("rank"), "t.*")
+
+
+@op("ml5_score_linear", f"""
+WITH {FEATURES_SQL}, {COEF_SQL}, sums AS (SELECT flow_id, sum(value * coefficient) AS s FROM features JOIN coef ON name = feature GROUP BY flow_id)
+SELECT flow_id, round(1.0e0 / (1.0e0 + exp(-(COALESCE(s, 0.0e0) + 0.25e0))), 9) AS score FROM flows LEFT JOIN sums USING (flow_id)""")
+def _(spark, sf):
+    scored = E.score_linear(_featured(spark, sf), _coefficients(spark), 0.25, "flow_id")
+    return scored.select("flow_id", F.round("score", 9).alias("score"))
+
+
+@op("ml12_constant_baseline", "SELECT flow_id, 0.0e0 AS score, CAST(0 AS INTEGER) AS prediction, 'always_normal' AS model FROM flows")
+def _(spark, sf):
+    return ML.constant_baseline(view(spark, sf, "flows").select("flow_id"))
+
+
+MODEL_SQL = """m AS (SELECT model_type AS model, bool_or(triggered) AS available, model_type = 'distilbert' AS requested,
+  round(avg(threshold), 6) AS threshold FROM alerts GROUP BY model_type)"""
+
+
+@op("ml17_model_info", f"""
+WITH {MODEL_SQL} SELECT 'distilbert' AS active_model, 'structured_baseline,tfidf_fallback,distilbert' AS available_models,
+  'global' AS active_threshold_mode, threshold AS active_threshold FROM m WHERE requested""")
+def _(spark, sf):
+    models = view(spark, sf, "alerts").groupBy(F.col("model_type").alias("model")).agg(
+        F.bool_or("triggered").alias("available"), F.round(F.avg("threshold"), 6).alias("threshold")
+    ).withColumn("requested", F.col("model") == "distilbert")
+    info = ML.model_info(models)
+    return info.select("active_model", F.array_join("available_models", ",").alias("available_models"), "active_threshold_mode", "active_threshold")
+
+
+MODELS_SQL = """models AS (SELECT min(id) AS id, model_type, round(avg(model_score), 6) AS accuracy, min(timestamp) AS created_ms, TRUE AS active FROM alerts GROUP BY model_type
+  UNION ALL SELECT max(id) + 10, model_type, round(max(model_score), 6), max(timestamp), FALSE FROM alerts GROUP BY model_type)"""
+
+
+def _models(spark, sf):
+    a = view(spark, sf, "alerts").groupBy("model_type")
+    old = a.agg(F.min("id").alias("id"), F.round(F.avg("model_score"), 6).alias("accuracy"), F.min("timestamp").alias("ms")).withColumn("active", F.lit(True))
+    new = a.agg((F.max("id") + 10).alias("id"), F.round(F.max("model_score"), 6).alias("accuracy"), F.max("timestamp").alias("ms")).withColumn("active", F.lit(False))
+    return A._columns(old.unionByName(new).withColumn("created_at", F.timestamp_millis("ms")), "models")
+
+
+def _model_rows(df):
+    return df.select("id", "model_type", "accuracy", "active", F.unix_millis("created_at").alias("created_ms"))
+
+
+@op("w2_active_model", f"WITH {MODELS_SQL} SELECT id, model_type, accuracy, active, created_ms FROM models WHERE active AND model_type = 'structured_baseline' ORDER BY created_ms DESC LIMIT 1")
+def _(spark, sf):
+    return _model_rows(A.active_model(_models(spark, sf)))
+
+
+@op("w3_current_status", "SELECT alert_id, arg_max(status, created_ms) AS status FROM investigations GROUP BY alert_id")
+def _(spark, sf):
+    return A.current_status(stored_investigations(spark, sf))
+
+
+@op("w4_cumulative_counts", """
+WITH c AS (SELECT score AS threshold, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM flows GROUP BY score)
+SELECT threshold, pos, neg, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp FROM c
+WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)""")
+def _(spark, sf):
+    return M.score_curve(view(spark, sf, "flows")).drop("positives", "negatives")
+
+
+@op("w5_row_index", "SELECT flow_id, row_number() OVER (ORDER BY score, flow_id) - 1 AS row_index FROM flows")
+def _(spark, sf):
+    return O.with_row_index(view(spark, sf, "flows").select("flow_id", "score"), ["score", "flow_id"]).drop("score")
+
+
+@op("w6_first_per_key", "SELECT window_id, model_type, min(timestamp) AS timestamp FROM alerts GROUP BY window_id, model_type")
+def _(spark, sf):
+    a = view(spark, sf, "alerts").select("window_id", "model_type", "timestamp")
+    return A.first_per_key(a, ["window_id", "model_type"], ["timestamp"]).select("window_id", "model_type", "timestamp")
+
+
+@op("o1_list_alerts", "SELECT id, timestamp FROM alerts WHERE model_type = 'distilbert' AND triggered ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 20")
+def _(spark, sf):
+    return A.list_alerts(view(spark, sf, "alerts"), "distilbert", True, 50, 20).select("id", "timestamp")
+
+
+@op("o2_alerts_between", "SELECT id, timestamp FROM alerts WHERE timestamp BETWEEN 1704400000000 AND 1705400000000")
+def _(spark, sf):
+    return A.alerts_between(view(spark, sf, "alerts"), 1704400000000, 1705400000000).select("id", "timestamp")
+
+
+AUDIT_SQL = "audit AS (SELECT id, user_id, 'create_investigation' AS action, 'alert:' || CAST(alert_id AS VARCHAR) AS target, created_ms FROM investigations)"
+
+
+def _audit(spark, sf):
+    inv = stored_investigations(spark, sf)
+    actions = A.investigation_actions(inv, "create_investigation")
+    return inv.select("id", "user_id", F.lit("create_investigation").alias("action"),
+                      F.concat(F.lit("alert:"), F.col("alert_id").cast("string")).alias("target"), F.lit(None).cast("string").alias("details"), "created_at")
+
+
+@op("o3_list_audit", f"WITH {AUDIT_SQL} SELECT id, user_id, action, target FROM audit WHERE user_id = 'analyst_1' ORDER BY created_ms DESC, id DESC LIMIT 100")
+def _(spark, sf):
+    return A.list_audit(_audit(spark, sf), "analyst_1").select("id", "user_id", "action", "target")
+
+
+@op("o4_list_models", f"WITH {MODELS_SQL} SELECT id, model_type, accuracy, active, created_ms FROM models WHERE active ORDER BY created_ms DESC")
+def _(spark, sf):
+    return _model_rows(A.list_models(_models(spark, sf), active=True))
+
+
+@op("o5_list_investigations", "SELECT id, alert_id, status FROM investigations WHERE status = 'resolved' ORDER BY created_ms DESC, id DESC LIMIT 30 OFFSET 10")
+def _(spark, sf):
+    return A.list_investigations(stored_investigations(spark, sf), "resolved", 30, 10).select("id", "alert_id", "status")
+
+
+@op("o6_get_by_id", "SELECT id, timestamp, window_id FROM alerts WHERE id = 123")
+def _(spark, sf):
+    return A.get_by_id(view(spark, sf, "alerts"), 123).select("id", "timestamp", "window_id")
+
+
+@op("o7_latest_incidents", "SELECT id, timestamp FROM alerts WHERE triggered ORDER BY timestamp DESC, id DESC LIMIT 3")
+def _(spark, sf):
+    return A.latest_incidents(view(spark, sf, "alerts")).select("id", "timestamp")
+
+
+@op("u1_union_sources", "SELECT flow_id, dataset_source, attack_cat FROM flows UNION ALL SELECT flow_id, 'second', NULL FROM flows")
+def _(spark, sf):
+    f = view(spark, sf, "flows").select("flow_id", "dataset_source", "attack_cat")
+    return SRC.union_sources(f, f.select("flow_id", F.lit("second").alias("dataset_source")))
+
+
+@op("u2_merge_by_id", "SELECT id, CASE WHEN triggered THEN model_score * 2.0e0 ELSE model_score END AS model_score FROM alerts")
+def _(spark, sf):
+    a = view(spark, sf, "alerts").select("id", "model_score", "triggered")
+    newer = a.filter("triggered").withColumn("model_score", F.col("model_score") * 2.0)
+    return A.merge_by_id(a, newer).select("id", "model_score")
+
+
+# --- aggregations and reports ----------------------------------------------------------------
+
+@op("a1_label_source_counts", "SELECT COALESCE(nullif(trim(label_source), ''), 'unknown') AS label_source, count(*) AS n FROM flows GROUP BY 1")
+def _(spark, sf):
+    return R.label_source_counts(view(spark, sf, "flows"))
+
+
+@op("a2_dataset_source_counts", "SELECT dataset_source, count(*) AS n FROM flows GROUP BY 1")
+def _(spark, sf):
+    return R.dataset_source_counts(view(spark, sf, "flows"))
+
+
+@op("a3_label_sources_by_dataset", "SELECT dataset_source, COALESCE(nullif(trim(label_source), ''), 'unknown') AS label_source, count(*) AS n FROM flows GROUP BY 1, 2")
+def _(spark, sf):
+    by = R.label_sources_by_dataset(view(spark, sf, "flows"))
+    return by.select("dataset_source", F.explode("label_sources").alias("label_source", "n"))
+
+
+@op("a4_feature_schemas", "SELECT DISTINCT feature_schema FROM alerts")
+def _(spark, sf):
+    return R.feature_schemas(records(spark, sf).select(C.feature_schema("window").alias("feature_schema")))
+
+
+@op("a5_class_distribution", "SELECT dataset_source, count(*) AS n, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1 FROM flows GROUP BY 1")
+def _(spark, sf):
+    return R.class_distribution(view(spark, sf, "flows"))
+
+
+@op("a6_weak_sources", "SELECT dataset_source, count(*) AS n, bool_and(COALESCE(nullif(trim(label_source), ''), 'unknown') IN ('legacy_rule', 'unknown')) AS weakly_labeled FROM flows GROUP BY 1")
+def _(spark, sf):
+    return R.weak_source_report(view(spark, sf, "flows"))
+
+
+def _metrics_sql(source, keys):
+    select = f"{keys}," if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    ratio = lambda n, d: f"(CASE WHEN {d} = 0 THEN 0.0e0 ELSE CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) END)"
+    c = {"negative_precision": ratio("tn", "(tn + fn)"), "negative_recall": ratio("tn", "(tn + fp)"), "negative_f1": ratio("2 * tn", "(2 * tn + fp + fn)"),
+         "positive_precision": ratio("tp", "(tp + fp)"), "positive_recall": ratio("tp", "(tp + fn)"), "positive_f1": ratio("2 * tp", "(2 * tp + fp + fn)")}
+    n = "(tn + fp + fn + tp)"
+    seen = "(CASE WHEN tn + fp + fn > 0 THEN 1 ELSE 0 END + CASE WHEN tp + fp + fn > 0 THEN 1 ELSE 0 END)"
+    truth = "(CASE WHEN tn + fp > 0 THEN 1 ELSE 0 END + CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END)"
+    cells = [f"{v} AS {k}" for k, v in c.items()]
+    for m in ("precision", "recall", "f1"):
+        cells.append(ratio(f"({c['negative_' + m]} + {c['positive_' + m]})", seen) + f" AS macro_{m}")
+        cells.append(ratio(f"({c['negative_' + m]} * (tn + fp) + {c['positive_' + m]} * (fn + tp))", n) + f" AS weighted_{m}")
+    cells += [ratio("(tn + tp)", n) + " AS accuracy", ratio(f"({c['negative_recall']} + {c['positive_recall']})", truth) + " AS balanced_accuracy",
+              "tn + fp AS negative_support", "fn + tp AS positive_support", f"{n} AS n_samples", "tn", "fp", "fn", "tp"]
+    return (f"q AS (SELECT {select} count(*) FILTER (label = 0 AND p = 0) AS tn, count(*) FILTER (label = 0 AND p = 1) AS fp, "
+            f"count(*) FILTER (label = 1 AND p = 0) AS fn, count(*) FILTER (label = 1 AND p = 1) AS tp FROM {source} {group}) SELECT {select} {', '.join(cells)} FROM q")
+
+
+PREDICTED = "pr AS (SELECT *, CASE WHEN score >= 0.5e0 THEN 1 ELSE 0 END AS p FROM flows)"
+
+
+def _predicted(spark, sf):
+    return view(spark, sf, "flows").withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+
+
+@op("a7_classification_metrics", f"WITH {PREDICTED}, {_metrics_sql('pr', 'dataset_source')}")
+def _(spark, sf):
+    return M.classification_metrics(_predicted(spark, sf), by=("dataset_source",)).drop("confusion_matrix")
+
+
+@op("a7_metrics_all", f"WITH {PREDICTED}, {_metrics_sql('pr', '')}")
+def _(spark, sf):
+    return M.classification_metrics(_predicted(spark, sf)).drop("confusion_matrix")
+
+
+CURVE_SQL = """c AS (SELECT score AS threshold, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM flows GROUP BY score),
+cum AS (SELECT *, CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS tp,
+  CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS fp, CAST(sum(pos) OVER () AS DOUBLE) AS np, CAST(sum(neg) OVER () AS DOUBLE) AS nn FROM c)"""
+
+
+@op("a8_roc_auc", f"WITH {CURVE_SQL} SELECT round(sum(neg * (tp - pos / 2.0e0)) / (max(np) * max(nn)), 9) AS roc_auc FROM cum")
+def _(spark, sf):
+    return M.roc_auc(view(spark, sf, "flows")).select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@op("a9_average_precision", f"WITH {CURVE_SQL} SELECT round(sum(pos * (tp / (tp + fp))) / max(np), 9) AS average_precision FROM cum")
+def _(spark, sf):
+    return M.average_precision(view(spark, sf, "flows")).select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@op("a9_ranking_by_source", """
+WITH c AS (SELECT dataset_source, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM flows GROUP BY ALL),
+cum AS (SELECT *, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(neg) OVER w AS DOUBLE) AS fp FROM c WINDOW w AS (PARTITION BY dataset_source ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT dataset_source, round(sum(neg * (tp - pos / 2.0e0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 9) AS roc_auc,
+  round(sum(pos * (tp / (tp + fp))) / CAST(sum(pos) AS DOUBLE), 9) AS average_precision FROM cum GROUP BY dataset_source""")
+def _(spark, sf):
+    r = M.ranking_metrics(view(spark, sf, "flows"), by=("dataset_source",))
+    return r.select("dataset_source", F.round("roc_auc", 9).alias("roc_auc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+@op("a10_pr_curve", f"WITH {CURVE_SQL} SELECT threshold, tp / (tp + fp) AS precision, tp / np AS recall, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM cum")
+def _(spark, sf):
+    return M.pr_curve(view(spark, sf, "flows"))
+
+
+F1_POS = "CASE WHEN 2 * tp + fp + np - tp = 0 THEN 0.0e0 ELSE 2 * tp / (2 * tp + (fp + np - tp)) END"
+F1_NEG = "CASE WHEN 2 * (nn - fp) + fp + np - tp = 0 THEN 0.0e0 ELSE 2 * (nn - fp) / (2 * (nn - fp) + (fp + np - tp)) END"
+
+
+@op("a11_best_threshold", f"WITH {CURVE_SQL}, o AS (SELECT threshold, ({F1_POS} + {F1_NEG}) / 2.0e0 AS objective FROM cum) SELECT threshold, objective FROM o ORDER BY objective DESC, threshold LIMIT 1")
+def _(spark, sf):
+    return M.best_threshold(view(spark, sf, "flows"))
+
+
+@op("a11_best_positive_f1", f"WITH {CURVE_SQL}, o AS (SELECT threshold, {F1_POS} AS objective FROM cum) SELECT threshold, objective FROM o ORDER BY objective DESC, threshold LIMIT 1")
+def _(spark, sf):
+    return M.best_threshold(view(spark, sf, "flows"), metric="positive_f1")
+
+
+@op("a12_summarize_folds", """
+WITH v AS (SELECT proto AS model, 'score' AS metric, round(avg(score), 6) AS value FROM flows GROUP BY proto, service)
+SELECT model, metric, count(value) AS folds, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std,
+  round(avg(value) - 1.96e0 * stddev_pop(value) / sqrt(count(value)), 4) AS ci95_low, round(avg(value) + 1.96e0 * stddev_pop(value) / sqrt(count(value)), 4) AS ci95_high
+FROM v GROUP BY ALL""")
+def _(spark, sf):
+    folds = view(spark, sf, "flows").groupBy(F.col("proto").alias("model"), F.col("service").alias("fold")).agg(F.round(F.avg("score"), 6).alias("score"))
+    return M.summarize_folds(M.long_metrics(folds, ("model", "fold"), ("score",)))
+
+
+@op("a13_alert_count", "SELECT count(*) AS n FROM alerts WHERE model_type = 'distilbert' AND triggered")
+def _(spark, sf):
+    return A.alert_count(view(spark, sf, "alerts"), "distilbert", True)
+
+
+@op("a14_alert_stats", f"""
+SELECT model_type AS model, CAST(grouping(model_type) AS INTEGER) AS is_total, count(*) AS count, round(COALESCE(avg(model_score), 0.0e0), 9) AS avg_score
+FROM alerts WHERE timestamp >= {NOW_MS} - 240 * 3600000 GROUP BY ROLLUP (model_type)""")
+def _(spark, sf):
+    s = A.alert_stats(stored_alerts(spark, sf), NOW, 240)
+    return s.withColumns({"avg_score": F.round("avg_score", 9), "is_total": F.col("is_total").cast("int")})
+
+
+TIMELINE_SQL = f"""hours AS (SELECT {NOW_MS} // 3600000 * 3600000 - h * 3600000 AS hour_ms FROM range(24) t(h))
+SELECT hour_ms, count(a.id) AS events, count(*) FILTER (a.triggered OR a.model_score >= 0.8e0) AS anomalies
+FROM hours LEFT JOIN alerts a ON a.timestamp // 3600000 * 3600000 = hour_ms GROUP BY hour_ms"""
+
+
+@op("a15_threat_timeline", f"WITH {TIMELINE_SQL}")
+def _(spark, sf):
+    return A.threat_timeline(view(spark, sf, "alerts"), NOW_MS)
+
+
+@op("a16_overview", "SELECT count(*) AS alerts_recorded, count(*) FILTER (model_score >= 0.8e0) AS high_severity_alerts FROM alerts")
+def _(spark, sf):
+    return A.overview(view(spark, sf, "alerts"))
+
+
+@op("a16_model_confidence", f"WITH {MODELS_SQL} SELECT model_type, CAST(floor(accuracy * 100 + 0.5e0) AS BIGINT) AS model_confidence FROM models")
+def _(spark, sf):
+    return A.model_confidence(_models(spark, sf))
+
+
+@op("a17_hourly_performance", "SELECT timestamp // 3600000 * 3600000 AS hour_timestamp, model_type, count(*) AS alert_count, round(avg(model_score), 9) AS avg_score FROM alerts GROUP BY 1, 2")
+def _(spark, sf):
+    return A.hourly_performance(view(spark, sf, "alerts")).withColumn("avg_score", F.round("avg_score", 9))
+
+
+@op("a18_quality_gate", f"""
+WITH {PREDICTED}, h AS (SELECT * FROM pr WHERE dataset_source = 'src_b'), {_metrics_sql('h', '').replace('q AS', 'q AS', 1).split(') SELECT')[0]}),
+m AS (SELECT 2.0e0 * tp / (2 * tp + fp + fn) AS f1, CAST(tn AS DOUBLE) / (tn + fp) AS r FROM q),
+codes AS (SELECT concat_ws(',', CASE WHEN f1 < 0.6e0 THEN 'holdout_structured_positive_f1_below_threshold' END,
+  CASE WHEN r < 0.4e0 THEN 'holdout_negative_recall_below_threshold' END) AS blocker_codes, f1, r FROM m)
+SELECT blocker_codes = '' AS promotion_ready, blocker_codes, (SELECT count(DISTINCT dataset_source) FROM flows) AS dataset_source_count,
+  f1 AS holdout_structured_positive_f1, r AS holdout_negative_recall FROM codes""")
+def _(spark, sf):
+    rows = _predicted(spark, sf)
+    metrics = M.classification_metrics(rows.filter("dataset_source = 'src_b'"))
+    provenance = rows.groupBy("dataset_source", R._source("label_source").alias("label_source")).agg(F.count(F.lit(1)).alias("n"))
+    g = R.quality_gate(metrics, provenance, "src_b")
+    return g.select("promotion_ready", F.array_join("blocker_codes", ",").alias("blocker_codes"), "dataset_source_count",
+                    "holdout_structured_positive_f1", "holdout_negative_recall")
+
+
+@op("a19_comparison_summary", """
+WITH m AS (SELECT model_type AS model, round(avg(model_score), 6) AS accuracy, round(max(model_score), 6) AS positive_f1, round(sum(model_score) / 1000.0e0, 6) AS latency_ms FROM alerts GROUP BY 1),
+p AS (SELECT max(accuracy) FILTER (model = 'structured_baseline') - max(accuracy) FILTER (model = 'tfidf_fallback') AS a,
+  max(positive_f1) FILTER (model = 'structured_baseline') - max(positive_f1) FILTER (model = 'tfidf_fallback') AS f,
+  max(latency_ms) FILTER (model = 'distilbert') / greatest(max(latency_ms) FILTER (model = 'structured_baseline'), 0.001e0) AS r FROM m)
+SELECT round(a, 4) AS accuracy_delta, round(f, 4) AS f1_delta, round(r, 1) AS latency_ratio FROM p""")
+def _(spark, sf):
+    m = view(spark, sf, "alerts").groupBy(F.col("model_type").alias("model")).agg(
+        F.round(F.avg("model_score"), 6).alias("accuracy"), F.round(F.max("model_score"), 6).alias("positive_f1"),
+        F.round(F.sum("model_score") / 1000.0, 6).alias("latency_ms"))
+    return M.comparison_summary(m)
+
+
+@op("a20_credibility_warnings", """
+SELECT label_source, count(*) AS n, label_source IN ('legacy_rule', 'unknown') AS weak FROM (SELECT COALESCE(nullif(trim(label_source), ''), 'unknown') AS label_source FROM flows) t GROUP BY 1""")
+def _(spark, sf):
+    counts = R.label_source_counts(view(spark, sf, "flows"))
+    weak = F.col("label_source").isin(*[s for s in ("legacy_rule", "unknown") if R.credibility_warnings([s], None, "none", "none")])
+    return counts.withColumn("weak", weak)
+
+
+@op("a21_request_rollup", """
+WITH k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k), w AS (SELECT (ts_ms // 60000 - k) * 60000 AS window_start_ms, r.* FROM requests r, k)
+SELECT window_start_ms, endpoint, count(*) / 300.0e0 AS request_rate, count(*) FILTER (status >= 500 AND status < 600) / 300.0e0 AS error_rate,
+  count(*) FILTER (status = 200) / 300.0e0 AS success_rate, round(avg(duration_s) * 1000, 6) AS mean_latency_ms FROM w GROUP BY 1, 2""")
+def _(spark, sf):
+    return R.request_rollup(view(spark, sf, "requests")).withColumn("mean_latency_ms", F.round("mean_latency_ms", 6))
+
+
+# --- splits -------------------------------------------------------------------------------------
+
+def _labeled(spark, sf):
+    f = view(spark, sf, "flows")
+    return f.select("flow_id", F.col("flow_id").cast("string").alias("id"), F.col("start_ms").alias("window_start_ms"),
+                    F.col("end_ms").alias("window_end_ms"), "label", "dataset_source", "srcip")
+
+
+@op("sp1_time_split", """
+WITH o AS (SELECT flow_id, row_number() OVER (ORDER BY start_ms, end_ms, CAST(flow_id AS VARCHAR)) - 1 AS r, count(*) OVER () AS n FROM flows)
+SELECT flow_id, CASE WHEN r < greatest(1, least(n - 1, CAST(round_even(n * (1 - 0.2e0), 0) AS BIGINT))) THEN 'train' ELSE 'test' END AS side FROM o""")
+def _(spark, sf):
+    s = S.time_split(_labeled(spark, sf))
+    return s.train.select("flow_id", F.lit("train").alias("side")).unionByName(s.test.select("flow_id", F.lit("test").alias("side")))
+
+
+@op("sp2_stratified_split", """
+WITH c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM flows GROUP BY label),
+t AS (SELECT *, ceil(total * 0.2e0) AS want, floor(ceil(total * 0.2e0) * n / total) AS base, ceil(total * 0.2e0) * n / total - floor(ceil(total * 0.2e0) * n / total) AS rest FROM c),
+x AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= want - sum(base) OVER () THEN 1 ELSE 0 END AS test FROM t)
+SELECT label, 'test' AS side, CAST(test AS BIGINT) AS n FROM x UNION ALL SELECT label, 'train', CAST(n - test AS BIGINT) FROM x""")
+def _(spark, sf):
+    train, test = S.stratified_split(_labeled(spark, sf))
+    count = lambda df, side: df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.lit(side).alias("side"), "n")
+    return count(train, "train").unionByName(count(test, "test"))
+
+
+@op("sp3_holdout_split", "SELECT CASE WHEN dataset_source = 'src_b' THEN 'test' ELSE 'train' END AS side, label, count(*) AS n FROM flows GROUP BY 1, 2")
+def _(spark, sf):
+    s = S.holdout_split(_labeled(spark, sf), "src_b")
+    count = lambda df, side: df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "label", "n")
+    return count(s.train, "train").unionByName(count(s.test, "test"))
+
+
+@op("sp4_repeated_folds", """
+WITH c AS (SELECT label, count(*) AS n FROM flows GROUP BY label)
+SELECT CAST(r AS INTEGER) AS repeat, CAST(f AS INTEGER) AS fold, label, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n FROM c, range(2) a(r), range(5) b(f)""")
+def _(spark, sf):
+    folded = S.repeated_stratified_folds(_labeled(spark, sf), 5, 2)
+    return folded.select("label", F.posexplode("folds").alias("repeat", "fold")).groupBy("repeat", "fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@op("sp5_group_folds", """
+SELECT CAST(r AS INTEGER) AS repeat, CAST(0 AS BIGINT) AS split_groups, (SELECT count(*) FROM flows) AS n, CAST(5 AS BIGINT) AS folds FROM range(2) a(r)""")
+def _(spark, sf):
+    folded = S.stratified_group_folds(_labeled(spark, sf), "srcip", 5, 2)
+    each = folded.select("srcip", F.posexplode("folds").alias("repeat", "fold")).groupBy("repeat", "srcip").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fold").alias("low"), F.max("fold").alias("high"))
+    return each.groupBy("repeat").agg(F.count_if(F.col("low") != F.col("high")).alias("split_groups"), F.sum("n").alias("n"),
+                                      F.count_distinct("low").alias("folds"))
+
+
+@op("sp6_group_key", "SELECT flow_id, 'campaign_signature' AS chosen, COALESCE(campaign, 'unknown') AS group_key FROM records")
+def _(spark, sf):
+    rec = records(spark, sf)
+    chosen = S.default_group_by(rec)
+    return rec.select("flow_id", F.lit(chosen).alias("chosen"), S.group_key("window", chosen).alias("group_key"))
+
+
+# --- table merges -------------------------------------------------------------------------------
+
+def _table_rows(df, *cols):
+    return df.select(*cols, F.unix_millis("created_at").alias("created_ms"), F.unix_millis("updated_at").alias("updated_ms"))
+
+
+@op("m1_merge_alerts", f"""
+SELECT id, timestamp, window_id, model_type, model_score, triggered, COALESCE(explanation_summary, 'late note') AS explanation_summary,
+  timestamp AS created_ms, CASE WHEN explanation_summary IS NULL THEN {NOW_MS} ELSE timestamp END AS updated_ms FROM alerts WHERE triggered
+UNION ALL SELECT (SELECT max(id) FROM alerts WHERE triggered) + row_number() OVER (ORDER BY timestamp, window_id, model_type), timestamp, window_id, model_type,
+  model_score, triggered, 'late note', {NOW_MS}, {NOW_MS} FROM alerts WHERE NOT triggered""")
+def _(spark, sf):
+    a = stored_alerts(spark, sf)
+    batch = a.select("timestamp", "window_id", "model_type", "feature_schema", "model_score", "threshold",
+                     F.lit("late note").alias("explanation_summary"), F.col("timestamp").alias("arrival"))
+    again = batch.withColumns({"model_score": F.lit(0.99), "arrival": F.col("arrival") + 1, "explanation_summary": F.lit("other")})
+    merged = A.merge_alerts(A._columns(a.filter("triggered"), "alerts"), batch.unionByName(again), NOW)
+    return _table_rows(merged, "id", "timestamp", "window_id", "model_type", "model_score", "triggered", "explanation_summary")
+
+
+@op("m2_update_alerts", f"""
+SELECT id, CASE WHEN triggered THEN 'reviewed' ELSE explanation_summary END AS explanation_summary, triggered,
+  CASE WHEN triggered THEN {NOW_MS} ELSE timestamp END AS updated_ms FROM alerts""")
+def _(spark, sf):
+    a = stored_alerts(spark, sf)
+    changes = a.filter("triggered").select("id", F.lit("reviewed").alias("explanation_summary"), F.lit(None).cast("boolean").alias("triggered"))
+    return A.update_alerts(a, changes, NOW).select("id", "explanation_summary", "triggered", F.unix_millis("updated_at").alias("updated_ms"))
+
+
+@op("m3_append_audit", f"""
+WITH {AUDIT_SQL} SELECT id, user_id, action, target FROM audit
+UNION ALL SELECT (SELECT max(id) FROM audit) + row_number() OVER (ORDER BY 'alert:' || CAST(id AS VARCHAR)), 'system:alert-router', 'model_alert_ingested', 'alert:' || CAST(id AS VARCHAR) FROM alerts""")
+def _(spark, sf):
+    return A.append_audit(_audit(spark, sf), A.ingest_actions(view(spark, sf, "alerts")), NOW).select("id", "user_id", "action", "target")
+
+
+@op("m4_register_model", f"""
+WITH {MODELS_SQL} SELECT id, model_type, accuracy, active AND model_type <> 'structured_baseline' AS active, created_ms FROM models
+UNION ALL SELECT (SELECT max(id) FROM models) + 1, 'structured_baseline', (SELECT round(avg(score), 6) FROM flows), TRUE, {NOW_MS}""")
+def _(spark, sf):
+    manifest = view(spark, sf, "flows").agg(F.round(F.avg("score"), 6).alias("a"), F.count(F.lit(1)).alias("n_samples")).select(
+        F.lit("ensemble").alias("model_type"), F.lit(7).alias("feature_version"), F.lit("network_flow_v1").alias("feature_text"), "n_samples",
+        F.struct(F.struct(F.col("a").alias("accuracy"), F.col("a").alias("positive_f1")).alias("structured_baseline")).alias("metrics"))
+    return _model_rows(A.register_model(_models(spark, sf), manifest, NOW, activate=True))
+
+
+@op("m5_set_active_model", f"WITH {MODELS_SQL}, pick AS (SELECT max(id) AS id FROM models) SELECT m.id, model_type, accuracy, CASE WHEN model_type = (SELECT model_type FROM models WHERE id = (SELECT id FROM pick)) THEN m.id = (SELECT id FROM pick) ELSE active END AS active, created_ms FROM models m")
+def _(spark, sf):
+    models = _models(spark, sf)
+    return _model_rows(A.set_active_model(models, A.last_id(models)))
+
+
+@op("m6_create_investigations", """
+SELECT id, alert_id, user_id, status FROM investigations
+UNION ALL SELECT (SELECT max(id) FROM investigations) + row_number() OVER (ORDER BY id), id, 'analyst_9', 'open' FROM alerts""")
+def _(spark, sf):
+    a = view(spark, sf, "alerts")
+    new = a.select(F.col("id").alias("alert_id")).unionByName(a.select((F.col("id") + 10_000_000_000).alias("alert_id"))).withColumns(
+        {"user_id": F.lit("analyst_9"), "status": F.lit(None).cast("string"), "notes": F.lit("n")})
+    return A.create_investigations(stored_investigations(spark, sf), new, a, NOW).select("id", "alert_id", "user_id", "status")
+
+
+@op("m7_update_investigations", f"""
+SELECT id, CASE WHEN status = 'open' THEN 'resolved' ELSE status END AS status, notes,
+  CASE WHEN status = 'open' THEN {NOW_MS} ELSE created_ms END AS updated_ms FROM investigations""")
+def _(spark, sf):
+    inv = stored_investigations(spark, sf)
+    changes = inv.filter("status = 'open'").select("id", F.lit("resolved").alias("status"), F.lit("").alias("notes"))
+    return A.update_investigations(inv, changes, NOW).select("id", "status", "notes", F.unix_millis("updated_at").alias("updated_ms"))
+
+
+# --- models -----------------------------------------------------------------------------------------
+
+_DETECTORS = {}
+
+
+def _resolved(spark, sf):
+    return P.resolve_records(records(spark, sf))
+
+
+def _detector(spark, sf):
+    """One training run per session and table size, shared by the queries below."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DETECTORS:
+        _DETECTORS[key] = P.train(records(spark, sf), "src_b", max_iter=30)
+    return _DETECTORS[key]
+
+
+def _coefficient_rows(spark, model):
+    return spark.createDataFrame(list(model.coefficients().items()), "feature string, coefficient double")
+
+
+@op("ml1_fit_structured")
+def _(spark, sf):
+    return _coefficient_rows(spark, ML.fit_structured(_resolved(spark, sf), weight="weight", max_iter=10))
+
+
+@op("ml2_fit_text")
+def _(spark, sf):
+    return _coefficient_rows(spark, ML.fit_text(_resolved(spark, sf), weight="weight", max_iter=10))
+
+
+_SCORED = ("id", "model", "score", "threshold", "prediction")
+
+
+@op("ml3_score_structured")
+def _(spark, sf):
+    return ML.score_structured(records(spark, sf), _detector(spark, sf)).select(*_SCORED)
+
+
+@op("ml4_score_text")
+def _(spark, sf):
+    return ML.score_text(records(spark, sf), _detector(spark, sf)).select(*_SCORED)
+
+
+def _make_length_model():
+    import numpy as np
+
+    def predict(texts):
+        size = np.array([len(t) for t in texts], dtype=np.float64)
+        return np.stack([np.zeros_like(size), (size - 10) / 10], axis=1)
+
+    return predict
+
+
+@op("ml6_score_external", """
+SELECT flow_id, round(1.0e0 / (1.0e0 + exp(-((length(proto || service || state) - 10) / 10.0e0))), 9) AS score, 'distilbert' AS model, 0.5e0 AS threshold,
+  CASE WHEN length(proto || service || state) >= 10 THEN 1 ELSE 0 END AS prediction FROM flows""")
+def _(spark, sf):
+    f = view(spark, sf, "flows").select("flow_id", F.concat("proto", "service", "state").alias("text"))
+    scored = ML.score_external(f, _make_length_model)
+    return scored.select("flow_id", F.round("score", 9).alias("score"), "model", "threshold", "prediction")
+
+
+@op("ml7_score_with_fallback", "SELECT CAST(flow_id AS VARCHAR) AS id, 'structured_baseline' AS model FROM flows")
+def _(spark, sf):
+    available = ML.scorers(_detector(spark, sf))
+    return ML.score_with_fallback(records(spark, sf), available, "distilbert").select("id", "model")
+
+
+TERM_COEFFICIENTS = (("the", 0.5), ("and", -0.3), ("of", 0.2), ("in", -0.9), ("die", 1.5), ("der", -0.4), ("le", 0.8), ("la", -0.6), ("que", 0.7), ("of the", 2.0))
+
+
+@op("ml9_explain_text", f"""
+WITH {TERMS_SQL}, top AS (SELECT * FROM stats ORDER BY corpus_count DESC, term LIMIT 1500),
+raw AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1.0e0 + (SELECT count(*) FROM documents)) / (1 + doc_count)) + 1) AS v FROM counts JOIN top USING (term)),
+wt AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS w FROM raw),
+coef(term, c) AS (VALUES {', '.join(f"('{t}', {c}::DOUBLE)" for t, c in TERM_COEFFICIENTS)}),
+ranked AS (SELECT doc_id, term AS feature, abs(w * c) AS i, c, row_number() OVER (PARTITION BY doc_id ORDER BY abs(w * c) DESC, term) AS r FROM wt JOIN coef USING (term))
+SELECT doc_id, CAST(r AS INTEGER) AS rank, feature, round(i, 6) AS importance_score, CASE WHEN c > 0 THEN 'increases_threat' ELSE 'decreases_threat' END AS contribution FROM ranked WHERE r <= 5""")
+def _(spark, sf):
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    weighted = NgramTfidf("text", "tfidf").fit(docs).weights(docs)
+    top = E.explain_linear(weighted, dict(TERM_COEFFICIENTS), 5, "term_weights").select("doc_id", F.posexplode_outer("top_features").alias("at", "t"))
+    return top.filter("at is not null").select("doc_id", (F.col("at") + 1).alias("rank"), "t.feature",
+                                               F.round("t.importance_score", 6).alias("importance_score"), "t.contribution")
+
+
+@op("ml10_explain_occlusion", """
+WITH t AS (SELECT flow_id, concat(proto, ' ', service, ' ', state, ' ', raw_label) AS text FROM flows),
+tok AS (SELECT DISTINCT flow_id, text, unnest(str_split_regex(text, '\\s+')) AS token FROM t),
+imp AS (SELECT flow_id, token, (length(text) % 13) / 13.0e0 AS base, (length(text) % 13) / 13.0e0 - (length(replace(text, token, '')) % 13) / 13.0e0 AS impact FROM tok WHERE token <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY abs(impact) DESC, token) AS rank FROM imp)
+SELECT flow_id, CAST(rank AS INTEGER) AS rank, token, impact AS impact_score, CASE WHEN impact > 0 THEN 'increases_threat' ELSE 'decreases_threat' END AS contribution, base AS base_prediction FROM r WHERE rank <= 3""")
+def _(spark, sf):
+    texts = view(spark, sf, "flows").select("flow_id", F.concat_ws(" ", "proto", "service", "state", "raw_label").alias("text"))
+    scorer = lambda df: df.withColumn("score", (F.length("text") % 13) / F.lit(13.0))
+    return E.explain_occlusion(texts, scorer, 3, "flow_id")
+
+
+@op("ml11_score_with_explanation")
+def _(spark, sf):
+    rows = ML.score_with_explanation(records(spark, sf), _detector(spark, sf))
+    return rows.select("id", "score", "prediction", F.posexplode_outer("top_features").alias("rank", "t")).select("id", "score", "prediction", "rank", "t.*")
+
+
+@op("j5_compare_models", "SELECT CAST(flow_id AS VARCHAR) AS id, unnest(['structured_baseline', 'tfidf_fallback', 'distilbert']) AS model FROM flows")
+def _(spark, sf):
+    rows = FE.window_text(records(spark, sf))
+    return ML.compare_models(rows, ML.scorers(_detector(spark, sf), _make_length_model)).select("id", "model")
+
+
+def _report_rows(spark, metrics):
+    rows = [(m, k, float(v)) for m, r in metrics.items() for k, v in r.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    return spark.createDataFrame(rows, "model string, metric string, value double")
+
+
+@op("ml13_train")
+def _(spark, sf):
+    return _report_rows(spark, P.train(records(spark, sf), "src_b", max_iter=20).manifest["metrics"])
+
+
+@op("ml14_evaluate")
+def _(spark, sf):
+    return _report_rows(spark, P.evaluate(records(spark, sf), _detector(spark, sf))["comparisons"])
+
+
+@op("ml15_compare")
+def _(spark, sf):
+    report = P.compare(records(spark, sf), ML.scorers(_detector(spark, sf), _make_length_model))
+    return _report_rows(spark, {m: report[m] for m in ("structured_baseline", "tfidf_fallback", "distilbert")})
+
+
+@op("ml16_credibility")
+def _(spark, sf):
+    summary = P.credibility(records(spark, sf), folds=2, repeats=1, max_iter=5)["summary"]
+    return _report_rows(spark, {f"{m}/{k}": v for m, r in summary.items() for k, v in r.items()})
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+
+def _fresh(spark, name):
+    import uuid
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _drain(spark, stream, mode="append"):
+    """Runs a stream over all waiting input and returns what it wrote."""
+    path = _fresh(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-check").outputMode(mode)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@op("src3_window_stream", "SELECT CAST(flow_id AS VARCHAR) AS id, start_ms AS window_start_ms, proto, sbytes FROM flows")
+def _(spark, sf):
+    rows = _drain(spark, SRC.read_window_stream(spark, _jsonl(spark, sf)))
+    return rows.select("id", "window_start_ms", "window.proto", "window.sbytes")
+
+
+def _value_score(df):
+    """The score of the flow view, from the bytes of the window."""
+    value = F.col("window.sbytes") / 100.0
+    return df.withColumns({"score": value / (value + 20.0), "model": F.lit("structured_baseline"), "threshold": F.lit(0.5)})
+
+
+ALERT_SQL = """hits AS (SELECT end_ms AS timestamp, CAST(flow_id AS VARCHAR) AS window_id, 'structured_baseline' AS model_type, 1 AS model_label,
+  0.6e0 AS threshold, round(sbytes / 100.0e0 / (sbytes / 100.0e0 + 20.0e0), 9) AS model_score FROM flows WHERE sbytes / 100.0e0 / (sbytes / 100.0e0 + 20.0e0) >= 0.6e0)"""
+
+
+def _detected(spark, sf):
+    sink = _fresh(spark, "alerts")
+    windows = SRC.read_window_stream(spark, _jsonl(spark, sf))
+    ST.detect_stream(windows, None, sink, sink + "-check", 0.6, _value_score, available_now=True).awaitTermination()
+    return sink
+
+
+@op("st1_detect_stream", f"WITH {ALERT_SQL} SELECT * FROM hits")
+def _(spark, sf):
+    rows = SRC.parse_alerts(spark.read.text(_detected(spark, sf)))
+    return rows.select("timestamp", "window_id", "model_type", "model_label", "threshold", F.round("model_score", 9).alias("model_score"))
+
+
+@op("src4_alert_stream", f"WITH {ALERT_SQL} SELECT timestamp, window_id, model_type FROM hits")
+def _(spark, sf):
+    return _drain(spark, SRC.read_alert_stream(spark, _detected(spark, sf))).select("timestamp", "window_id", "model_type")
+
+
+@op("snk2_write_alerts", f"WITH {ALERT_SQL} SELECT timestamp, window_id, model_type FROM hits")
+def _(spark, sf):
+    path = _fresh(spark, "alerts-batch")
+    SRC.write_alerts(ST.detect(records(spark, sf), None, threshold=0.6, scorer=_value_score), path)
+    return SRC.parse_alerts(spark.read.text(path)).select("timestamp", "window_id", "model_type")
+
+
+def _persisted(spark, sf):
+    store = AlertStore(spark, _fresh(spark, "live-store"))
+    alerts = SRC.read_alert_stream(spark, _detected(spark, sf))
+    ST.persist_stream(alerts, store, store.root + "-check", NOW, available_now=True).awaitTermination()
+    return store
+
+
+@op("st2_persist_stream", f"WITH {ALERT_SQL} SELECT row_number() OVER (ORDER BY timestamp, window_id, model_type) AS id, timestamp, window_id, model_type, TRUE AS triggered FROM hits")
+def _(spark, sf):
+    return _persisted(spark, sf).load("alerts").select("id", "timestamp", "window_id", "model_type", "triggered")
+
+
+@op("st3_export_stream", f"""
+SELECT concat(CAST(start_ms AS VARCHAR), '-', CAST(end_ms AS VARCHAR)) AS id, COALESCE({META_LABEL}, 0) AS label,
+  CASE WHEN {META_LABEL} IS NULL THEN 'low' ELSE 'high' END AS label_quality_tier FROM records""")
+def _(spark, sf):
+    path = _fresh(spark, "export")
+    ST.export_stream(SRC.read_window_stream(spark, _jsonl(spark, sf), "earliest"), path, path + "-check").awaitTermination()
+    return spark.read.schema("id string, label int, label_quality_tier string").json(path)
+
+
+@op("st4_feed_stream", f"WITH {ALERT_SQL}, n AS (SELECT row_number() OVER (ORDER BY timestamp, window_id, model_type) AS id, window_id FROM hits) SELECT id, window_id FROM n WHERE id > 10")
+def _(spark, sf):
+    return _drain(spark, ST.feed_stream(spark, _persisted(spark, sf), 10)).select("id", "window_id")
+
+
+@op("st5_window_stream", """
+WITH e AS (SELECT epoch_us(ts) // 1000 AS ms, event_type FROM events), last AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS mark FROM events)
+SELECT ms // 3600000 * 3600000 AS window_start_ms, count(*) AS event_count, count(DISTINCT event_type) AS unique_type_count FROM e
+WHERE ms // 3600000 * 3600000 + 3600000 <= (SELECT mark FROM last) GROUP BY 1""")
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
+    windows = ST.build_windows_stream(stream, 3_600_000, {"type": "event_type"}, "10 minutes")
+    return _drain(spark, windows).select("window_start_ms", "event_count", "unique_type_count")
+
+
+@op("st6_rate_limit_audit")
+def _(spark, sf):
+    requests = view(spark, sf, "requests")
+    return rate_limit_audit(requests, 10, 3600, "endpoint").groupBy("endpoint", "accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@op("st6_rate_limit_stream")
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
+    requests = stream.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return _drain(spark, ST.rate_limit_stream(requests, 10, 3600)).groupBy("key", "accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
+@op("src6_manifest", "SELECT count(*) AS n_samples, round(avg(score), 6) AS accuracy FROM flows")
+def _(spark, sf):
+    path = _fresh(spark, "manifest")
+    report = view(spark, sf, "flows").agg(F.count(F.lit(1)).alias("n_samples"), F.struct(F.round(F.avg("score"), 6).alias("accuracy")).alias("metrics"))
+    SRC.write_report(report, path)
+    return SRC.read_manifest(spark, path).select("n_samples", "metrics.accuracy")
+
+
+# --- the flagship query ------------------------------------------------------------------------------------
+
+def flagship(spark, sf):
+    """Windows → features → linear score → alerts → hourly timeline of the last day."""
+    scored = E.score_linear(FE.flow_features(records(spark, sf)), _coefficients(spark), 0.25, "flow_id")
+    alerts = scored.select(F.col("flow_id").alias("id"), F.col("window_end_ms").alias("timestamp"), F.col("score").alias("model_score"),
+                           (F.col("score") >= 0.5).alias("triggered"))
+    return A.threat_timeline(alerts, NOW_MS)

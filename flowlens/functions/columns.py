@@ -155,6 +155,11 @@ def parse_explanation(col) -> Column:
     return F.coalesce(F.transform(parts, pair), F.array().cast("array<struct<key:string,value:string>>"))
 
 
+def opaque(udf):
+    """Keeps the optimizer from copying a Python function into inferred filters, which would run it twice."""
+    return udf.asNondeterministic()
+
+
 def fixed_text(*numbers: tuple[Column, int | None]) -> Column:
     """Texts of (column, digits) pairs as one array, in C `%.nf` rounding.
 
@@ -177,7 +182,7 @@ def fixed_text(*numbers: tuple[Column, int | None]) -> Column:
         offsets = np.arange(0, rows * len(columns) + 1, len(columns), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(texts.ravel(), pa.string()))
 
-    return render(*[c.cast("double") for c, _ in numbers])
+    return opaque(render)(*[c.cast("double") for c, _ in numbers])
 
 
 def alert_explanation(window, model_type, score, texts: Column) -> Column:

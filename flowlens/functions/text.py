@@ -75,8 +75,9 @@ def secret_scan(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
         F.when(assigned, F.struct(F.lit("assignment").alias("kind"), key.alias("name"))),
     )
     return (
-        lines.select(*keep, (F.col("_at") + 1).alias("line_no"), F.explode(F.array_compact(findings)).alias("f"))
-        .select(*keep, "line_no", "f.kind", "f.name")
+        # `explode` would add a filter that runs every pattern a second time.
+        lines.select(*keep, (F.col("_at") + 1).alias("line_no"), F.explode_outer(F.array_compact(findings)).alias("f"))
+        .filter(F.col("f").isNotNull()).select(*keep, "line_no", "f.kind", "f.name")
     )
 
 

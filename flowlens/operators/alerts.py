@@ -92,7 +92,7 @@ def alert_stats(alerts: DataFrame, now, hours: int = 24) -> DataFrame:
     since = F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))
     return (
         alerts.filter(F.col("created_at") >= since)
-        .rollup(F.col("model_type").alias("model"))
+        .select(F.col("model_type").alias("model"), "model_score").rollup("model")
         .agg(
             F.grouping("model").alias("is_total"), F.count(F.lit(1)).alias("count"),
             F.coalesce(F.avg("model_score"), F.lit(0.0)).alias("avg_score"),

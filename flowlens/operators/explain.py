@@ -17,7 +17,8 @@ def feature_contributions(
 
     `coefficients` has `feature` and `coefficient`.
     """
-    cells = df.select(id_col, F.explode(features).alias("feature", "feature_value"))
+    # `explode` would add a filter on the map's size that computes the map a second time.
+    cells = df.select(id_col, F.explode_outer(features).alias("feature", "feature_value"))
     return (
         cells.filter(F.col("feature_value") != 0)
         .join(broadcast_if_small(coefficients), "feature")

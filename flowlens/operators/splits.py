@@ -7,7 +7,7 @@ narrow sort keys are shuffled and the wide rows are filtered where they are.
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import GROUP_KEYS
 from ..functions.columns import as_column, non_empty
@@ -203,7 +203,7 @@ def stratified_group_folds(
     for repeat in range(repeats):
         fold = f"_fold{repeat}"
         placed = _place_heavy(heavy_rows, group, k, seed + repeat, pos_total, neg_total)
-        schema = df.select(group).schema.add(fold, "int")
+        schema = df.select(group).schema.add(fold, T.IntegerType())
         table = df.sparkSession.createDataFrame(placed, schema)
         if has_light:
             mix = F.round(F.col("_pos") / F.col("_n"), 2).alias("_mix")

@@ -10,7 +10,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import as_column
+from ..functions.columns import as_column, opaque
 
 
 def lookup_values(keys: Column, table: dict[str, float]) -> Column:
@@ -24,7 +24,7 @@ def lookup_values(keys: Column, table: dict[str, float]) -> Column:
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(_offsets(lengths), numbers.take(places))
 
-    return look_up(keys)
+    return opaque(look_up)(keys)
 
 
 def _offsets(lengths: np.ndarray) -> pa.Array:
@@ -68,9 +68,10 @@ class SparseFeatureVectorizer(Estimator, HasInputCol, HasOutputCol, DefaultParam
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _fit(self, dataset: DataFrame) -> "SparseFeatureVectorizerModel":
-        names = dataset.select(F.explode(F.map_keys(self.getInputCol())).alias("name")).distinct()
+        # `explode` would add a filter on the map's size that computes the map a second time.
+        names = dataset.select(F.explode_outer(F.map_keys(self.getInputCol())).alias("name")).distinct()
         # A linear model keeps one coefficient per name on the driver in any case.
-        found = [r[0] for r in names.orderBy("name").collect()]
+        found = sorted(r[0] for r in names.collect() if r[0] is not None)
         model = SparseFeatureVectorizerModel(self.getInputCol(), self.getOutputCol())
         return model._set(vocabulary=found)
 
@@ -95,7 +96,7 @@ class SparseFeatureVectorizerModel(
             return _sparse_vectors(len(keys), len(names), row[order], index[order], value[order])
 
         source = F.col(self.getInputCol())
-        return dataset.withColumn(self.getOutputCol(), to_vector(F.map_keys(source), F.map_values(source)))
+        return dataset.withColumn(self.getOutputCol(), opaque(to_vector)(F.map_keys(source), F.map_values(source)))
 
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
@@ -123,8 +124,9 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
     ))
     sorted_terms = df.select(F.sort_array(ngrams(text)).alias("_terms"))
     return (
-        sorted_terms.select(F.explode(first(F.col("_terms"))).alias("t")).select("t.*")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("doc_count"))
+        # `explode` would add a size filter that builds and sorts the terms a second time.
+        sorted_terms.select(F.explode_outer(first(F.col("_terms"))).alias("t")).select("t.*")
+        .filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("doc_count"))
     )
 
 
@@ -185,7 +187,7 @@ class NgramTfidfModel(
         def to_vector(terms: pa.Array) -> pa.Array:
             return _sparse_vectors(len(terms), len(names), *weigh(terms))
 
-        return dataset.withColumn(self.getOutputCol(), to_vector(self._known_terms()))
+        return dataset.withColumn(self.getOutputCol(), opaque(to_vector)(self._known_terms()))
 
     def weights(self, dataset: DataFrame, output: str = "term_weights") -> DataFrame:
         """Adds the weights as a map term → weight."""
@@ -197,4 +199,4 @@ class NgramTfidfModel(
             offsets = _offsets(np.bincount(row, minlength=len(terms)))
             return pa.MapArray.from_arrays(offsets, names.take(pa.array(index)), pa.array(weight))
 
-        return dataset.withColumn(output, to_map(self._known_terms()))
+        return dataset.withColumn(output, opaque(to_map)(self._known_terms()))

@@ -80,15 +80,20 @@ def read_records(spark: SparkSession, paths: str | list[str], max_samples: int =
         parts = [
             with_file_row_index(spark.read.text(path)).withColumn("_at", F.lit(at)) for at, path in enumerate(paths)
         ]
-        lines = parts[0]
-        for part in parts[1:]:
-            lines = lines.unionByName(part)
-        accepted = lines.filter(_is_object(F.col("value")))
+        accepted = union_sources(*parts).filter(_is_object(F.col("value")))
         first = accepted.orderBy("_at", "_path", "row_index").limit(max_samples)
         records = parse_records(first, "value", "_path")
     return records.withColumn("dataset_source", file_stem(F.col("_path"))).drop("_path")
 
 
+def union_sources(*sources: DataFrame) -> DataFrame:
+    """All rows of all sources; columns a source lacks are null."""
+    union = sources[0]
+    for source in sources[1:]:
+        union = union.unionByName(source, allowMissingColumns=True)
+    return union
+
+
 def _messages(spark: SparkSession, source: str, starting: str, options: dict) -> DataFrame:
     if source == "kafka":
         settings = {"startingOffsets": starting, **options}

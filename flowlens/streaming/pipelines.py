@@ -1,5 +1,6 @@
 """The streaming forms: detection, alert persistence, export, feed, windows, rate limit."""
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +48,7 @@ def build_alerts(scored: DataFrame, threshold: float | None = None, timestamp_ms
 
 
 def detect(
-    records: DataFrame, detector: Detector, now_ms: int = 0, threshold: float | None = None,
+    records: DataFrame, detector: Detector | None, now_ms: int = 0, threshold: float | None = None,
     timestamp_ms: int | None = None, scorer=None,
 ) -> DataFrame:
     """Records to alert messages; the same plan on a batch and on a stream. No shuffle is needed."""
@@ -57,10 +58,13 @@ def detect(
     return build_alerts(scored, threshold, timestamp_ms)
 
 
-def detect_stream(windows: DataFrame, detector: Detector, sink: str, checkpoint: str, threshold=None, scorer=None, **options):
+def detect_stream(
+    windows: DataFrame, detector: Detector | None, sink: str, checkpoint: str, threshold: float | None = None,
+    scorer=None, available_now: bool = False, **options,
+):
     """Starts detection on a window stream, writing alerts to Kafka or to JSONL files."""
     alerts = detect(windows, detector, threshold=threshold, scorer=scorer)
-    return _start(alerts, sink, checkpoint, options)
+    return _start(alerts, sink, checkpoint, options, available_now)
 
 
 def _start(rows: DataFrame, sink: str, checkpoint: str, options: dict, available_now: bool = False):
@@ -142,17 +146,18 @@ def rate_limit_stream(
     )
 
     def enforce(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        times = deque(state.get[0] if state.exists else ())
         # One key's rows of one micro-batch; the source's batch size bounds them.
         for batch in [pd.concat(list(batches)).sort_values(["ts_ms", "request_id"])]:
             accepted = []
             for t in batch["ts_ms"]:
-                times = [old for old in times if old > t - width]
+                while times and times[0] <= t - width:
+                    times.popleft()
                 accepted.append(len(times) < limit)
                 if accepted[-1]:
                     times.append(int(t))
             yield batch.assign(accepted=accepted)[["request_id", "key", "ts_ms", "accepted"]]
-        state.update((times,))
+        state.update((list(times),))
 
     return rows.groupBy("key").applyInPandasWithState(
         enforce, "request_id long, key string, ts_ms long, accepted boolean", "times array<long>",
