@@ -63,23 +63,28 @@ def window_label(window) -> Column:
     )
 
 
+def resolved_label(label, window_label_value: Column) -> Column:
+    """Record label, else the given label of its window, else 0."""
+    return F.coalesce(parse_label(label), window_label_value, F.lit(0))
+
+
 def record_label(label, window) -> Column:
-    return F.coalesce(parse_label(label), metadata_label(window), F.lit(0))
+    return resolved_label(label, metadata_label(window))
+
+
+def resolved_source(source, label, window_label_value: Column) -> Column:
+    """Explicit source; without one, only a label found in the window counts as ground truth."""
+    from_window = as_column(label).isNull() & window_label_value.isNotNull()
+    return F.coalesce(non_empty(source), F.when(from_window, "dataset_ground_truth").otherwise("unknown"))
 
 
 def label_source(source, label, window) -> Column:
-    return F.coalesce(
-        non_empty(source),
-        F.when(as_column(label).isNotNull() | metadata_label(window).isNull(), "unknown")
-        .otherwise("dataset_ground_truth"),
-    )
+    return resolved_source(source, label, metadata_label(window))
 
 
 def _lookup(key: Column, table: dict, default) -> Column:
-    found = F.lit(default)
-    for name, value in table.items():
-        found = F.when(key == name, F.lit(value)).otherwise(found)
-    return found
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 
 
 def source_tier(source) -> Column:

@@ -8,6 +8,7 @@ from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.labels import threat_family
+from ..session import materialize
 from .explain import explain_linear
 from .features import flow_features, window_text
 from .vectorize import NgramTfidf, NgramTfidfModel, SparseFeatureVectorizer, SparseFeatureVectorizerModel
@@ -85,18 +86,21 @@ def fit_linear(
     unscaled features; the intercept is not penalized.
     """
     w = F.col(weight) if weight else F.lit(1.0)
+    # Many passes follow: written once, each reads vectors instead of computing them, and a
+    # lost executor costs a read.
+    rows = materialize(df.select(F.col(vector), F.col(label).cast("int").alias("_y"), w.alias("_u")))
     sums = {
-        r["y"]: (r["n"], r["w"]) for r in df.groupBy(F.col(label).cast("int").alias("y"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w")).collect()
+        r["_y"]: (r["n"], r["w"])
+        for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n"), F.sum("_u").alias("w")).collect()
     }
     if set(sums) != {0, 1}:
         raise ValueError("fitting needs rows of both classes")
     n = sums[0][0] + sums[1][0]
     balance = {y: n / (2 * count) for y, (count, _) in sums.items()}
     total = sum(balance[y] * weight_sum for y, (_, weight_sum) in sums.items())
-    weighted = df.select(
-        F.col(vector), F.col(label).cast("double").alias("_y"),
-        (F.when(F.col(label) == 1, balance[1]).otherwise(balance[0]) * w).alias("_w"),
+    weighted = rows.select(
+        vector, F.col("_y").cast("double").alias("_y"),
+        (F.when(F.col("_y") == 1, balance[1]).otherwise(balance[0]) * F.col("_u")).alias("_w"),
     )
     return LogisticRegression(
         featuresCol=vector, labelCol="_y", weightCol="_w", regParam=1.0 / (C * total),
