@@ -432,7 +432,7 @@ SERVICE_STATS = """svc AS (SELECT *, CASE WHEN flow_id % 2 = 0 THEN 3.0e0 ELSE 1
 def _(spark, sf):
     counts = F.coalesce(F.col("window.counts_by_service"), F.create_map(F.col("window.service"), F.lit(1).cast("bigint")))
     names = ("total", "uniq", "peak", "mean", "sd", "concentration")
-    stats = records(spark, sf).select("flow_id", FE.map_stats(counts).alias("s"))
+    stats = records(spark, sf).withColumn("counts", counts).select("flow_id", FE.map_stats("counts").alias("s"))
     return stats.select("flow_id", *[F.col("s")[at].alias(n) for at, n in enumerate(names)])
 
 
@@ -442,7 +442,7 @@ UNION ALL SELECT flow_id, 'service_rate=' || service, 2.0e0 / 3.0e0 FROM flows W
 UNION ALL SELECT flow_id, 'service=other', 1.0e0 FROM flows WHERE flow_id % 2 = 0
 UNION ALL SELECT flow_id, 'service_rate=other', 1.0e0 / 3.0e0 FROM flows WHERE flow_id % 2 = 0""")
 def _(spark, sf):
-    m = FE.sparse_count_features("service", F.col("window.counts_by_service"))
+    m = FE.sparse_count_features("service", "window.counts_by_service")
     return records(spark, sf).select("flow_id", F.explode(m).alias("name", "value"))
 
 

@@ -3,54 +3,48 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import CATEGORY_FIELDS, FEATURE_SCHEMA, NUMERIC_FIELDS, OPTIONAL_TEXT_FIELDS
-from ..functions.columns import category, clean_count_map, fixed_text, non_empty, safe_ratio, strip
+from ..functions.columns import category, clean_count_map, fixed_text, strip
 from ..session import prepare
 
 STATS = ("total", "unique", "peak", "mean", "std", "concentration")
 MAP_PREFIXES = ("source_ip", "destination_ip", "proto", "service", "state")
 
 
-def map_stats(counts: Column) -> Column:
+# The expressions below are SQL text: one call builds each, where column objects
+# would take thousands of calls into the JVM.
+STATS_SQL = """
+transform(array(struct(map_values({0}) AS v, aggregate(map_values({0}), 0D, (acc, x) -> acc + x) AS t)), s ->
+  transform(array(if(size(s.v) = 0, 0D, try_divide(s.t, size(s.v)))), mean -> array(
+    s.t, CAST(size(s.v) AS DOUBLE), CAST(coalesce(array_max(s.v), 0) AS DOUBLE), mean,
+    if(size(s.v) = 0, 0D, sqrt(try_divide(aggregate(s.v, 0D, (acc, x) -> acc + (x - mean) * (x - mean)), size(s.v)))),
+    if(s.t = 0, 0D, try_divide(CAST(coalesce(array_max(s.v), 0) AS DOUBLE), s.t))))[0])[0]
+"""
+
+COUNT_CELLS_SQL = """
+flatten(transform(array_sort(map_entries({counts})), e -> transform(
+  array(coalesce(nullif(btrim(e.key, ' \\t\\n\\r'), ''), 'unknown')), k -> array(
+    named_struct('key', concat('{prefix}=', k), 'value', CAST(e.value AS DOUBLE)),
+    named_struct('key', concat('{prefix}_rate=', k), 'value', if({total} = 0, 0D, try_divide(CAST(e.value AS DOUBLE), {total}))))
+  )[0]))
+"""
+
+
+def map_stats(counts: str) -> Column:
     """Total, distinct keys, peak, mean, population deviation and peak share, in the order of `STATS`.
 
     All are 0 for an empty map. The one-element `transform`s compute total and mean once
     per row, where a plain column expression would be repeated in each use.
     """
-    def with_mean(values: Column, total: Column, mean: Column) -> Column:
-        size = F.size(values).cast("double")
-        spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-        peak = F.coalesce(F.array_max(values), F.lit(0)).cast("double")
-        return F.array(total, size, peak, mean, F.sqrt(safe_ratio(spread, size)), safe_ratio(peak, total))
-
-    values = F.map_values(counts)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    bound = F.transform(F.array(F.struct(values.alias("v"), total.alias("t"))), lambda s: F.transform(
-        F.array(safe_ratio(s["t"], F.size(s["v"]))), lambda mean: with_mean(s["v"], s["t"], mean))[0])
-    return bound[0]
-
+    return F.expr(STATS_SQL.format(counts))
 
-def _cell(name: Column, value: Column) -> Column:
-    return F.struct(name.alias("key"), value.cast("double").alias("value"))
 
-
-def _count_cells(prefix: str, counts: Column, total: Column) -> Column:
-    def pair(e):
-        key = F.coalesce(non_empty(e["key"]), F.lit("unknown"))
-        return F.array(
-            _cell(F.concat(F.lit(f"{prefix}="), key), e["value"]),
-            _cell(F.concat(F.lit(f"{prefix}_rate="), key), safe_ratio(e["value"], total)),
-        )
-
-    return F.flatten(F.transform(F.array_sort(F.map_entries(counts)), pair))
-
-
-def sparse_count_features(prefix: str, counts: Column) -> Column:
+def sparse_count_features(prefix: str, counts: str) -> Column:
     """Map of `prefix=key` counts and `prefix_rate=key` shares.
 
     Keys are trimmed; when two keys fall together the one sorting last wins.
     """
-    total = F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, v: acc + v)
-    return F.map_from_entries(_count_cells(prefix, counts, total))
+    total = f"aggregate(map_values({counts}), 0D, (acc, x) -> acc + x)"
+    return F.expr(f"map_from_entries({COUNT_CELLS_SQL.format(prefix=prefix, counts=counts, total=total)})")
 
 
 PARTS = "_p_"
@@ -120,25 +114,26 @@ def flow_features(df: DataFrame, window: str = "window", output: str = "features
     A category's count replaces its one-hot value, because both share the name `proto=x`.
     """
     prepare(df.sparkSession)
-    w = F.col(window)
     parts = _with_parts(
-        _with_flow_parts(df, window), {f"{n}_stats": map_stats(part(f"{n}_counts")) for n in MAP_PREFIXES}
+        _with_flow_parts(df, window), {f"{n}_stats": map_stats(f"{PARTS}{n}_counts") for n in MAP_PREFIXES}
     )
-    numeric = F.array(*[_cell(F.lit(name), w[name]) for name in NUMERIC_FIELDS])
     always = {
-        "event_count": part("event_count"),
-        **{name: part(name) for name in RATIOS},
-        **{f"unique_{n}_count": F.greatest(F.lit(0.0), part(f"{n}_distinct")) for n in MAP_PREFIXES},
-        "source_ip_spread": _spread("source_ip"), "destination_ip_spread": _spread("destination_ip"),
-        **{f"{n}_{stat}": part(f"{n}_stats")[at] for n in MAP_PREFIXES for at, stat in enumerate(STATS)},
+        "event_count": f"{PARTS}event_count",
+        **{name: PARTS + name for name in RATIOS},
+        **{f"unique_{n}_count": f"greatest(0D, {PARTS}{n}_distinct)" for n in MAP_PREFIXES},
+        **{f"{n}_spread": f"{PARTS}{n}_distinct / {PARTS}event_count" for n in ("source_ip", "destination_ip")},
+        **{f"{n}_{stat}": f"{PARTS}{n}_stats[{at}]" for n in MAP_PREFIXES for at, stat in enumerate(STATS)},
     }
-    fixed = [_cell(F.lit(name), value) for name, value in always.items()]
-    one_hot = [_cell(F.concat(F.lit(f"{n}="), part(n)), F.lit(1.0)) for n in CATEGORY_FIELDS]
-    counts = [_count_cells(n, part(f"{n}_counts"), part(f"{n}_stats")[0]) for n in CATEGORY_FIELDS]
-    cells = F.concat(
-        F.filter(numeric, lambda cell: cell["value"].isNotNull()), F.array(*fixed, *one_hot), *counts
+    cell = lambda name, value: f"named_struct('key', {name}, 'value', {value})"
+    numeric = ", ".join(cell(f"'{n}'", f"`{window}`.{n}") for n in NUMERIC_FIELDS)
+    fixed = ", ".join(cell(f"'{n}'", value) for n, value in always.items())
+    one_hot = ", ".join(cell(f"concat('{n}=', {PARTS}{n})", "1D") for n in CATEGORY_FIELDS)
+    counts = ", ".join(
+        COUNT_CELLS_SQL.format(prefix=n, counts=f"{PARTS}{n}_counts", total=f"{PARTS}{n}_stats[0]")
+        for n in CATEGORY_FIELDS
     )
-    return _without_parts(parts.withColumn(output, F.map_from_entries(cells)))
+    cells = f"concat(filter(array({numeric}), c -> c.value IS NOT NULL), array({fixed}, {one_hot}), {counts})"
+    return _without_parts(parts.withColumn(output, F.expr(f"map_from_entries({cells})")))
 
 
 def window_text(df: DataFrame, window: str = "window", output: str = "window_text") -> DataFrame:
