@@ -90,7 +90,7 @@ def score_linear(
         )
         total = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
         return found.withColumn("score", sigmoid(total + F.lit(intercept))).drop("_coefs")
-    cells = df.select(id_col, F.explode(features).alias("feature", "_v"))
+    cells = df.select(id_col, F.explode_outer(features).alias("feature", "_v"))
     sums = cells.join(coefficients, "feature").groupBy(id_col).agg(F.sum(F.col("_v") * F.col("coefficient")).alias("_s"))
     joined = df.join(sums, id_col, "left")
     return joined.withColumn("score", sigmoid(F.coalesce("_s", F.lit(0.0)) + F.lit(intercept))).drop("_s")

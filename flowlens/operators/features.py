@@ -112,6 +112,7 @@ def flow_features(df: DataFrame, window: str = "window", output: str = "features
     """Adds the sparse feature map of each flow window; missing numeric fields are left out.
 
     A category's count replaces its one-hot value, because both share the name `proto=x`.
+    Filter rows before this step: later filters are not moved below it.
     """
     prepare(df.sparkSession)
     parts = _with_parts(
@@ -133,7 +134,10 @@ def flow_features(df: DataFrame, window: str = "window", output: str = "features
         for n in CATEGORY_FIELDS
     )
     cells = f"concat(filter(array({numeric}), c -> c.value IS NOT NULL), array({fixed}, {one_hot}), {counts})"
-    return _without_parts(parts.withColumn(output, F.expr(f"map_from_entries({cells})")))
+    # A filter on the map would otherwise be moved below it, with the whole expression copied
+    # into each use; a value that depends on the partition id stays where it is.
+    kept = F.expr(f"if(spark_partition_id() < 0, NULL, map_from_entries({cells}))")
+    return _without_parts(parts.withColumn(output, kept))
 
 
 def window_text(df: DataFrame, window: str = "window", output: str = "window_text") -> DataFrame:

@@ -31,8 +31,9 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text
 
 
-def typed_window(text_window: Column) -> Column:
-    return F.struct(*[_typed(text_window[f.name], f.dataType).alias(f.name) for f in WINDOW_SCHEMA.fields])
+def typed_window(field) -> Column:
+    """The window struct from `field(name)`, the JSON text of each of its fields."""
+    return F.struct(*[_typed(field(f.name), f.dataType).alias(f.name) for f in WINDOW_SCHEMA.fields])
 
 
 def _is_object(value: Column) -> Column:
@@ -52,7 +53,8 @@ def parse_records(messages: DataFrame, value: str = "value", *keep: str) -> Data
     text = F.col(value).cast("string")
     lines = messages.filter(_is_object(text)).select(F.from_json(text, LINE_SCHEMA).alias("_l"), *keep)
     line = F.col("_l")
-    window = F.when(line["window"].isNotNull(), typed_window(line["window"])).otherwise(typed_window(line))
+    nested = line["window"].isNotNull()
+    window = typed_window(lambda name: F.when(nested, line["window"][name]).otherwise(line[name]))
     return lines.select(
         *[_typed(line[f.name], f.dataType).alias(f.name) for f in RECORD_FIELDS], window.alias("window"), *keep
     )
@@ -117,7 +119,7 @@ def parse_alerts(messages: DataFrame, value: str = "value") -> DataFrame:
     parsed = messages.filter(_is_object(text)).select(F.from_json(text, as_text_leaves(ALERT_MESSAGE_SCHEMA)).alias("_a"))
     a = F.col("_a")
     fields = [
-        (typed_window(a["window"]) if f.name == "window" else _typed(a[f.name], f.dataType)).alias(f.name)
+        (typed_window(lambda name: a["window"][name]) if f.name == "window" else _typed(a[f.name], f.dataType)).alias(f.name)
         for f in ALERT_MESSAGE_SCHEMA.fields
     ]
     return parsed.select(*fields).filter(F.col("timestamp").isNotNull())
