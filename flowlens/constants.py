@@ -95,6 +95,8 @@ SECRET_PATTERNS = (
     r"\bsk-[A-Za-z0-9]{20,}\b",
     r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
 )
+# Text without which the pattern of the same place cannot match.
+SECRET_LITERALS = ("PRIVATE KEY-----", "AKIA", "ASIA", "ghp_", "github_pat_", "sk-", "xox")
 PLACEHOLDER_MARKERS = (
     "change-me", "replace-with", "example", "localhost", "127.0.0.1",
     "postgres", "admin", "dev-internal-api-key", "${",

@@ -5,7 +5,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import (
-    CONTROL_CHARACTERS, IDENTIFIER_PATTERN, PLACEHOLDER_MARKERS, SECRET_PATTERNS, SENSITIVE_KEYS,
+    CONTROL_CHARACTERS, IDENTIFIER_PATTERN, PLACEHOLDER_MARKERS, SECRET_LITERALS, SECRET_PATTERNS,
+    SENSITIVE_KEYS,
 )
 from .columns import as_column, strip
 
@@ -49,29 +50,32 @@ def check_identifier(df: DataFrame, col: str, max_length: int = 255) -> DataFram
 def secret_scan(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """One row per (row, line, finding): known secret patterns and sensitive `KEY=value` lines.
 
-    Rows that cannot hold a finding are dropped by one search over the whole text
-    before the text is cut into lines.
+    Plain substring tests drop rows and lines that cannot hold a finding; a pattern only
+    runs on lines with its fixed part.
     """
-    text = F.col(text_col)
-    any_pattern = "(?U)" + "|".join(f"(?:{p})" for p in SECRET_PATTERNS)
-    any_key = "|".join(SENSITIVE_KEYS)
-    lines = df.filter(text.rlike(any_pattern) | text.rlike(any_key)).select(
-        *keep, F.posexplode(F.split(text, LINE_BREAK)).alias("_at", "_line")
-    )
+    def has_any(col: Column, words) -> Column:
+        found = F.lit(False)
+        for word in words:
+            found = found | F.contains(col, F.lit(word))
+        return found
+
+    clues = SECRET_LITERALS + SENSITIVE_KEYS
+    lines = df.filter(has_any(F.col(text_col), clues)).select(
+        *keep, F.posexplode(F.split(F.col(text_col), LINE_BREAK)).alias("_at", "_line")
+    ).filter(has_any(F.col("_line"), clues))
     line = F.col("_line")
     stripped = strip(line)
     key = strip(F.substring_index(stripped, "=", 1))
     value = strip(F.substring(stripped, F.instr(stripped, "=") + F.lit(1), F.length(stripped)))
-    placeholder = F.lit(False)
-    for marker in PLACEHOLDER_MARKERS:
-        placeholder = placeholder | F.contains(F.lower(value), F.lit(marker))
+    placeholder = has_any(F.lower(value), PLACEHOLDER_MARKERS)
     assigned = (
         F.contains(stripped, F.lit("=")) & ~F.startswith(stripped, F.lit("#"))
         & key.isin(*SENSITIVE_KEYS) & (F.length(value) > 0) & ~placeholder
     )
     findings = F.array(
-        *[F.when(line.rlike("(?U)" + p), F.struct(F.lit("pattern").alias("kind"), F.lit(p).alias("name")))
-          for p in SECRET_PATTERNS],
+        *[F.when(F.contains(line, F.lit(clue)) & line.rlike("(?U)" + p),
+                 F.struct(F.lit("pattern").alias("kind"), F.lit(p).alias("name")))
+          for clue, p in zip(SECRET_LITERALS, SECRET_PATTERNS)],
         F.when(assigned, F.struct(F.lit("assignment").alias("kind"), key.alias("name"))),
     )
     return (
