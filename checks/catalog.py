@@ -1,5 +1,7 @@
 """Every checked query next to the SQL that must give the same rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowlens.constants import LABEL_FALSE_STRINGS, LABEL_TRUE_STRINGS, PLACEHOLDER_MARKERS, SECRET_PATTERNS, SENSITIVE_KEYS
@@ -21,7 +23,7 @@ from flowlens.plans import training as P
 from flowlens.sources import flow_csv, records as SRC
 from flowlens.sources.store import AlertStore
 from flowlens.streaming import pipelines as ST
-from flowlens.session import materialize, shared_dir, spread
+from flowlens.session import shared_dir, spread
 
 from .views import check_sql, records, stored_alerts, stored_investigations, table, view
 
@@ -39,6 +41,10 @@ def op(name, sql=None):
     return add
 
 
+def _fresh(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def quoted(words):
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -65,7 +71,7 @@ TIER_SQL = (f"CASE WHEN lower(trim(tier)) IN ('high', 'medium', 'low') THEN lowe
 
 def _jsonl(spark, sf):
     """Records of the table written as JSON lines by Spark."""
-    path = f"{shared_dir(spark)}/jsonl/{abs(hash(sf))}-{id(spark)}"
+    path = _fresh(spark, "jsonl")
     records(spark, sf).drop("flow_id", "text").write.mode("overwrite").json(path)
     return path
 
@@ -82,7 +88,7 @@ def _(spark, sf):
 
 
 def _flow_csv(spark, sf):
-    path = f"{shared_dir(spark)}/csv/{abs(hash(sf))}-{id(spark)}"
+    path = _fresh(spark, "csv")
     f = view(spark, sf, "flows")
     f.select(
         F.col("flow_id").alias(" ID "), (F.col("start_ms") / 1000.0).alias("Stime"), F.col("dur"), "srcip", "dstip", "sbytes", "dbytes",
@@ -110,7 +116,7 @@ def _(spark, sf):
 
 @op("src5_store_roundtrip", "SELECT id, timestamp, window_id, model_type, model_score, threshold, triggered, explanation_summary FROM alerts")
 def _(spark, sf):
-    store = AlertStore(spark, f"{shared_dir(spark)}/store-{id(spark)}")
+    store = AlertStore(spark, _fresh(spark, "store"))
     store.save("alerts", stored_alerts(spark, sf))
     return store.load("alerts").select("id", "timestamp", "window_id", "model_type", "model_score", "threshold", "triggered", "explanation_summary")
 
@@ -120,7 +126,7 @@ SELECT concat(CAST(start_ms AS VARCHAR), '-', CAST(end_ms AS VARCHAR)) AS id, st
   COALESCE({META_LABEL}, 0) AS label, CASE WHEN {META_LABEL} IS NULL THEN 'unknown' ELSE 'dataset_ground_truth' END AS label_source,
   CASE WHEN {META_LABEL} IS NULL THEN 'low' ELSE 'high' END AS label_quality_tier FROM records""")
 def _(spark, sf):
-    path = f"{shared_dir(spark)}/dataset-{id(spark)}"
+    path = _fresh(spark, "dataset")
     SRC.write_dataset(SRC.labeled_rows(records(spark, sf)), path)
     return spark.read.schema("id string, window_start_ms long, window_end_ms long, label int, label_source string, label_quality_tier string").json(path)
 
@@ -269,10 +275,9 @@ def _(spark, sf):
 SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), chr(32) || chr(9) || chr(10)) AS text_normalized,
   CASE WHEN trim(text, chr(32) || chr(9) || chr(10)) = '' THEN 'empty'
     WHEN length(trim(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(32) || chr(9) || chr(10))) > 5000 THEN 'too_long' END AS violation
-FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+FROM documents""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return X.normalize_text(docs, "text").select("doc_id", "text_normalized", "violation")
+    return X.normalize_text(table(spark, sf, "documents"), "text").select("doc_id", "text_normalized", "violation")
 
 
 @op("p17_check_identifier", """
@@ -1200,11 +1205,6 @@ def _(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------------------
 
-def _fresh(spark, name):
-    import uuid
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _drain(spark, stream, mode="append"):
     """Runs a stream over all waiting input and returns what it wrote."""
     path = _fresh(spark, "stream")

@@ -66,6 +66,7 @@ def test_family_and_fractured(records):
 
 
 def test_text_checks(spark):
+    assert spark.createDataFrame([("e\u0301\u00e9",)], "t string").select(X.normalized("t")).first()[0] == "\u00e9\u00e9"
     rows = spark.createDataFrame([("a b",), ("ＡＢ\r\nx\x01",), ("ok-1",), (" ",), ("x" * 300,), ("a#",)], "t string")
     got = [tuple(r) for r in X.check_identifier(rows, "t").select("t_normalized", "violation").collect()]
     assert got == [("a b", "whitespace"), ("AB\nx", "whitespace"), ("ok-1", None), ("", "empty"), ("x" * 300, "too_long"), ("a#", "unsupported")]
