@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from flowlens.llm import chunked_bpe, prefix_tokens, token_files
+from flowlens.llm import chunked_bpe, prefix_tokens, simhash, token_files
 from flowlens.llm.common import table
 from flowlens.session import shared_dir
 
@@ -19,6 +19,11 @@ def op1_token_files(spark, folder):
     return token_files.digests(token_files.read(spark, path))
 
 
+def op2_simhash(spark, folder):
+    """Groups of near-duplicate `documents` by fingerprints that differ in at most three bits."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), most=3)
+
+
 def op7_token_counts(spark, folder):
     """Exact token counts of `documents` and how much of each text fits 512 tokens."""
     import public_tokenizers
@@ -35,5 +40,5 @@ def op10_bpe_round_trip(spark, folder):
     return chunked_bpe.round_trip(chunked_bpe.encode(table(spark, folder, "documents"), ranks, pattern), ranks, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op7_token_counts, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op7_token_counts, op10_bpe_round_trip)}
 ORACLE: dict[str, str] = {}
