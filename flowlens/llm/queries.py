@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from flowlens.llm import chunked_bpe, prefix_tokens, simhash, token_files
+from flowlens.llm import chunked_bpe, decontaminate, prefix_tokens, simhash, token_files
 from flowlens.llm.common import table
 from flowlens.session import shared_dir
 
@@ -24,6 +24,11 @@ def op2_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), most=3)
 
 
+def op4_decontamination(spark, folder):
+    """Overlaps of `documents` with items of `benchmark`."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_token_counts(spark, folder):
     """Exact token counts of `documents` and how much of each text fits 512 tokens."""
     import public_tokenizers
@@ -40,5 +45,5 @@ def op10_bpe_round_trip(spark, folder):
     return chunked_bpe.round_trip(chunked_bpe.encode(table(spark, folder, "documents"), ranks, pattern), ranks, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op7_token_counts, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op4_decontamination, op7_token_counts, op10_bpe_round_trip)}
 ORACLE: dict[str, str] = {}
