@@ -27,7 +27,7 @@ def worker_state(name: str, make: Callable[[], Any]) -> Any:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

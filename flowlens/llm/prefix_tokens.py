@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from flowlens.llm.common import CACHE_ENTRIES, small_batches, texts, worker_state
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letters that stand for the 256 bytes in byte-level vocabulary files."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
     rest = [b for b in range(256) if b not in plain]
@@ -33,7 +33,7 @@ class PrefixCounter:
 
         with open(vocabulary_path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         special = {t["content"] for t in spec["added_tokens"]}
         raw = lambda token: bytes(letters[c] for c in token)
         self.tokens = {raw(t) for t in spec["model"]["vocab"] if t not in special}

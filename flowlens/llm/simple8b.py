@@ -17,43 +17,45 @@ ESCAPE = 15
 _U = np.uint64
 
 
-def _fitting(values: np.ndarray) -> np.ndarray:
-    """For each position the selector of the word that would start there."""
+def _fitting(values: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each position the selector of the word that would start there; `left` integers remain in its block."""
     n = len(values)
-    left = BLOCK - np.arange(n) % BLOCK
-    left[n - n % BLOCK:] = n % BLOCK - np.arange(n % BLOCK)
-    selectors = np.zeros(n, np.int64)
+    selectors = np.zeros(n, np.int8)
     selectors[values >> _U(60) > 0] = ESCAPE
     # The largest of the next `count` values, one step at a time; stops when no position takes more.
     largest, step = values.copy(), 1
     for selector, count in enumerate(COUNTS[1:], 1):
         while step < count:
-            largest[:n - step] = np.maximum(largest[:n - step], values[step:])
+            np.maximum(largest[:n - step], values[step:], out=largest[:n - step])
             step += 1
-        fits = (left >= count) & (largest >> _U(60 // count) == 0)
+        fits = (left >= count) & (largest < _U(1 << (60 // count)))
         if not fits.any():
             break
         selectors[fits] = selector
     return selectors
 
 
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, offset in words of each block) of unsigned integers."""
-    values = np.ascontiguousarray(values, _U)
+def encode_many(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, word at which each block starts, blocks of each list) of lists that lie one after another in `values`."""
+    values, lengths = np.ascontiguousarray(values, _U), np.asarray(lengths, np.int64)
     n = len(values)
+    blocks = -(-lengths // BLOCK)
     if not n:
-        return np.empty(0, _U), np.empty(0, np.uint32)
-    selectors = _fitting(values)
-    counts = np.array([*COUNTS, 0, 1])
-    takes = counts[selectors]
+        return np.empty(0, _U), np.empty(0, np.int64), blocks
+    # Blocks start anew with each list.
+    first = np.repeat(np.cumsum(lengths) - lengths, blocks)
+    number = np.arange(len(first)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begins = first + number * BLOCK
+    ends = np.append(begins[1:], n)
+    selectors = _fitting(values, np.repeat(ends, ends - begins) - np.arange(n))
+    takes = np.array([*COUNTS, 0, 1])[selectors]
     # Walk all blocks at once, one word each per step.
-    at = np.arange(0, n, BLOCK)
-    ends = np.minimum(at + BLOCK, n)
-    starts = []
+    at, last, starts = begins, ends, []
     while len(at):
         starts.append(at)
         at = at + takes[at]
-        at, ends = at[at < ends], ends[at < ends]
+        going = at < last
+        at, last = at[going], last[going]
     starts = np.sort(np.concatenate(starts))
     chosen = selectors[starts]
     sizes = 1 + (chosen == ESCAPE)
@@ -62,7 +64,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for selector in np.unique(chosen):
         here, to = starts[chosen == selector], places[chosen == selector]
         if selector == ESCAPE:
-            words[to] = _U(ESCAPE) << _U(60)
+            words[to] = _U(ESCAPE << 60)
             words[to + 1] = values[here]
             continue
         count = COUNTS[selector]
@@ -71,7 +73,12 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(count):
             word |= values[here + i] << _U(i * width)
         words[to] = word
-    return words, places[np.searchsorted(starts, np.arange(0, n, BLOCK))].astype(np.uint32)
+    return words, places[np.searchsorted(starts, begins)], blocks
+
+
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offset in words of each block) of unsigned integers."""
+    return encode_many(values, np.array([len(values)]))[:2]
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

@@ -7,6 +7,8 @@ shard, holds where each shard starts. Any document, or any block of one, can be
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -14,35 +16,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from flowlens.llm import simple8b
-from flowlens.llm.common import CACHE_ENTRIES, small_batches, texts, worker_state
+from flowlens.llm.common import small_batches, texts, worker_state
+
+# Distinct words a Python worker remembers before it starts anew.
+WORDS = 500_000
 
 
 class WordTokenizer:
-    """Encodes texts word by word, for a vocabulary whose tokens never cross white space; remembers frequent words.
+    """Encodes texts word by word by a vocabulary file of BPE with word ends, remembering frequent words.
 
-    Texts are cut at ASCII white space only; the library normalises, splits and merges each word, special strings
-    and other white space inside it included.
+    White space ends words and is dropped, so texts are cut at ASCII white space and each distinct word is encoded
+    once: normalised and split as the file says, then merged by the file's own order. The merges run in the rank
+    coder, with a zero byte as the mark of a word's end; joining the mark to a word's last byte comes before all
+    other merges. The library itself takes words with special strings or zero bytes. Equal to encoding the whole
+    text with the library, at a third of the time.
     """
 
     def __init__(self, vocabulary_path: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
+        from flowlens.llm.prefix_tokens import byte_letters
+
+        with open(vocabulary_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, end = byte_letters(), spec["model"]["end_of_word_suffix"]
         self.library = Tokenizer.from_file(vocabulary_path)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        # Words stand on lines of their own; a line end is a part too.
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
+        ranks = {}
+        for token, i in spec["model"]["vocab"].items():
+            if token not in self.special:
+                plain = token.removesuffix(end)
+                ranks[bytes(letters[c] for c in plain) + b"\0" * (plain != token)] = i
+        self.mark = ranks[b"\0"]
+        self.coder = tiktoken.Encoding("words", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        new = self.library.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, new)}
-
-    def encode_batch(self, batch: list[str]) -> list[bytes]:
+    def learn(self, words: list[bytes]) -> None:
+        plain = []
+        for word in words:
+            if b"\0" in word or b"<|" in word:
+                ids = self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+                self.known[word] = np.array(ids, "<u4").tobytes()
+            else:
+                plain.append(word)
+        if not plain:
+            return
+        lines = b"\n".join([*plain, b""]).decode("utf-8", "surrogatepass")
+        # Character by character, a capital sigma has one lower case.
+        lines = unicodedata.normalize("NFC", lines).replace("\u03a3", "\u03c3").lower()
+        ids = np.array(self.coder.encode_ordinary("\0\n".join([*self.pattern.findall(lines), ""])), "<u4")
+        # A line end leaves a mark without a word.
+        marks = np.flatnonzero(ids == self.mark)
+        raw, begins, ends = ids.tobytes(), [0, *((marks[:-1] + 1) * 4).tolist()], (marks * 4).tolist()
+        for word, a, b in zip(plain, begins, ends):
+            self.known[word] = raw[a:b]
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
         known = self.known
         split = [t.encode("utf-8", "surrogatepass").split() for t in batch]
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHE_ENTRIES:
-            # Start anew with what this batch needs.
+        if len(known) > WORDS:
             known.clear()
-            new = {w for words in split for w in words}
-        known.update(self.learn(sorted(new)))
+        self.learn([*{w for words in split for w in words if w not in known}])
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -54,7 +93,7 @@ def tokenize_words(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: s
     def run(batches):
         coder = worker_state(f"words:{vocabulary_path}", lambda: WordTokenizer(vocabulary_path))
         for batch in batches:
-            ids = [x + end for x in coder.encode_batch(batch.column("text").to_pylist())]
+            ids = [x + end for x in coder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
@@ -78,17 +117,23 @@ def write(tokens: DataFrame, path: str) -> None:
 
         shard, position, row = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            out = {"shard": [], "row": [], "doc_id": [], "shard_start": [], "n_tokens": [], "offsets": [], "words": []}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                values = np.frombuffer(ids or b"", "<u4")
-                words, offsets = simple8b.encode(values)
-                for name, value in zip(out, (shard, row, doc, position, len(values), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes())):
-                    out[name].append(value)
-                position += len(values)
-                row += 1
-            yield pa.RecordBatch.from_pydict(out, pa.schema(
-                [("shard", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()),
-                 ("offsets", pa.binary()), ("words", pa.binary())]))
+            ids = [x or b"" for x in batch.column("ids").to_pylist()]
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            words, starts, blocks = simple8b.encode_many(np.frombuffer(b"".join(ids), "<u4"), sizes)
+            # The words and block offsets of each document.
+            last = np.cumsum(blocks)
+            edges = np.append(starts, len(words))
+            begins, ends = edges[last - blocks], edges[last]
+            words, offsets = words.astype("<u8"), (starts - np.repeat(begins, blocks)).astype("<u4")
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"),
+                 pa.array(position + np.cumsum(sizes) - sizes, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array([offsets[a:b].tobytes() for a, b in zip(last - blocks, last)], pa.binary()),
+                 pa.array([words[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())],
+                ["shard", "row", "doc_id", "shard_start", "n_tokens", "offsets", "words"])
+            position += int(sizes.sum())
+            row += n
 
     packed = tokens.mapInArrow(
         pack, "shard long, row long, doc_id long, shard_start long, n_tokens long, offsets binary, words binary")
@@ -106,10 +151,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            ids = [
-                simple8b.decode(np.frombuffer(words, "<u8"), np.frombuffer(offsets, "<u4"), n).astype("<u4").tobytes()
-                for words, offsets, n in zip(*(batch.column(c).to_pylist() for c in ("words", "offsets", "n_tokens")))
-            ]
+            words = [np.frombuffer(x, "<u8") for x in batch.column("words").to_pylist()]
+            sizes = batch.column("n_tokens").to_numpy()
+            shifts = np.cumsum([0, *map(len, words)])
+            offsets = [np.frombuffer(x, "<u4") + shift for x, shift in zip(batch.column("offsets").to_pylist(), shifts)]
+            values = simple8b.decode(np.concatenate(words or [[]]), np.concatenate(offsets or [[]]), int(sizes.sum())).astype("<u4")
+            ends = np.cumsum(sizes)
+            ids = [values[a:b].tobytes() for a, b in zip(ends - sizes, ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(ids, pa.binary())],
                 ["doc_id", "start", "n_tokens", "ids"])
