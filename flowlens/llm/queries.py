@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from flowlens.llm import chunked_bpe, decontaminate, prefix_tokens, simhash, token_files
+from flowlens.llm import chunked_bpe, decontaminate, licenses, prefix_tokens, quality_rank, quality_rules, simhash, token_files, toxicity
 from flowlens.llm.common import table
 from flowlens.session import shared_dir
 
@@ -24,11 +24,27 @@ def op2_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), most=3)
 
 
+def op3_toxicity(spark, folder):
+    """Toxicity of `documents` by weak supervision."""
+    docs = table(spark, folder, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, folder, "labels")), cut=0.5)
+
+
 def op4_decontamination(spark, folder):
     """Overlaps of `documents` with items of `benchmark`."""
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_quality_rules(spark, folder):
+    """Base rules and divergence of `documents` from their languages' histograms."""
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
+def op6_license_scan(spark, folder):
+    """License phrases and templates in `documents`."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark, folder):
     """Exact token counts of `documents` and how much of each text fits 512 tokens."""
     import public_tokenizers
@@ -37,6 +53,12 @@ def op7_token_counts(spark, folder):
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 512)
 
 
+def op9_quality_rank(spark, folder):
+    """Quality of `documents` by ranking preference pairs."""
+    docs = table(spark, folder, "documents")
+    return quality_rank.classify(docs, quality_rank.fit(docs, table(spark, folder, "labels"), cut=0.3), cut=0.3)
+
+
 def op10_bpe_round_trip(spark, folder):
     """Encoding of `documents` by ranks and its decoding, as digests."""
     import public_tokenizers
@@ -45,5 +67,7 @@ def op10_bpe_round_trip(spark, folder):
     return chunked_bpe.round_trip(chunked_bpe.encode(table(spark, folder, "documents"), ranks, pattern), ranks, pattern)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_simhash, op4_decontamination, op7_token_counts, op10_bpe_round_trip)}
+QUERIES = {
+    f.__name__: f for f in (op1_token_files, op2_simhash, op3_toxicity, op4_decontamination, op5_quality_rules, op6_license_scan, op7_token_counts, op9_quality_rank, op10_bpe_round_trip)
+}
 ORACLE: dict[str, str] = {}
