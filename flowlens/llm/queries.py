@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from flowlens.llm import chunked_bpe, decontaminate, licenses, prefix_tokens, quality_rank, quality_rules, simhash, token_files, toxicity
+from flowlens.llm import chunked_bpe, decontaminate, html_extract, licenses, prefix_tokens, quality_rank, quality_rules, simhash, token_files, toxicity
 from flowlens.llm.common import table
 from flowlens.session import shared_dir
 
@@ -53,6 +53,11 @@ def op7_token_counts(spark, folder):
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 512)
 
 
+def op8_html_text(spark, folder):
+    """Main text of `pages`."""
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 def op9_quality_rank(spark, folder):
     """Quality of `documents` by ranking preference pairs."""
     docs = table(spark, folder, "documents")
@@ -68,6 +73,6 @@ def op10_bpe_round_trip(spark, folder):
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_token_files, op2_simhash, op3_toxicity, op4_decontamination, op5_quality_rules, op6_license_scan, op7_token_counts, op9_quality_rank, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_token_files, op2_simhash, op3_toxicity, op4_decontamination, op5_quality_rules, op6_license_scan, op7_token_counts, op8_html_text, op9_quality_rank, op10_bpe_round_trip)
 }
 ORACLE: dict[str, str] = {}
