@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.common import CACHE_ENTRIES, small_batches, stored, worker_state
+from flowlens.session import broadcast_if_small
 
 # Places of a seed's words.
 MASKS = ((0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5))
@@ -226,6 +227,7 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
     """The rows of `docs` that overlap no item of the benchmark, with all their columns; see leaks()."""
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    bad = leaks(docs, benchmark, **columns).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("bad_hash"))
+    found = leaks(docs, benchmark, **columns).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    bad = broadcast_if_small(stored(found))
+    same = docs[id_col].cast("long").eqNullSafe(bad["leak_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == bad["leak_hash"])
     return docs.join(bad, same, "left_anti")

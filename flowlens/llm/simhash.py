@@ -218,12 +218,30 @@ def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_ids(rows: DataFrame, most: int = 3) -> DataFrame:
-    """(fingerprint, component_id) for each distinct fingerprint of `rows` (doc_id, fingerprint), written to shared storage."""
-    distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+def _rooted(rows: DataFrame, first, most: int) -> DataFrame:
+    """(fingerprint, first, root) for each distinct fingerprint of `rows`, written to shared storage; `first` is an aggregate."""
+    distinct = stored(rows.groupBy("fingerprint").agg(first.alias("first")))
     roots = components(links(distinct, most))
-    rooted = stored(
+    return stored(
         distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
         .select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")))
+
+
+def component_ids(rows: DataFrame, most: int = 3) -> DataFrame:
+    """(fingerprint, component_id) for each distinct fingerprint of `rows` (doc_id, fingerprint), written to shared storage."""
+    rooted = _rooted(rows, F.min("doc_id"), most)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return stored(rooted.join(least, "root").select("fingerprint", "component_id"))
+
+
+def one_of_each(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest id, null ids last.
+
+    Groups are those of near_duplicates(); repeated rows are of one group, so one of them stays.
+    """
+    held = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = stored(fingerprints(held, "text", "fingerprint", shingle).drop("text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = _rooted(rows, F.min(rank), most).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    dropped = stored(rows.select("row").join(kept, "row", "left_anti"))
+    return rows.join(broadcast_if_small(dropped), "row", "left_anti").select("doc.*")

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import held_out, small_batches, stored, worker_state
+from flowlens.llm.common import free_name, held_out, small_batches, stored, worker_state
 from flowlens.llm.linear import bounded_rows, fit_logistic, labelled_sample, sigmoid
 
 # Labelled documents of each class that a fit sees at most, and words or stems it may add to the lexicon.
@@ -118,14 +118,17 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
     for _ in range(rounds):
         tables = []
         for b in (1 - belief, belief):
-            tables.append(np.array([(b @ a + 1.0) / (b.sum() + 3.0) for a in answers]))
+            # Shares lean to those of all rows, so that a voter that never speaks says nothing.
+            tables.append(np.array([(b @ a + 2 * a.mean(0) + 1e-6) / (b.sum() + 2 + 3e-6) for a in answers]))
         odds = np.log(tables[1]) - np.log(tables[0])
         prior = np.clip(belief.mean(), 0.01, 0.99)
-        # What a voter says beyond its class, and how far voters say it together.
-        expected = (belief[:, None] * (tables[1][2] - tables[1][0]) + (1 - belief)[:, None] * (tables[0][2] - tables[0][0]))
-        rest = votes - expected
-        size = np.sqrt((rest ** 2).mean(0)) + 1e-9
-        together = np.clip((rest.T @ rest) / len(rest) / np.outer(size, size), 0, 1)
+        # What a voter says beyond its likelier class, and how far voters say it together.
+        rest = votes.astype(float)
+        for side in (belief >= 0.5, belief < 0.5):
+            if side.any():
+                rest[side] -= rest[side].mean(0)
+        size = np.sqrt((rest ** 2).mean(0))
+        together = np.clip((rest.T @ rest) / len(rest) / np.maximum(np.outer(size, size), 1e-6), 0, 1)
         np.fill_diagonal(together, 0)
         together[together < 0.1] = 0
         share = 1 / (1 + together.sum(1))
@@ -240,3 +243,9 @@ def classify(docs: DataFrame, model: ToxicModel, cut: float = 0.5, id_col: str =
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return scored(rows, model, "score").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, model: ToxicModel, cut: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose score is below `cut`, with all their columns."""
+    name = free_name(docs, "toxic_score")
+    return scored(docs, model, name, text_col).where(F.col(name) < cut).drop(name)
