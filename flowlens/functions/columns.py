@@ -50,9 +50,10 @@ def to_float(col, default: float | None = None) -> Column:
 
 
 def parse_label(col) -> Column:
-    """1 or 0 from a boolean, a number or one of the known words; otherwise null."""
-    text = F.lower(strip(col))
-    number = to_float(text)
+    """1 or 0 from a boolean, a number or one of the known words; otherwise null. Text of other numbers is no label."""
+    value = as_column(col)
+    text = F.lower(strip(value))
+    number = F.when(F.typeof(value) != "string", text.try_cast("double"))
     return (
         F.when(text.isin(*LABEL_TRUE_STRINGS), 1)
         .when(text.isin(*LABEL_FALSE_STRINGS), 0)
@@ -60,6 +61,42 @@ def parse_label(col) -> Column:
     )
 
 
+_NUMBER_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
+def label_text(value: Column, as_label: bool = True) -> Column:
+    """Text of a JSON value that keeps what its type says of a label: a number becomes `1` or `0`.
+
+    Without `as_label` a number keeps its own text. Objects and arrays become JSON text, JSON null becomes null.
+    """
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    own = F.try_variant_get(value, "$", "string")
+    counted = F.when(number != 0, "1").otherwise("0") if as_label else own
+    return (
+        F.when(value.isNull() | (kind == "VOID"), None)
+        .when(kind.rlike(_NUMBER_KINDS), counted)
+        .when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json(value)).otherwise(own)
+    )
+
+
+def json_count_map(col) -> Column:
+    """Counts of a map of JSON values: numbers are truncated, true is 1, text must be an integer; others are dropped."""
+    def count(value):
+        kind = F.schema_of_variant(value)
+        text = F.try_variant_get(value, "$", "string")
+        return (
+            F.when(kind.rlike(_NUMBER_KINDS), F.try_variant_get(value, "$", "double").try_cast("bigint"))
+            .when(kind == "BOOLEAN", (text == "true").cast("bigint"))
+            .when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), strip(text).try_cast("bigint")))
+        )
+
+    counts = F.transform_values(as_column(col), lambda _, v: count(v))
+    known = F.map_filter(counts, lambda _, n: n.isNotNull())
+    positive = F.transform_values(known, lambda _, n: F.greatest(n, F.lit(0).cast("bigint")))
+    return F.coalesce(positive, F.create_map().cast("map<string,bigint>"))
+
+
 def binary_label(col) -> Column:
     """1 when the number has a non-zero integer part, 0 otherwise; null when it is no number."""
     value = to_float(col)

@@ -9,8 +9,8 @@ from ..constants import (
     FAMILY_KEYS, FAMILY_MAP_KEYS, LABEL_FALSE_STRINGS, LABEL_KEYS, LABEL_TRUE_STRINGS,
     NESTED_OBJECT_KEYS, TIER_BY_SOURCE, WEIGHT_BY_TIER,
 )
-from ..schemas import TAG_SCHEMA
-from .columns import as_column, clean_count_map, non_empty, parse_label, strip
+from ..schemas import JSON_TAG_SCHEMA, TAG_SCHEMA
+from .columns import as_column, clean_count_map, label_text, non_empty, parse_label, strip
 
 
 def tagged_objects(window) -> Column:
@@ -21,7 +21,10 @@ def tagged_objects(window) -> Column:
     w = as_column(window)
     fields = lambda obj: F.struct(*[obj[key].alias(key) for key in TAG_SCHEMA.fieldNames()])
     metadata = F.when(w["metadata"].isNotNull(), fields(w["metadata"]))
-    parsed = [F.from_json(w[key], TAG_SCHEMA) for key in NESTED_OBJECT_KEYS if key != "metadata"]
+    objects = [F.from_json(w[key], JSON_TAG_SCHEMA) for key in NESTED_OBJECT_KEYS if key != "metadata"]
+    parsed = [
+        F.when(o.isNotNull(), F.struct(*[label_text(o[k], k not in FAMILY_KEYS).alias(k) for k in TAG_SCHEMA.fieldNames()])) for o in objects
+    ]
     return F.array_compact(F.array(fields(w), metadata, *parsed))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small
+from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
 from .vectorize import lookup_values
 
 
@@ -68,32 +68,35 @@ def explain_linear(
     return df.withColumn("_coefs", looked_up).withColumn(output, ranked).drop("_coefs")
 
 
-def coefficient_table(df: DataFrame) -> dict[str, float] | None:
-    """A (feature, coefficient) table as a dict, or None when it is too long to send to every task."""
-    rows = df.select("feature", "coefficient").limit(BROADCAST_ROW_LIMIT + 1).collect()
-    return {r[0]: r[1] for r in rows} if len(rows) <= BROADCAST_ROW_LIMIT else None
+def coefficient_table(df: DataFrame) -> DataFrame:
+    """One row per feature; coefficients of a feature listed twice add up."""
+    return df.groupBy("feature").agg(F.sum(F.col("coefficient").cast("double")).alias("coefficient"))
 
 
 def score_linear(
     df: DataFrame, coefficients: DataFrame, intercept: float, id_col: str = "id", features: str = "features",
+    most: int = BROADCAST_ROW_LIMIT,
 ) -> DataFrame:
     """Adds `score` = sigmoid(intercept + Σ value · coefficient); names without a coefficient count 0.
 
-    A short coefficient table goes to every task; a longer one is joined and summed per id,
-    which then must be unique.
+    A null or empty map scores sigmoid(intercept). A coefficient table of up to `most` rows goes to every task; a longer
+    one is joined and summed per row. Both ways give the same scores, whatever ids repeat or are null.
     """
     table = coefficient_table(coefficients)
-    if table is not None:
-        found = df.withColumn("_coefs", lookup_values(F.map_keys(features), table))
+    short = table.limit(most + 1).collect()
+    if len(short) <= most:
+        found = df.withColumn("_coefs", lookup_values(F.map_keys(features), {r[0]: r[1] for r in short}))
         products = F.zip_with(
-            F.map_values(features), F.col("_coefs"), lambda v, c: v * F.coalesce(c, F.lit(0.0))
+            F.map_values(features), F.col("_coefs"), lambda v, c: F.coalesce(v * c, F.lit(0.0))
         )
-        total = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+        total = F.coalesce(F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v), F.lit(0.0))
         return found.withColumn("score", sigmoid(total + F.lit(intercept))).drop("_coefs")
-    cells = df.select(id_col, F.explode_outer(features).alias("feature", "_v"))
-    sums = cells.join(coefficients, "feature").groupBy(id_col).agg(F.sum(F.col("_v") * F.col("coefficient")).alias("_s"))
-    joined = df.join(sums, id_col, "left")
-    return joined.withColumn("score", sigmoid(F.coalesce("_s", F.lit(0.0)) + F.lit(intercept))).drop("_s")
+    # Written once, so that both readers see the same row numbers.
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    cells = rows.select("_row", F.explode(features).alias("feature", "_v"))
+    sums = cells.join(table, "feature").groupBy("_row").agg(F.sum(F.col("_v") * F.col("coefficient")).alias("_s"))
+    joined = rows.join(sums, "_row", "left")
+    return joined.withColumn("score", sigmoid(F.coalesce("_s", F.lit(0.0)) + F.lit(intercept))).drop("_s", "_row")
 
 
 def sigmoid(x: Column) -> Column:

@@ -1,6 +1,7 @@
 """Linear detectors on MLlib: fitting, scoring, routing, persistence."""
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -8,7 +9,7 @@ from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.labels import threat_family
-from ..session import materialize
+from ..session import materialize, shared_dir
 from .explain import explain_linear
 from .features import flow_features, window_text
 from .vectorize import NgramTfidf, NgramTfidfModel, SparseFeatureVectorizer, SparseFeatureVectorizerModel
@@ -102,10 +103,15 @@ def fit_linear(
         vector, F.col("_y").cast("double").alias("_y"),
         (F.when(F.col("_y") == 1, balance[1]).otherwise(balance[0]) * F.col("_u")).alias("_w"),
     )
-    return LogisticRegression(
+    fitted = LogisticRegression(
         featuresCol=vector, labelCol="_y", weightCol="_w", regParam=1.0 / (C * total),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol,
     ).fit(weighted)
+    # A fresh fit carries its training summary and with it the session, which tasks cannot take
+    # along; a stored model is read back without them.
+    path = f"{shared_dir(df.sparkSession)}/models/{uuid.uuid4().hex}"
+    fitted.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def fit_structured(
@@ -281,12 +287,14 @@ def model_info(models: DataFrame, family_thresholds: DataFrame | None = None) ->
         ).alias("available_models"),
         F.max(F.when(on, F.struct(F.when(F.col("requested"), 9).otherwise(-order).alias("o"), "threshold"))).alias("_t"),
     )
-    per_family = F.lit(None).cast("map<string,double>")
+    info = info.withColumn("_families", F.lit(None).cast("map<string,double>"))
     if family_thresholds is not None:
-        rows = {r["family"]: r["threshold"] for r in family_thresholds.orderBy("family").limit(10_001).collect()}
-        if rows:
-            pairs = [F.lit(v) for item in rows.items() for v in item]
-            per_family = F.when(F.col("active_model") == STRUCTURED, F.create_map(*pairs))
+        # One row per family; all of them make one map.
+        named = family_thresholds.filter(F.col("family").isNotNull()).groupBy("family").agg(F.max("threshold").alias("threshold"))
+        entries = F.array_sort(F.collect_list(F.struct("family", F.col("threshold").cast("double").alias("threshold"))))
+        families = named.agg(F.map_from_entries(entries).alias("_families"))
+        info = info.drop("_families").withColumn("_one", F.lit(1)).join(families.withColumn("_one", F.lit(1)), "_one")
+    per_family = F.when((F.col("active_model") == STRUCTURED) & (F.size("_families") > 0), F.col("_families"))
     return info.select("active_model", "available_models", per_family.alias("active_family_thresholds"), "_t").select(
         "active_model", "available_models",
         F.when(F.col("active_family_thresholds").isNotNull(), "per_family").otherwise("global").alias("active_threshold_mode"),

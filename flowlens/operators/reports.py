@@ -41,10 +41,10 @@ def feature_schemas(df: DataFrame, schema_col: str = "feature_schema") -> DataFr
 
 def assert_single_schema(df: DataFrame, schema_col: str = "feature_schema") -> str:
     """The one schema tag of all rows; mixed tags are an error."""
-    tags = [r[0] for r in feature_schemas(df, schema_col).limit(20).collect()]
-    if len(tags) != 1:
-        raise ValueError(f"expected one feature schema, found: {', '.join(sorted(map(str, tags)))}")
-    return tags[0]
+    found = feature_schemas(df, schema_col).agg(F.count(F.lit(1)).alias("n"), F.min("feature_schema").alias("tag")).first()
+    if found["n"] != 1:
+        raise ValueError(f"expected one feature schema, found {found['n']}")
+    return found["tag"]
 
 
 def class_distribution(df: DataFrame, by: tuple[str, ...] = ("dataset_source",), label: str = "label") -> DataFrame:

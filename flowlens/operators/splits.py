@@ -129,8 +129,8 @@ def holdout_split(df: DataFrame, source: str, source_col: str = "dataset_source"
     if False not in sides:
         raise ValueError(f"hold-out source {name} leaves no training rows")
     if True not in sides:
-        known = sorted(r[0] for r in df.select(source_col).distinct().limit(50).collect())
-        raise ValueError(f"hold-out source {name} matches no rows; known sources: {', '.join(known)}")
+        known = df.agg(F.count_distinct(source_col)).first()[0]
+        raise ValueError(f"hold-out source {name} matches no rows of {known} known sources")
     if 0 in sides[False]:
         raise ValueError(f"training rows for hold-out source {name} lack one class")
     if 0 in sides[True]:

@@ -23,6 +23,8 @@ def _struct(**fields) -> T.StructType:
 TAG_KEYS = tuple(dict.fromkeys(EXPLICIT_LABEL_KEYS + LABEL_KEYS + FAMILY_KEYS))
 
 TAG_SCHEMA = _struct(**{key: STRING for key in TAG_KEYS})
+# As read from JSON: labels with their JSON types.
+JSON_TAG_SCHEMA = _struct(**{key: T.VariantType() for key in TAG_KEYS})
 
 METADATA_SCHEMA = _struct(
     dataset_origin=STRING, dataset_source=STRING, feature_schema=STRING, label_source=STRING,
@@ -83,11 +85,13 @@ STORE_SCHEMAS = {
 
 
 def as_text_leaves(kind: T.DataType) -> T.DataType:
-    """The same shape with every scalar as text, so that JSON of any scalar type parses."""
+    """The same shape with every scalar as text, so that JSON of any scalar type parses; labels and counts keep their JSON type."""
     if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, as_text_leaves(f.dataType)) for f in kind.fields])
+        return T.StructType([
+            T.StructField(f.name, T.VariantType() if f.name in TAG_KEYS else as_text_leaves(f.dataType)) for f in kind.fields
+        ])
     if isinstance(kind, T.MapType):
-        return T.MapType(STRING, STRING)
+        return T.MapType(STRING, T.VariantType())
     if isinstance(kind, T.ArrayType):
         return T.ArrayType(STRING)
     return STRING

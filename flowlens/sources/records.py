@@ -2,11 +2,12 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import clean_count_map
+from ..constants import FAMILY_KEYS
+from ..functions.columns import json_count_map, label_text, to_float
 from ..functions.labels import source_tier, window_label
 from ..operators.features import window_text
 from ..operators.ordering import with_file_row_index
-from ..schemas import ALERT_MESSAGE_SCHEMA, RECORD_SCHEMA, WINDOW_SCHEMA, as_text_leaves
+from ..schemas import ALERT_MESSAGE_SCHEMA, RECORD_SCHEMA, TAG_KEYS, WINDOW_SCHEMA, as_text_leaves
 from ..session import prepare
 
 RECORD_FIELDS = [f for f in RECORD_SCHEMA.fields if f.name != "window"]
@@ -18,22 +19,26 @@ LINE_SCHEMA = as_text_leaves(T.StructType(
 ))
 
 
-def _typed(text: Column, kind: T.DataType) -> Column:
+def _typed(text: Column, kind: T.DataType, name: str) -> Column:
     """A value of `kind` from its JSON text; a present but unreadable float is 0."""
+    if name in TAG_KEYS:
+        return label_text(text, as_label=name not in FAMILY_KEYS)
+    if isinstance(kind, T.StructType):
+        return F.when(text.isNotNull(), F.struct(*[_typed(text[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]))
     if isinstance(kind, T.DoubleType):
-        return F.when(text.isNotNull(), F.coalesce(text.try_cast("double"), F.lit(0.0)))
+        return F.when(text.isNotNull(), to_float(text, 0.0))
     if isinstance(kind, T.LongType):
         return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     if isinstance(kind, T.IntegerType):
         return text.try_cast("int")
     if isinstance(kind, T.MapType):
-        return F.when(text.isNotNull(), clean_count_map(text))
+        return F.when(text.isNotNull(), json_count_map(text))
     return text
 
 
 def typed_window(field) -> Column:
     """The window struct from `field(name)`, the JSON text of each of its fields."""
-    return F.struct(*[_typed(field(f.name), f.dataType).alias(f.name) for f in WINDOW_SCHEMA.fields])
+    return F.struct(*[_typed(field(f.name), f.dataType, f.name).alias(f.name) for f in WINDOW_SCHEMA.fields])
 
 
 def _is_object(value: Column) -> Column:
@@ -56,7 +61,7 @@ def parse_records(messages: DataFrame, value: str = "value", *keep: str) -> Data
     nested = line["window"].isNotNull()
     window = typed_window(lambda name: F.when(nested, line["window"][name]).otherwise(line[name]))
     return lines.select(
-        *[_typed(line[f.name], f.dataType).alias(f.name) for f in RECORD_FIELDS], window.alias("window"), *keep
+        *[_typed(line[f.name], f.dataType, f.name).alias(f.name) for f in RECORD_FIELDS], window.alias("window"), *keep
     )
 
 
@@ -119,7 +124,7 @@ def parse_alerts(messages: DataFrame, value: str = "value") -> DataFrame:
     parsed = messages.filter(_is_object(text)).select(F.from_json(text, as_text_leaves(ALERT_MESSAGE_SCHEMA)).alias("_a"))
     a = F.col("_a")
     fields = [
-        (typed_window(lambda name: a["window"][name]) if f.name == "window" else _typed(a[f.name], f.dataType)).alias(f.name)
+        (typed_window(lambda name: a["window"][name]) if f.name == "window" else _typed(a[f.name], f.dataType, f.name)).alias(f.name)
         for f in ALERT_MESSAGE_SCHEMA.fields
     ]
     return parsed.select(*fields).filter(F.col("timestamp").isNotNull())

@@ -8,17 +8,24 @@ from ..schemas import STORE_SCHEMAS, _struct, LONG, STRING, TIMESTAMP
 BACKFILL_SCHEMA = _struct(id=LONG, explanation_summary=STRING, updated_at=TIMESTAMP)
 
 
+# Tables that streams write to, and the folders of their batches.
+LOGS = {"alerts": "alert_log", "audit_log": "audit_batches"}
+
+
 class AlertStore:
     """Parquet tables under one shared folder, written by one writer at a time.
 
     A table is a series of snapshots `<table>/version=N`; the newest one that Spark
-    marked complete is current. Streams add to `alert_log/batch=N` and
-    `alert_backfills/batch=N`; writing a batch again replaces it, so a retried batch
-    changes nothing.
+    marked complete is current. Streams add to `alert_log/batch=N`,
+    `alert_backfills/batch=N` and `audit_batches/batch=N`; a batch that is complete is not
+    written again, so a retry changes nothing. A snapshot remembers the last batch it holds.
+    A store belongs to one stream checkpoint, whose batch numbers only rise.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        # The last batch that a load of each table held.
+        self._seen: dict[str, int] = {}
 
     def _numbered(self, folder: str, prefix: str) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
@@ -36,31 +43,43 @@ class AlertStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/version={versions[-1]}")
 
-    def _batches(self, folder: str, schema, before: int | None) -> DataFrame:
-        batches = self._numbered(folder, "batch")
-        if before is not None:
-            batches = [b for b in batches if b < before]
+    def _batches(self, folder: str, schema, after: int, before: int | None) -> DataFrame:
+        batches = [b for b in self._numbered(folder, "batch") if b > after and (before is None or b < before)]
         if not batches:
             return self.spark.createDataFrame([], schema)
         # The folder name is the `batch` partition, so the filter prunes folders.
         log = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
-        return log.filter(F.col("batch") <= batches[-1]).drop("batch")
+        return log.filter(F.col("batch").between(batches[0], batches[-1])).drop("batch")
+
+    def _through(self, name: str) -> int:
+        """The last stream batch that the current snapshot holds."""
+        versions = self._numbered(name, "version")
+        if not versions or name not in LOGS:
+            return -1
+        marks = self._numbered(f"{name}_through", "version")
+        return self.spark.read.schema("batch long").json(f"{self.root}/{name}_through/version={versions[-1]}").first()[0] if versions[-1] in marks else -1
 
     def load(self, name: str, before_batch: int | None = None) -> DataFrame:
-        """The current table; for alerts, the snapshot and the log with late explanations filled in."""
+        """The current table; where streams write, the snapshot and the later batches, with late explanations filled in."""
         table = self._snapshot(name)
+        if name not in LOGS:
+            return table
+        through = self._through(name)
+        table = table.unionByName(self._batches(LOGS[name], STORE_SCHEMAS[name], through, before_batch))
+        if before_batch is None:
+            self._seen[name] = max([through, *self._numbered(LOGS[name], "batch")])
         if name != "alerts":
             return table
-        log = self._batches("alert_log", STORE_SCHEMAS["alerts"], before_batch)
-        backfills = self._batches("alert_backfills", BACKFILL_SCHEMA, before_batch)
+        backfills = self._batches("alert_backfills", BACKFILL_SCHEMA, through, before_batch)
         first = backfills.groupBy("id").agg(
             F.min_by(F.struct("explanation_summary", "updated_at"), "updated_at").alias("_f")
         ).select("id", "_f.*")
-        return apply_backfills(table.unionByName(log), first)
+        return apply_backfills(table, first)
 
     def last_alert_id(self, before_batch: int | None = None) -> int:
-        """Largest alert id: the newest log batch that holds rows knows it."""
-        batches = [b for b in self._numbered("alert_log", "batch") if before_batch is None or b < before_batch]
+        """Largest alert id: the newest later batch that holds rows knows it, else the snapshot."""
+        through = self._through("alerts")
+        batches = [b for b in self._numbered("alert_log", "batch") if b > through and (before_batch is None or b < before_batch)]
         for batch in reversed(batches):
             newest = last_id(self.spark.read.schema(STORE_SCHEMAS["alerts"]).parquet(f"{self.root}/alert_log/batch={batch}"))
             if newest:
@@ -68,14 +87,30 @@ class AlertStore:
         return last_id(self._snapshot("alerts"))
 
     def save(self, name: str, table: DataFrame) -> None:
-        """Writes the next snapshot; readers switch to it once it is complete."""
-        versions = self._numbered(name, "version")
-        table.select(STORE_SCHEMAS[name].fieldNames()).write.parquet(
-            f"{self.root}/{name}/version={(versions[-1] if versions else 0) + 1}"
-        )
+        """Writes the next snapshot; readers switch to it once it is complete.
 
-    def append_batch(self, added: DataFrame, backfills: DataFrame, batch: int) -> None:
+        A table that streams write to must come from this store's last `load`: the snapshot then stands
+        for all batches that load saw, and later ones are added to it.
+        """
+        versions = self._numbered(name, "version")
+        version = (versions[-1] if versions else 0) + 1
+        if name in LOGS:
+            through = self._seen.get(name, self._through(name))
+            mark = self.spark.createDataFrame([(through,)], "batch long")
+            mark.coalesce(1).write.mode("overwrite").json(f"{self.root}/{name}_through/version={version}")
+        table.select(STORE_SCHEMAS[name].fieldNames()).write.parquet(f"{self.root}/{name}/version={version}")
+
+    def compact(self, name: str = "alerts") -> None:
+        """Folds the stream's batches into a new snapshot, so that later loads read fewer files."""
+        self.save(name, self.load(name))
+
+    def append_batch(self, added: DataFrame, backfills: DataFrame, batch: int, audit: DataFrame | None = None) -> None:
+        """Writes one stream batch; one that is complete stays as it is, so readers of the log see each row once."""
+        if batch in self._numbered("alert_log", "batch"):
+            return
         backfills.write.mode("overwrite").parquet(f"{self.root}/alert_backfills/batch={batch}")
+        if audit is not None:
+            audit.select(STORE_SCHEMAS["audit_log"].fieldNames()).write.mode("overwrite").parquet(f"{self.root}/audit_batches/batch={batch}")
         added.write.mode("overwrite").parquet(f"{self.root}/alert_log/batch={batch}")
 
     @property

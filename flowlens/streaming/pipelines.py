@@ -12,20 +12,27 @@ from ..operators import alerts as A
 from ..operators.features import _key_counts, window_rows, window_text
 from ..operators.models import Detector, score_structured
 from ..schemas import STORE_SCHEMAS
-from ..session import cached, prepare
+from ..session import cached, materialize, prepare
 from ..sources.records import labeled_rows
 from ..sources.store import AlertStore
 
 
-def window_identity(records: DataFrame, now_ms: int) -> DataFrame:
-    """Adds `window_id`, `start_ms`, `end_ms` and `payload_text` with their fallbacks."""
+def window_identity(records: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """Adds `window_id`, `start_ms`, `end_ms` and `payload_text` with their fallbacks.
+
+    Without `now_ms` the time is the batch's, on a stream the micro-batch's; then many windows share it, and
+    one without id and bounds is told apart by a hash of its content.
+    """
     w = F.col("window")
-    start = F.coalesce(w["window_start_ms"], F.lit(now_ms))
+    now = F.unix_millis(F.current_timestamp()) if now_ms is None else F.lit(now_ms)
+    start = F.coalesce(w["window_start_ms"], now)
     end = F.coalesce(w["window_end_ms"], start)
     given = [F.nullif(F.col("id"), F.lit("")), F.nullif(w["id"], F.lit(""))]
-    named = records.withColumns({"start_ms": start, "end_ms": end}).withColumn(
-        "window_id", F.coalesce(*given, F.concat_ws("-", "start_ms", "end_ms"))
-    )
+    bounds = F.concat_ws("-", "start_ms", "end_ms")
+    if now_ms is None:
+        unknown = w["window_start_ms"].isNull() & w["window_end_ms"].isNull()
+        bounds = F.when(unknown, F.concat_ws("-", bounds, F.lower(F.hex(F.xxhash64(F.to_json("window")))))).otherwise(bounds)
+    named = records.withColumns({"start_ms": start, "end_ms": end}).withColumn("window_id", F.coalesce(*given, bounds))
     texted = window_text(named, output="_generated")
     return texted.withColumn("payload_text", F.coalesce(F.nullif("text", F.lit("")), F.col("_generated"))).drop("_generated")
 
@@ -48,7 +55,7 @@ def build_alerts(scored: DataFrame, threshold: float | None = None, timestamp_ms
 
 
 def detect(
-    records: DataFrame, detector: Detector | None, now_ms: int = 0, threshold: float | None = None,
+    records: DataFrame, detector: Detector | None, now_ms: int | None = None, threshold: float | None = None,
     timestamp_ms: int | None = None, scorer=None,
 ) -> DataFrame:
     """Records to alert messages; the same plan on a batch and on a stream. No shuffle is needed."""
@@ -60,10 +67,13 @@ def detect(
 
 def detect_stream(
     windows: DataFrame, detector: Detector | None, sink: str, checkpoint: str, threshold: float | None = None,
-    scorer=None, available_now: bool = False, **options,
+    scorer=None, available_now: bool = False, now_ms: int | None = None, **options,
 ):
-    """Starts detection on a window stream, writing alerts to Kafka or to JSONL files."""
-    alerts = detect(windows, detector, threshold=threshold, scorer=scorer)
+    """Starts detection on a window stream, writing alerts to Kafka or to JSONL files.
+
+    A window without bounds gets the time of its micro-batch, or `now_ms`.
+    """
+    alerts = detect(windows, detector, now_ms, threshold=threshold, scorer=scorer)
     return _start(alerts, sink, checkpoint, options, available_now)
 
 
@@ -91,9 +101,12 @@ def merge_batch(batch: DataFrame, batch_id: int, store: AlertStore, now=None) ->
         if low is None:
             return
         near = store.load("alerts", before_batch=batch_id).filter(F.col("timestamp").between(low, high))
-        incoming = A.incoming_alerts(rows)
-        added = A.added_alerts(near, incoming, stamp, store.last_alert_id(batch_id))
-        store.append_batch(added, A.backfilled_explanations(near, incoming, stamp), batch_id)
+        # Used several times below, so computed once.
+        incoming = materialize(A.incoming_alerts(rows))
+        added = materialize(A.added_alerts(near, incoming, stamp, store.last_alert_id(batch_id)))
+        audit = A.append_audit(store.load("audit_log", before_batch=batch_id).limit(0), A.ingest_actions(added), stamp)
+        last = A.last_id(store.load("audit_log", before_batch=batch_id))
+        store.append_batch(added, A.backfilled_explanations(near, incoming, stamp), batch_id, audit.withColumn("id", F.col("id") + last))
     finally:
         rows.unpersist()
 
@@ -105,9 +118,17 @@ def persist_stream(alerts: DataFrame, store: AlertStore, checkpoint: str, now=No
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def export_stream(windows: DataFrame, path: str, checkpoint: str):
-    """Writes all waiting windows as labeled dataset rows, then stops."""
-    return _start(labeled_rows(windows), path, checkpoint, {}, available_now=True)
+def export_stream(windows: DataFrame, path: str, checkpoint: str, seconds: float | None = None):
+    """Writes windows as labeled dataset rows: all that are waiting, then it stops.
+
+    With `seconds` it also takes what arrives until then and stops after that time at the latest. A bound
+    on rows is the source's: `maxFilesPerTrigger`, or `maxOffsetsPerTrigger` for Kafka.
+    """
+    query = _start(labeled_rows(windows), path, checkpoint, {}, available_now=seconds is None)
+    if seconds is not None and not query.awaitTermination(max(1, int(seconds))):
+        query.processAllAvailable()
+        query.stop()
+    return query
 
 
 def feed_stream(spark: SparkSession, store: AlertStore, since_id: int = 0) -> DataFrame:

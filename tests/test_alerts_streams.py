@@ -185,3 +185,36 @@ def test_rate_limit_stream_state_spans_batches(spark, tmp_path):
 
 def test_severity(one):
     assert [one(severity(F.lit(x))) for x in (0.81, 0.8, 0.6)] == ["threat", "anomaly", "insight"]
+
+
+def _messages(spark, *rows):
+    return spark.createDataFrame([("model_alert", t, w, None, None, 1, "m", 0.9, 0.5, None) for t, w in rows], ALERT_MESSAGE_SCHEMA)
+
+
+def test_store_updated_and_compacted_between_batches(spark, tmp_path):
+    store = AlertStore(spark, str(tmp_path))
+    listed = lambda: sorted((r["id"], r["window_id"], r["explanation_summary"]) for r in store.load("alerts").collect())
+    ST.merge_batch(_messages(spark, (5, "a"), (6, "b")), 0, store, NOW)
+    changes = spark.createDataFrame([(1, "seen")], "id long, explanation_summary string")
+    store.save("alerts", A.update_alerts(store.load("alerts"), changes, NOW))
+    assert listed() == [(1, "a", "seen"), (2, "b", None)]
+    ST.merge_batch(_messages(spark, (6, "b"), (7, "c")), 1, store, NOW)
+    assert listed() == [(1, "a", "seen"), (2, "b", None), (3, "c", None)]
+    store.compact()
+    # A retry after the batch was folded in, then a new batch.
+    ST.merge_batch(_messages(spark, (6, "b"), (7, "c")), 1, store, NOW)
+    ST.merge_batch(_messages(spark, (5, "a"), (8, "d")), 2, store, NOW)
+    assert listed() == [(1, "a", "seen"), (2, "b", None), (3, "c", None), (4, "d", None)]
+    audit = sorted((r["id"], r["target"], r["action"]) for r in store.load("audit_log").collect())
+    assert audit == [(i, f"alert:{i}", "model_alert_ingested") for i in (1, 2, 3, 4)]
+    store.save("audit_log", A.append_audit(store.load("audit_log"), spark.createDataFrame([("u", "read", "alert:1")], "user_id string, action string, target string"), NOW))
+    assert store.load("audit_log").count() == 5
+
+
+def test_windows_without_id_and_bounds_stay_apart(spark, tmp_path):
+    _write(tmp_path / "in", "1.jsonl", [{"window": {**FLOW, "sbytes": b}} for b in (1500, 1600, 1700)])
+    ST.detect_stream(SRC.read_window_stream(spark, str(tmp_path / "in")), None, str(tmp_path / "alerts"), str(tmp_path / "c1"), scorer=_score, available_now=True).awaitTermination()
+    store = AlertStore(spark, str(tmp_path / "store"))
+    ST.persist_stream(SRC.read_alert_stream(spark, str(tmp_path / "alerts")), store, str(tmp_path / "c2"), available_now=True).awaitTermination()
+    rows = store.load("alerts").collect()
+    assert len(rows) == 3 and len({r["window_id"] for r in rows}) == 3 and min(r["timestamp"] for r in rows) > 1_600_000_000_000

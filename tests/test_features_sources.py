@@ -16,8 +16,8 @@ from tests.conftest import ATTACK, BENIGN, FLOW, FRACTURED
 
 def test_flow_features_worked_values(records):
     f = flow_features(records({"window": FLOW})).first()["features"]
-    assert f["bytes_total"] == 1500.0 and f["packets_total"] == 15.0 and f["proto=tcp"] == 1.0
-    assert f["bytes_per_second"] == 750.0 and f["service_rate=http"] == 1.0 and "rate" not in f
+    assert f["bytes_total"] == 1800.0 and f["packets_total"] == 20.0 and f["proto=udp"] == 1.0
+    assert f["bytes_per_second"] == 450.0 and f["service_rate=dns"] == 1.0 and "rate" not in f
     empty = flow_features(records({"window": {"metadata": {}}})).first()["features"]
     assert empty["event_count"] == 1.0 and empty["source_ip_total"] == 0.0 and empty["proto=unknown"] == 1.0
 
@@ -32,19 +32,19 @@ def test_map_count_replaces_one_hot(records):
 
 def test_window_text_and_explanation(records):
     row = window_text(records({"window": {**FLOW, "ct_srv_src": 2}})).first()["window_text"]
-    assert row.startswith("feature_schema=network_flow_v1 event_count=1 dur=2.000000 sbytes=1200.000 ")
-    assert row.endswith("proto=tcp service=http state=con ct_srv_src=2.000") and "Recon" not in row
+    assert row.startswith("feature_schema=network_flow_v1 event_count=1 dur=4.000000 sbytes=1300.000 ")
+    assert row.endswith("proto=udp service=dns state=int ct_srv_src=2.000") and "Exploit" not in row
     scored = records({"window": FLOW}).withColumns({"model_type": F.lit("m"), "model_score": F.lit(0.875)})
     text = with_alert_explanation(scored).first()["explanation_summary"]
-    assert text == "m flagged anomalous network flow [Reconnaissance] (proto=tcp, service=http, state=con, sbytes=1200.0, dbytes=300.0, score=0.88)"
+    assert text == "m flagged anomalous network flow [Exploits] (proto=udp, service=dns, state=int, sbytes=1300.0, dbytes=500.0, score=0.88)"
 
 
 def test_drop_and_relabel(records):
     rows = records(FRACTURED, BENIGN, ATTACK)
     seen = Observation()
-    assert [r["id"] for r in clean_fractured(rows, "drop", observation=seen).collect()] == ["benign", "attack"]
+    assert [r["id"] for r in clean_fractured(rows, "drop", observation=seen).collect()] == ["quiet", "burst"]
     assert seen.get["affected"] == 1
-    fixed = clean_fractured(rows, "relabel").filter("id = 'fractured'")
+    fixed = clean_fractured(rows, "relabel").filter("id = 'lone'")
     w = fixed.first()["window"]
     assert fixed.select(L.record_label("label", "window")).first()[0] == 0
     assert (w["simulation_malicious_event_count"], w["simulation_benign_event_count"]) == (0, 1)

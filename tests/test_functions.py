@@ -5,7 +5,7 @@ from flowlens.functions import columns as C, labels as L, text as X
 from tests.conftest import ATTACK, BENIGN, FLOW, FRACTURED
 
 
-@pytest.mark.parametrize("text, value", [(" TRUE ", 1), ("attack", 1), ("0", 0), ("Benign", 0), ("maybe", None), ("2.5", 1), ("0.0", 0), (None, None)])
+@pytest.mark.parametrize("text, value", [(" TRUE ", 1), ("attack", 1), ("0", 0), ("Benign", 0), ("maybe", None), ("2.5", None), ("nan", None), ("inf", None), ("2", None), (None, None), (2, 1), (2.5, 1), (0.0, 0), (True, 1)])
 def test_parse_label(one, text, value):
     assert one(C.parse_label(F.lit(text))) == value
 
@@ -59,10 +59,10 @@ def test_label_from_nested_objects(records):
 
 def test_family_and_fractured(records):
     rows = records({"window": FLOW}, {"window": {}}, FRACTURED, BENIGN, ATTACK)
-    assert [r[0] for r in rows.select(L.threat_family("window")).collect()][:2] == ["network_reconnaissance", "network_intrusion"]
+    assert [r[0] for r in rows.select(L.threat_family("window")).collect()][:2] == ["network_exploits", "network_intrusion"]
     assert [r[0] for r in rows.select(L.is_fractured("label", "window")).collect()] == [False, False, True, False, False]
     families = rows.select(L.attack_family_candidates("window").alias("f")).collect()[2]["f"]
-    assert families == ["cookie_reuse", "session_hijack", "x"]
+    assert families == ["night_sweep", "port_sweep", "probe"]
 
 
 def test_text_checks(spark):
@@ -80,3 +80,19 @@ def test_secret_scan_lines(spark):
 
 def test_redact_only_the_first_secret(one):
     assert one(X.redact_credentials(F.lit("db://u:p@h:1/x:y@z"))) == "db://u:****@h:1/x:y@z"
+
+
+def test_json_types_of_labels_and_counts(spark):
+    from flowlens.sources.records import parse_records
+
+    labels = [('"nan"', None), ('"inf"', None), ('"2"', None), ("2", 1), ("2.0", 1), ("0.0", 0), ("true", 1), ("false", 0), ('"0"', 0), ('" Attack "', 1), ("null", None), ("-1", 1)]
+    lines = [f'{{"id": "{i}", "label": {text}, "window": {{"event_count": 1, "metadata": {{"label": {text}}}}}}}' for i, (text, _) in enumerate(labels)]
+    rows = parse_records(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = rows.select(rows.id.cast("int"), C.parse_label("label"), L.metadata_label("window")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {i: (v, v) for i, (_, v) in enumerate(labels)}
+    nested = '{"window": {"event_count": 1, "labels": {"malicious": 3, "family": 7}, "ground_truth": {"label": "2"}}}'
+    row = parse_records(spark.createDataFrame([(nested,)], "value string")).select(L.metadata_label("window"), L.attack_family_candidates("window")).first()
+    assert row[0] == 1 and row[1] == ["7"]
+    counts = '{"window": {"event_count": 1, "dur": "1.5d", "counts_by_proto": {"a": 3.0, "b": "3.0", "c": -1, "d": 3.7, "e": "4", "f": true, "g": null, "h": "x", "i": 2}}}'
+    window = parse_records(spark.createDataFrame([(counts,)], "value string")).first()["window"]
+    assert window["counts_by_proto"] == {"a": 3, "c": 0, "d": 3, "e": 4, "f": 1, "i": 2} and window["dur"] == 0.0

@@ -158,3 +158,39 @@ def test_model_info(spark):
     families = spark.createDataFrame([("network_dos", 0.2)], "family string, threshold double")
     info = ML.model_info(models, families).first()
     assert (info["active_threshold_mode"], info["active_threshold"], info["active_family_thresholds"]) == ("per_family", None, {"network_dos": 0.2})
+
+
+def test_linear_scores_the_same_both_ways(spark):
+    from flowlens.operators.explain import score_linear
+
+    rows = spark.createDataFrame(
+        [(1, {"a": 1.0, "b": 2.0}), (1, {"a": 3.0}), (2, None), (3, {}), (None, {"a": 1.0, "z": 9.0}), (4, {"b": None, "a": 2.0})], "id int, features map<string,double>")
+    coefficients = spark.createDataFrame([("a", 0.5), ("b", -1.0), ("a", 0.25)], "feature string, coefficient double")
+    got = [sorted((str(r["id"]), round(r["score"], 12)) for r in score_linear(rows, coefficients, 0.1, most=most).collect()) for most in (10, 1)]
+    sigma = lambda x: round(1 / (1 + math.exp(-x)), 12)
+    want = sorted([("1", sigma(0.1 + 0.75 - 2)), ("1", sigma(0.1 + 2.25)), ("2", sigma(0.1)), ("3", sigma(0.1)), ("None", sigma(0.85)), ("4", sigma(1.6))])
+    assert got[0] == want and got[1] == want
+
+
+def test_all_family_thresholds_are_kept(spark):
+    from flowlens.operators.models import model_info
+
+    models = spark.createDataFrame([("structured_baseline", True, False, 0.4)], "model string, available boolean, requested boolean, threshold double")
+    families = spark.range(12_000).selectExpr("concat('f', id) family", "id / 12000 threshold")
+    row = model_info(models, families).first()
+    assert len(row["active_family_thresholds"]) == 12_000 and row["active_threshold_mode"] == "per_family"
+    assert model_info(models, families.limit(0)).first()["active_threshold"] == 0.4
+
+
+def test_scores_after_an_observation(spark):
+    from pyspark.sql import Observation, functions as F
+
+    from flowlens.operators.models import fit_structured
+
+    seen = Observation()
+    rows = spark.range(60).select(
+        F.col("id"), (F.col("id") % 2).cast("int").alias("label"), F.create_map(F.lit("x"), (F.col("id") % 2) * 2.0 + F.rand(1)).alias("features"))
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 60
+    scores = fit_structured(rows).score(rows).select("label", "score").collect()
+    assert all((r["score"] > 0.5) == (r["label"] == 1) for r in scores)
