@@ -10,12 +10,19 @@ budget questions for any prefix without encoding again.
 from __future__ import annotations
 
 import json
+import struct
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowlens.llm.common import CACHE_ENTRIES, small_batches, texts, worker_state
+from flowlens.llm.common import small_batches, texts, worker_state
+
+# Distinct pre-tokens a Python worker remembers before it starts anew.
+PRE_TOKENS = 1_000_000
+# Pairs of tokens it remembers.
+PAIRS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,7 +48,13 @@ class PrefixCounter:
         for i, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[raw(left), raw(right)] = i
-        self.longest = max(map(len, self.tokens))
+        # Parts and rank of each token's last merge, and the longest token that starts with three bytes.
+        self.made = {left + right: (left, right, rank) for (left, right), rank in self.ranks.items()}
+        self.reach: dict[bytes, int] = {}
+        for token in self.tokens:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
+        self.spines: tuple[dict, dict] = ({}, {})
         self.pattern = regex.compile(pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.doubled = regex.compile(r"\s\s")
@@ -59,29 +72,58 @@ class PrefixCounter:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """What stands at one end of a token (0: left, 1: right), from byte to token, each with the rank of the merge that ends it."""
+        found = self.spines[side].get(token)
+        if found is None:
+            found, end = [], len(self.ranks)
+            part = token
+            while True:
+                found.append((part, end))
+                if part not in self.made:
+                    break
+                end = self.made[part][2]
+                part = self.made[part][side]
+            self.spines[side][token] = found = found[::-1]
+        return found
+
     def follows(self, last: bytes, token: bytes) -> bool:
-        key = (last, token)
-        ok = self.fits.get(key)
-        if ok is None:
-            if len(self.fits) > CACHE_ENTRIES:
-                self.fits.clear()
-            ok = self.fits[key] = self.merged(last + token) == ([last, token] if last else [token])
+        """Whether encoding both together gives the two: no merge across their border comes before those beside it."""
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        if not last:
+            ok = self.merged(token) == [token]
+        else:
+            left, right, i, j, ok = self.spine(last, 1), self.spine(token, 0), 0, 0, True
+            never = len(self.ranks)
+            while True:
+                (a, a_ends), (b, b_ends) = left[i], right[j]
+                across = self.ranks.get((a, b), never)
+                # Of equal merges the left one comes first.
+                if across < a_ends and across <= b_ends and across < never:
+                    ok = False
+                    break
+                if a_ends == b_ends == never:
+                    break
+                if a_ends <= b_ends:
+                    i += 1
+                else:
+                    j += 1
+        self.fits[last, token] = ok
         return ok
 
     def counts(self, data: bytes) -> list[int]:
         """Tokens of data[:i] for each i from 0 to the length; `data` is part of one pre-token."""
-        tokens, fits, longest = self.tokens, self.fits, self.longest
-        counts, lasts = [0], [b""]
-        for end in range(1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = data[begin:end]
-                if token in tokens:
-                    last = lasts[begin]
+        tokens, fits, reach, size = self.tokens, self.fits, self.reach, len(data)
+        counts, lasts = [0] * (size + 1), [b""] * (size + 1)
+        for begin in range(size):
+            last, count = lasts[begin], counts[begin] + 1
+            far = begin + reach.get(data[begin:begin + 3], 2)
+            for end in range(begin + 1, (far if far < size else size) + 1):
+                if not counts[end] and (token := data[begin:end]) in tokens:
                     ok = fits.get((last, token))
                     if ok or ok is None and self.follows(last, token):
-                        counts.append(counts[begin] + 1)
-                        lasts.append(token)
-                        break
+                        counts[end], lasts[end] = count, token
         return counts
 
     def at_characters(self, word: str) -> list[int]:
@@ -94,18 +136,11 @@ class PrefixCounter:
 
     def changes(self, word: str) -> bytes:
         """Change of the count by each character of a pre-token, as 16-bit integers."""
-        found = self.known.get(word)
-        if found is None:
-            counts = self.at_characters(word)
-            if word in ("'re", "'ve", "'ll"):
-                # Cut short, the contraction is a quote and a letter.
-                counts[2] = self.at_characters("'")[-1] + self.at_characters(word[1])[-1]
-            found = np.diff(counts).astype("<i2").tobytes()
-            if len(word) < 64:
-                if len(self.known) > CACHE_ENTRIES:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        counts = self.at_characters(word)
+        if word in ("'re", "'ve", "'ll"):
+            # Cut short, the contraction is a quote and a letter.
+            counts[2] = self.at_characters("'")[-1] + self.at_characters(word[1])[-1]
+        return np.diff(counts).astype("<i2").tobytes() if len(counts) > 64 else struct.pack(f"<{len(counts) - 1}h", *map(sub, counts[1:], counts))
 
     def total(self, text: str) -> int:
         return sum(self.at_characters(w)[-1] for w in self.pattern.findall(text))
@@ -113,10 +148,13 @@ class PrefixCounter:
     def part(self, text: str) -> np.ndarray:
         """Changes along a text without special strings."""
         words, known = self.pattern.findall(text), self.known
-        try:
-            joined = b"".join([known[w] for w in words])
-        except KeyError:
-            joined = b"".join([self.changes(w) for w in words])
+        if len(known) > PRE_TOKENS:
+            known.clear()
+        for word in {*words}.difference(known):
+            known[word] = self.changes(word)
+        joined = b"".join([known[w] for w in words])
+        if len(text) > 1 << 20:
+            known.clear()
         changes = np.frombuffer(joined, "<i2")
         if self.doubled.search(text):
             # White space that ends a prefix is one pre-token, though its last character belongs to the next one.
