@@ -215,6 +215,23 @@ def _(spark, sf):
                     C.to_float("dbytes", 0.0).alias("as_float"), C.to_float(F.concat("flow_id", F.lit(".5d"))).alias("bad_float"))
 
 
+JSON_LABELS = (('"nan"', None), ('"inf"', None), ('"2"', None), ("2", 1), ("2.0", 1), ("0.0", 0), ("true", 1), ('"safe"', 0))
+
+
+@op("p9_json_labels", f"""
+SELECT flow_id, CASE flow_id % {len(JSON_LABELS)} {' '.join(f"WHEN {i} THEN {'NULL' if v is None else v}" for i, (_, v) in enumerate(JSON_LABELS))} END AS label,
+  flow_id AS float_count, CAST(0 AS BIGINT) AS negative, CAST(3 AS BIGINT) AS kept FROM flows""")
+def _(spark, sf):
+    values = F.array(*(F.lit(text) for text, _ in JSON_LABELS))
+    text = F.format_string(
+        '{"id": "%d", "label": %s, "window": {"counts_by_proto": {"a": %d.0, "b": "3.0", "c": -1, "d": "%d"}}}',
+        "flow_id", values[(F.col("flow_id") % len(JSON_LABELS)).cast("int")], "flow_id", "flow_id")
+    rows = SRC.parse_records(view(spark, sf, "flows").select(text.alias("value")))
+    counts = F.col("window.counts_by_proto")
+    return rows.select(F.col("id").cast("bigint").alias("flow_id"), C.parse_label("label").alias("label"), counts["a"].alias("float_count"),
+                       counts["c"].alias("negative"), F.size(counts).cast("bigint").alias("kept"))
+
+
 @op("p9_parse_label", f"""
 SELECT flow_id, {label_sql('raw_label')} AS from_text, CAST(label AS INTEGER) AS from_number, CASE WHEN sbytes > 2000 THEN 1 ELSE 0 END AS from_bool,
   CASE WHEN dbytes IS NULL THEN NULL WHEN dbytes <> 0 THEN 1 ELSE 0 END AS from_float FROM flows""")
@@ -339,12 +356,12 @@ def _(spark, sf):
 
 @op("p23_alert_explanation", """
 SELECT flow_id, concat('structured_baseline flagged anomalous network flow', CASE WHEN attack_cat IS NULL THEN '' ELSE ' [' || attack_cat || ']' END,
-  ' (proto=', proto, ', service=', service, ', state=', state, ', score=', printf('%.2f', score), ')') AS explanation FROM flows""")
+  ' (proto=', proto, ', service=', service, ', state=', state, ', sbytes=', COALESCE(CAST(sbytes AS VARCHAR), '0'), ', dbytes=', COALESCE(CAST(dbytes AS VARCHAR), '0'),
+  ', score=', printf('%.2f', score), ')') AS explanation FROM flows""")
 def _(spark, sf):
     rec = records(spark, sf).join(view(spark, sf, "flows").select("flow_id", "score"), "flow_id").withColumn("m", F.lit("structured_baseline"))
     text = C.with_alert_explanation(rec, "window", "m", "score")
-    plain = F.regexp_replace("explanation_summary", r", sbytes=[^,]*, dbytes=[^,]*", "")
-    return text.select("flow_id", plain.alias("explanation"))
+    return text.select("flow_id", F.col("explanation_summary").alias("explanation"))
 
 
 # --- labels -----------------------------------------------------------------------------
@@ -505,6 +522,16 @@ def _(spark, sf):
                                             F.array_max(dense).alias("largest"), above.alias("above_one"))
 
 
+@op("f5_vector_entries", f"WITH {FEATURES_SQL} SELECT flow_id, name, round(value, 9) AS value FROM features WHERE value <> 0")
+def _(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    featured = FE.flow_features(records(spark, sf))
+    model = SparseFeatureVectorizer().fit(featured)
+    names = spark.createDataFrame(list(enumerate(model.getVocabulary())), "at int, name string")
+    cells = model.transform(featured).select("flow_id", F.posexplode(vector_to_array("feature_vector")).alias("at", "value")).filter("value <> 0")
+    return cells.join(names, "at").select("flow_id", "name", F.round("value", 9).alias("value"))
+
+
 TERMS_SQL = r"""toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
 grams AS (SELECT doc_id, unnest(w) AS term FROM toks UNION ALL
   SELECT doc_id, unnest([x[1] || ' ' || x[2] for x in list_zip(w[:-2], w[2:])]) FROM toks WHERE len(w) > 1),
@@ -747,9 +774,11 @@ def _(spark, sf):
     return by.select("dataset_source", F.explode("label_sources").alias("label_source", "n"))
 
 
-@op("a4_feature_schemas", "SELECT DISTINCT feature_schema FROM alerts")
+@op("a4_feature_schemas", "SELECT DISTINCT CASE WHEN flow_id % 2 = 0 THEN 'other_v1' ELSE 'network_flow_v1' END AS feature_schema FROM flows")
 def _(spark, sf):
-    return R.feature_schemas(records(spark, sf).select(C.feature_schema("window").alias("feature_schema")))
+    tag = F.when(F.col("flow_id") % 2 == 0, F.lit(" Other_V1 "))
+    tagged = records(spark, sf).withColumn("window", F.col("window").withField("feature_schema", tag))
+    return R.feature_schemas(tagged.select(C.feature_schema("window").alias("feature_schema")))
 
 
 @op("a5_class_distribution", "SELECT dataset_source, count(*) AS n, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1 FROM flows GROUP BY 1")
@@ -920,11 +949,16 @@ def _(spark, sf):
 
 
 @op("a20_credibility_warnings", """
-SELECT label_source, count(*) AS n, label_source IN ('legacy_rule', 'unknown') AS weak FROM (SELECT COALESCE(nullif(trim(label_source), ''), 'unknown') AS label_source FROM flows) t GROUP BY 1""")
+SELECT label_source, n, concat_ws(' ', CASE WHEN label_source IN ('legacy_rule', 'unknown') THEN 'weak_labels' END, CASE WHEN n % 2 = 0 THEN 'near_perfect' END,
+  CASE WHEN n % 3 > 0 THEN 'grouped' END) AS warnings
+FROM (SELECT COALESCE(nullif(trim(label_source), ''), 'unknown') AS label_source, count(*) AS n FROM flows GROUP BY 1) t""")
 def _(spark, sf):
-    counts = R.label_source_counts(view(spark, sf, "flows"))
-    weak = F.col("label_source").isin(*[s for s in ("legacy_rule", "unknown") if R.credibility_warnings([s], None, "none", "none")])
-    return counts.withColumn("weak", weak)
+    # One row per label source; score and grouping follow its count.
+    rows = []
+    for source, n in R.label_source_counts(view(spark, sf, "flows")).select("label_source", "n").collect():
+        found = R.credibility_warnings([source], 0.99 if n % 2 == 0 else 0.989, "auto", "campaign" if n % 3 else "none")
+        rows.append((source, n, " ".join(w.split(":")[0] for w in found)))
+    return spark.createDataFrame(rows, "label_source string, n long, warnings string")
 
 
 @op("a21_request_rollup", """
@@ -1078,7 +1112,7 @@ def _detector(spark, sf):
     """One training run per session and table size, shared by the queries below."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _DETECTORS:
-        _DETECTORS[key] = P.train(records(spark, sf), "src_b", max_iter=30)
+        _DETECTORS[key] = P.train(records(spark, sf), "src_b")
     return _DETECTORS[key]
 
 
@@ -1086,27 +1120,49 @@ def _coefficient_rows(spark, model):
     return spark.createDataFrame(list(model.coefficients().items()), "feature string, coefficient double")
 
 
-@op("ml1_fit_structured")
+@op("ml1_fit_structured", f"WITH {FEATURES_SQL} SELECT DISTINCT name AS feature, TRUE AS finite FROM features")
 def _(spark, sf):
-    return _coefficient_rows(spark, ML.fit_structured(_resolved(spark, sf), weight="weight", max_iter=10))
+    rows = _coefficient_rows(spark, ML.fit_structured(_resolved(spark, sf), weight="weight"))
+    return rows.select("feature", (F.abs("coefficient") < float("inf")).alias("finite"))
 
 
 @op("ml2_fit_text")
 def _(spark, sf):
-    return _coefficient_rows(spark, ML.fit_text(_resolved(spark, sf), weight="weight", max_iter=10))
+    return _coefficient_rows(spark, ML.fit_text(_resolved(spark, sf), weight="weight"))
+
+
+def _formula(spark, sf, name):
+    """(id, plain): the score of every record by the linear formula, from the model's published coefficients."""
+    detector = _detector(spark, sf)
+    if name == ML.STRUCTURED:
+        model, rows, column = detector.structured, FE.flow_features(records(spark, sf)), "features"
+    else:
+        model, column = detector.text, "term_weights"
+        rows = model.vectorizer.weights(FE.window_text(records(spark, sf)), column)
+    scored = E.score_linear(rows.select("id", column), _coefficient_rows(spark, model), float(model.classifier.intercept), "id", column)
+    return scored.select("id", F.col("score").alias("plain"))
+
+
+def _held_to_formula(spark, sf, scored, name):
+    """Whether score and prediction are those of the formula and the threshold."""
+    threshold = {ML.STRUCTURED: _detector(spark, sf).structured.threshold, ML.TEXT: _detector(spark, sf).text.threshold}[name]
+    return scored.join(_formula(spark, sf, name), "id").select(
+        "id", "model", (F.abs(F.col("score") - F.col("plain")) < 1e-9).alias("by_formula"),
+        ((F.col("prediction") == 1) == (F.col("score") >= threshold)).alias("by_threshold"))
 
 
-_SCORED = ("id", "model", "score", "threshold", "prediction")
+def _held_sql(*models):
+    return f"SELECT CAST(flow_id AS VARCHAR) AS id, unnest([{quoted(models)}]) AS model, TRUE AS by_formula, TRUE AS by_threshold FROM flows"
 
 
-@op("ml3_score_structured")
+@op("ml3_score_structured", _held_sql("structured_baseline"))
 def _(spark, sf):
-    return ML.score_structured(records(spark, sf), _detector(spark, sf)).select(*_SCORED)
+    return _held_to_formula(spark, sf, ML.score_structured(records(spark, sf), _detector(spark, sf)), ML.STRUCTURED)
 
 
-@op("ml4_score_text")
+@op("ml4_score_text", _held_sql("tfidf_fallback"))
 def _(spark, sf):
-    return ML.score_text(records(spark, sf), _detector(spark, sf)).select(*_SCORED)
+    return _held_to_formula(spark, sf, ML.score_text(records(spark, sf), _detector(spark, sf)), ML.TEXT)
 
 
 def _make_length_model():
@@ -1128,10 +1184,10 @@ def _(spark, sf):
     return scored.select("flow_id", F.round("score", 9).alias("score"), "model", "threshold", "prediction")
 
 
-@op("ml7_score_with_fallback", "SELECT CAST(flow_id AS VARCHAR) AS id, 'structured_baseline' AS model FROM flows")
+@op("ml7_score_with_fallback", _held_sql("structured_baseline"))
 def _(spark, sf):
     available = ML.scorers(_detector(spark, sf))
-    return ML.score_with_fallback(records(spark, sf), available, "distilbert").select("id", "model")
+    return _held_to_formula(spark, sf, ML.score_with_fallback(records(spark, sf), available, "distilbert"), ML.STRUCTURED)
 
 
 TERM_COEFFICIENTS = (("the", 0.5), ("and", -0.3), ("of", 0.2), ("in", -0.9), ("die", 1.5), ("der", -0.4), ("le", 0.8), ("la", -0.6), ("que", 0.7), ("of the", 2.0))
@@ -1164,16 +1220,23 @@ def _(spark, sf):
     return E.explain_occlusion(texts, scorer, 3, "flow_id")
 
 
-@op("ml11_score_with_explanation")
+@op("ml11_score_with_explanation", "SELECT CAST(flow_id AS VARCHAR) AS id, TRUE AS by_formula, TRUE AS by_threshold, TRUE AS strongest_first, TRUE AS at_most_five FROM flows")
 def _(spark, sf):
     rows = ML.score_with_explanation(records(spark, sf), _detector(spark, sf))
-    return rows.select("id", "score", "prediction", F.posexplode_outer("top_features").alias("rank", "t")).select("id", "score", "prediction", "rank", "t.*")
+    strengths = F.transform("top_features", lambda t: t["importance_score"])
+    order = rows.select("id", (strengths == F.reverse(F.array_sort(strengths))).alias("strongest_first"), (F.size(strengths) <= 5).alias("at_most_five"))
+    return _held_to_formula(spark, sf, rows, ML.STRUCTURED).drop("model").join(order, "id")
 
 
-@op("j5_compare_models", "SELECT CAST(flow_id AS VARCHAR) AS id, unnest(['structured_baseline', 'tfidf_fallback', 'distilbert']) AS model FROM flows")
+@op("j5_compare_models", _held_sql("structured_baseline", "tfidf_fallback", "distilbert"))
 def _(spark, sf):
     rows = FE.window_text(records(spark, sf))
-    return ML.compare_models(rows, ML.scorers(_detector(spark, sf), _make_length_model)).select("id", "model")
+    all_models = ML.compare_models(rows, ML.scorers(_detector(spark, sf), _make_length_model))
+    lengths = rows.select("id", (1 / (1 + F.exp(-(F.length("window_text") - 10) / F.lit(10.0)))).alias("plain"))
+    external = all_models.filter("model = 'distilbert'").join(lengths, "id").select(
+        "id", "model", (F.abs(F.col("score") - F.col("plain")) < 1e-9).alias("by_formula"), ((F.col("prediction") == 1) == (F.col("score") >= 0.5)).alias("by_threshold"))
+    parts = [_held_to_formula(spark, sf, all_models.filter(F.col("model") == name), name) for name in (ML.STRUCTURED, ML.TEXT)]
+    return parts[0].unionByName(parts[1]).unionByName(external)
 
 
 def _report_rows(spark, metrics):
@@ -1181,9 +1244,17 @@ def _report_rows(spark, metrics):
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
-@op("ml13_train")
+@op("ml13_train", f"""
+SELECT 'n_samples' AS key, count(*) AS n FROM records UNION ALL SELECT CASE WHEN dataset_source = 'src_b' THEN 'test:' ELSE 'train:' END || dataset_source, count(*) FROM records GROUP BY 1
+UNION ALL SELECT 'label_source:' || {SOURCE_SQL}, count(*) FROM records GROUP BY 1
+UNION ALL SELECT 'holdout_threshold_metrics_in_range', 2""")
 def _(spark, sf):
-    return _report_rows(spark, P.train(records(spark, sf), "src_b", max_iter=20).manifest["metrics"])
+    manifest = _detector(spark, sf).manifest
+    rows = [("n_samples", manifest["n_samples"])]
+    for kind, counts in (("test", "test_source_counts"), ("train", "train_source_counts"), ("label_source", "label_source_counts")):
+        rows += [(f"{kind}:{name}", n) for name, n in manifest[counts].items()]
+    good = sum(all(0 <= v <= 1 for k, v in m.items() if isinstance(v, float)) for m in manifest["metrics"].values())
+    return spark.createDataFrame([*rows, ("holdout_threshold_metrics_in_range", good)], "key string, n long")
 
 
 @op("ml14_evaluate")
@@ -1199,7 +1270,7 @@ def _(spark, sf):
 
 @op("ml16_credibility")
 def _(spark, sf):
-    summary = P.credibility(records(spark, sf), folds=2, repeats=1, max_iter=5)["summary"]
+    summary = P.credibility(records(spark, sf))["summary"]
     return _report_rows(spark, {f"{m}/{k}": v for m, r in summary.items() for k, v in r.items()})
 
 
@@ -1266,6 +1337,22 @@ def _(spark, sf):
     return _persisted(spark, sf).load("alerts").select("id", "timestamp", "window_id", "model_type", "triggered")
 
 
+@op("st2_update_after_stream", f"""
+WITH {ALERT_SQL}, n AS (SELECT row_number() OVER (ORDER BY timestamp, window_id, model_type) AS id, * FROM hits)
+SELECT id, timestamp, window_id, CASE WHEN id % 2 = 0 THEN 'seen' ELSE 'as stored' END AS note, 1 AS audit_rows FROM n""")
+def _(spark, sf):
+    store = _persisted(spark, sf)
+    even = store.load("alerts").filter("id % 2 = 0").select("id", F.lit("seen").alias("explanation_summary"))
+    store.save("alerts", A.update_alerts(store.load("alerts"), even, NOW))
+    store.compact()
+    # The same alerts as one more batch: nothing is stored twice.
+    again = store.load("alerts").select(F.lit("model_alert").alias("alert_type"), "timestamp", "window_id", "feature_schema", "model_type", "model_score", "threshold", "explanation_summary")
+    ST.merge_batch(again, 1_000_000, store, NOW)
+    audit = store.load("audit_log").groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("audit_rows"))
+    note = F.when(F.col("explanation_summary") == "seen", "seen").otherwise("as stored")
+    return store.load("alerts").withColumn("target", F.concat(F.lit("alert:"), "id")).join(audit, "target").select("id", "timestamp", "window_id", note.alias("note"), "audit_rows")
+
+
 @op("st3_export_stream", f"""
 SELECT concat(CAST(start_ms AS VARCHAR), '-', CAST(end_ms AS VARCHAR)) AS id, COALESCE({META_LABEL}, 0) AS label,
   CASE WHEN {META_LABEL} IS NULL THEN 'low' ELSE 'high' END AS label_quality_tier FROM records""")
@@ -1291,13 +1378,23 @@ def _(spark, sf):
     return _drain(spark, windows).select("window_start_ms", "event_count", "unique_type_count")
 
 
-@op("st6_rate_limit_audit")
+def _limit_sql(key):
+    """Replays the limit row by row: each key carries the accepted times that still count, at most ten."""
+    kept = "list_filter(s.times, lambda t: t > r.ts_ms - 3600000)"
+    return f"""
+WITH RECURSIVE r AS (SELECT {key} AS k, ts_ms, row_number() OVER (PARTITION BY {key} ORDER BY ts_ms, request_id) AS i FROM requests),
+s(k, i, times, accepted) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), FALSE FROM r UNION ALL
+  SELECT r.k, r.i, CASE WHEN len({kept}) < 10 THEN list_append({kept}, r.ts_ms) ELSE {kept} END, len({kept}) < 10 FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1)
+"""
+
+
+@op("st6_rate_limit_audit", _limit_sql("endpoint") + "SELECT k AS endpoint, accepted, count(*) AS n FROM s WHERE i > 0 GROUP BY 1, 2")
 def _(spark, sf):
     requests = view(spark, sf, "requests")
     return rate_limit_audit(requests, 10, 3600, "endpoint").groupBy("endpoint", "accepted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@op("st6_rate_limit_stream")
+@op("st6_rate_limit_stream", _limit_sql("substr(endpoint, 2)") + "SELECT k AS key, accepted, count(*) AS n FROM s WHERE i > 0 GROUP BY 1, 2")
 def _(spark, sf):
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")

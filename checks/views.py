@@ -85,6 +85,8 @@ def check_sql(body: str) -> str:
     """`body` with every view in front of it."""
     ctes = ", ".join(f"{name} AS ({_filled(text, CHECK_TOKENS)})" for name, text in VIEWS.items())
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
