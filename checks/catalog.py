@@ -1246,7 +1246,7 @@ def _report_rows(spark, metrics):
 
 @op("ml13_train", f"""
 SELECT 'n_samples' AS key, count(*) AS n FROM records UNION ALL SELECT CASE WHEN dataset_source = 'src_b' THEN 'test:' ELSE 'train:' END || dataset_source, count(*) FROM records GROUP BY 1
-UNION ALL SELECT 'label_source:' || {SOURCE_SQL}, count(*) FROM records GROUP BY 1
+UNION ALL SELECT 'label_source:' || COALESCE(nullif(trim(label_source), ''), 'unknown'), count(*) FROM records GROUP BY 1
 UNION ALL SELECT 'holdout_threshold_metrics_in_range', 2""")
 def _(spark, sf):
     manifest = _detector(spark, sf).manifest
