@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import INVESTIGATION_STATUSES, LEGACY_MODEL_TYPES, MODEL_TYPES
 from ..schemas import STORE_SCHEMAS
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from .ordering import with_row_index
 
 ALERT_KEY = ["window_id", "model_type", "timestamp"]
@@ -75,11 +75,17 @@ def alert_feed(alerts: DataFrame, since_id: int = 0) -> DataFrame:
 
 def alert_investigations(alerts: DataFrame, investigations: DataFrame, alert_id=None) -> DataFrame:
     """Investigations of existing alerts, newest first."""
-    known = _where(alerts.select(F.col("id").alias("alert_id")), alert_id=alert_id)
-    rows = investigations.join(known, "alert_id", "left_semi")
+    asked = _where(investigations, alert_id=alert_id)
+    rows = asked.join(_known_alerts(alerts, asked), "alert_id", "left_semi")
     return rows.orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
+def _known_alerts(alerts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ids of stored alerts among the `alert_id`s of `rows`: few ids go to the large table, not the other way round."""
+    ids = rows.select("alert_id").distinct()
+    return alerts.select(F.col("id").alias("alert_id")).join(broadcast_if_small(ids), "alert_id", "left_semi")
+
+
 # --- counts and reports ------------------------------------------------------------
 
 def alert_count(alerts, model_type=None, triggered=None) -> DataFrame:
@@ -254,7 +260,8 @@ def apply_backfills(alerts: DataFrame, backfills: DataFrame) -> DataFrame:
 
 def merge_alerts(existing: DataFrame, batch: DataFrame, now) -> DataFrame:
     """The alert table after a batch: first arrival of a key wins, empty explanations are filled in."""
-    incoming = incoming_alerts(batch)
+    # Used by four joins below, so computed once.
+    incoming = materialize(incoming_alerts(batch))
     kept = apply_backfills(existing, backfilled_explanations(existing, incoming, now))
     return kept.unionByName(added_alerts(existing, incoming, now))
 
@@ -308,9 +315,7 @@ def create_investigations(investigations: DataFrame, new: DataFrame, alerts: Dat
     checked = F.when(status.isin(*INVESTIGATION_STATUSES), status).otherwise(
         F.raise_error(F.concat(F.lit("unknown status: "), status)).cast("string")
     )
-    rows = new.withColumn("status", checked).join(
-        alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_semi"
-    )
+    rows = new.withColumn("status", checked).join(_known_alerts(alerts, new), "alert_id", "left_semi")
     at = F.lit(now).cast("timestamp")
     stamped = rows.withColumns({"created_at": at, "updated_at": at})
     order = [c for c in ("alert_id", "user_id", "status", "notes") if c in stamped.columns]

@@ -27,12 +27,6 @@ def _label_counts(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
 
-def _both_classes(df: DataFrame, label: str) -> tuple[int, int, int]:
-    y = F.col(label)
-    row = df.agg(F.count(F.lit(1)), F.count_if(y == 0), F.count_if(y == 1)).first()
-    return row[0], row[1], row[2]
-
-
 def time_split(
     df: DataFrame, test_size: float = 0.2, label: str = "label",
     order_by: tuple[str, ...] = ("window_start_ms", "window_end_ms", "id"), seed: int = 42,

@@ -113,7 +113,12 @@ def ngrams(text) -> Column:
 
 
 def term_statistics(df: DataFrame, text: str) -> DataFrame:
-    """Corpus count and document count per term.
+    """Corpus count and document count per term."""
+    return _counted_terms(df, text).filter(F.col("term").isNotNull())
+
+
+def _counted_terms(df: DataFrame, text: str) -> DataFrame:
+    """Corpus count and document count per term; the null term stands for the document itself.
 
     Terms are sorted inside their document, so that the first of equal neighbors
     stands for the document and one shuffle, after local sums, gives both counts.
@@ -122,11 +127,13 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
         term.alias("term"),
         (~F.coalesce(F.get(terms, at - F.lit(1)) == term, F.lit(False))).cast("int").alias("first"),
     ))
+    itself_type = "array<struct<term:string,first:int>>"
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first"))).cast(itself_type)
     sorted_terms = df.select(F.sort_array(ngrams(text)).alias("_terms"))
     return (
         # `explode` would add a size filter that builds and sorts the terms a second time.
-        sorted_terms.select(F.explode_outer(first(F.col("_terms"))).alias("t")).select("t.*")
-        .filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("doc_count"))
+        sorted_terms.select(F.explode_outer(F.concat(itself, F.coalesce(first(F.col("_terms")), F.array().cast(itself_type)))).alias("t")).select("t.*")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("doc_count"))
     )
 
 
@@ -140,10 +147,11 @@ class NgramTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, De
         self._set(inputCol=inputCol, outputCol=outputCol, maxTerms=maxTerms)
 
     def _fit(self, dataset: DataFrame) -> "NgramTfidfModel":
-        documents = dataset.count()
-        statistics = term_statistics(dataset, self.getInputCol())
-        top = statistics.orderBy(F.col("corpus_count").desc(), "term").limit(self.getOrDefault(self.maxTerms))
-        rows = sorted(top.collect(), key=lambda r: r["term"])
+        # One pass over the texts: the null term, sorted first, counts the documents.
+        counted = _counted_terms(dataset, self.getInputCol()).orderBy(F.col("term").isNotNull(), F.col("corpus_count").desc(), "term")
+        top = counted.limit(self.getOrDefault(self.maxTerms) + 1).collect()
+        documents = sum(r["doc_count"] for r in top if r["term"] is None)
+        rows = sorted((r for r in top if r["term"] is not None), key=lambda r: r["term"])
         idf = [float(np.log((1 + documents) / (1 + r["doc_count"])) + 1) for r in rows]
         model = NgramTfidfModel(self.getInputCol(), self.getOutputCol())
         return model._set(vocabulary=[r["term"] for r in rows], idf=idf)

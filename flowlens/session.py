@@ -4,10 +4,11 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Rows a table may hold and still be sent to every executor.
+# Rows, and bytes of their values as text, a table may hold and still be sent to every executor.
 BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -33,16 +34,41 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Folders that `materialize` wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that `materialize` wrote in this application and returns their number.
+
+    To be called when every result that reads them has been written or collected; results that have not
+    been computed yet fail afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes `df` once to shared storage and reads it back: later uses see the same rows."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Adds a broadcast hint when a count shows at most `limit` rows; otherwise Spark shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, most_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Adds a broadcast hint when a count shows at most `limit` rows of few bytes in all; otherwise Spark shuffles."""
+    fixed = sum(not isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) for f in df.schema)
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema
+        if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+    ]
+    width = sum(sizes, F.lit(8 * fixed)).cast("long")
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most_bytes else df
 
 
 def cached(df: DataFrame) -> DataFrame:

@@ -193,3 +193,25 @@ def test_rate_limit_against_brute_force(spark, limit, window_s):
     df = spark.createDataFrame(rows, "request_id long, key string, ts_ms long")
     got = {x["request_id"]: x["accepted"] for x in rate_limit_audit(df, limit, window_s).collect()}
     assert got == expected and not all(expected.values())
+
+
+def test_release_deletes_written_tables(spark):
+    from pathlib import Path
+
+    from flowlens.session import materialize, release
+
+    release(spark)
+    written = materialize(spark.range(5))
+    assert written.count() == 5
+    folder = Path(written.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and release(spark) == 1 and not folder.exists() and release(spark) == 0
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.session import broadcast_if_small
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    small = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("note"))
+    assert hinted(broadcast_if_small(small)) and not hinted(broadcast_if_small(small, most_bytes=5000)) and not hinted(broadcast_if_small(small, 5))
