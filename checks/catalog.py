@@ -498,13 +498,16 @@ def _(spark, sf):
     return FE.flow_features(records(spark, sf)).select("flow_id", F.explode_outer("features").alias("name", "value"))
 
 
-@op("f4_window_text", """
+F4_SQL = """
 SELECT flow_id, concat('feature_schema=network_flow_v1 event_count=', event_count, printf(' dur=%.6f', dur), printf(' sbytes=%.3f', sbytes),
   printf(' dbytes=%.3f', COALESCE(dbytes, 0.0e0)), printf(' spkts=%.3f', spkts), printf(' dpkts=%.3f', dpkts),
   printf(' bytes_total=%.3f', sbytes + COALESCE(dbytes, 0.0e0)), printf(' packets_total=%.3f', spkts + dpkts),
   printf(' bytes_per_second=%.3f', (sbytes + COALESCE(dbytes, 0.0e0)) / greatest(dur, 1.0e-6)), printf(' packets_per_second=%.3f', (spkts + dpkts) / greatest(dur, 1.0e-6)),
   printf(' source_ip_spread=%.3f', 1.0e0 / event_count), printf(' destination_ip_spread=%.3f', 1.0e0 / event_count),
-  ' proto=', proto, ' service=', service, ' state=', state) AS window_text FROM flows""")
+  ' proto=', proto, ' service=', service, ' state=', state) AS window_text FROM flows"""
+
+
+@op("f4_window_text", F4_SQL)
 def _(spark, sf):
     return FE.window_text(records(spark, sf)).select("flow_id", "window_text")
 
@@ -1126,9 +1129,12 @@ def _(spark, sf):
     return rows.select("feature", (F.abs("coefficient") < float("inf")).alias("finite"))
 
 
-@op("ml2_fit_text")
+@op("ml2_fit_text", f"""
+WITH texts AS ({F4_SQL}), {TERMS_SQL.replace('SELECT doc_id, regexp', 'SELECT flow_id AS doc_id, regexp').replace('lower(text)', 'lower(window_text)').replace('FROM documents', 'FROM texts')},
+top AS (SELECT term FROM stats ORDER BY corpus_count DESC, term LIMIT 1500) SELECT term AS feature, TRUE AS finite FROM top""")
 def _(spark, sf):
-    return _coefficient_rows(spark, ML.fit_text(_resolved(spark, sf), weight="weight"))
+    rows = _coefficient_rows(spark, ML.fit_text(_resolved(spark, sf), weight="weight"))
+    return rows.select("feature", (F.abs("coefficient") < float("inf")).alias("finite"))
 
 
 def _formula(spark, sf, name):
@@ -1239,9 +1245,25 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(external)
 
 
-def _report_rows(spark, metrics):
-    rows = [(m, k, float(v)) for m, r in metrics.items() for k, v in r.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
-    return spark.createDataFrame(rows, "model string, metric string, value double")
+def _support_rows(spark, metrics):
+    """(model, key, n) of each model's held-out rows, and whether its metrics follow from its confusion counts."""
+    rows = []
+    for model, m in metrics.items():
+        tn, fp, fn, tp = (m[k] for k in ("tn", "fp", "fn", "tp"))
+        rows += [(model, k, m[k]) for k in ("n_samples", "negative_support", "positive_support")]
+        same = (tn + fp, fn + tp) == (m["negative_support"], m["positive_support"]) and abs(m["accuracy"] - (tn + tp) / m["n_samples"]) < 1e-12
+        same = same and abs(m["positive_recall"] - tp / (fn + tp)) < 1e-12 and 0 <= m["roc_auc"] <= 1 and 0 <= m["average_precision"] <= 1
+        rows.append((model, "consistent", int(same)))
+    return spark.createDataFrame(rows, "model string, key string, n long")
+
+
+def _support_sql(*models):
+    return f"""
+WITH o AS (SELECT {REC_LABEL} AS label, row_number() OVER (ORDER BY start_ms, end_ms, CAST(flow_id AS VARCHAR)) - 1 AS r, count(*) OVER () AS n FROM records),
+h AS (SELECT label FROM o WHERE r >= greatest(1, least(n - 1, CAST(round_even(n * (1 - 0.2e0), 0) AS BIGINT)))),
+m AS (SELECT unnest([{quoted(models)}]) AS model)
+SELECT model, 'n_samples' AS key, count(*) AS n FROM h, m GROUP BY model UNION ALL SELECT model, 'negative_support', count(*) FILTER (label = 0) FROM h, m GROUP BY model
+UNION ALL SELECT model, 'positive_support', count(*) FILTER (label = 1) FROM h, m GROUP BY model UNION ALL SELECT model, 'consistent', 1 FROM m"""
 
 
 @op("ml13_train", f"""
@@ -1257,21 +1279,29 @@ def _(spark, sf):
     return spark.createDataFrame([*rows, ("holdout_threshold_metrics_in_range", good)], "key string, n long")
 
 
-@op("ml14_evaluate")
+@op("ml14_evaluate", _support_sql("structured_baseline", "text_tfidf"))
 def _(spark, sf):
-    return _report_rows(spark, P.evaluate(records(spark, sf), _detector(spark, sf))["comparisons"])
+    return _support_rows(spark, P.evaluate(records(spark, sf), _detector(spark, sf))["comparisons"])
 
 
-@op("ml15_compare")
+@op("ml15_compare", _support_sql("structured_baseline", "tfidf_fallback", "distilbert"))
 def _(spark, sf):
     report = P.compare(records(spark, sf), ML.scorers(_detector(spark, sf), _make_length_model))
-    return _report_rows(spark, {m: report[m] for m in ("structured_baseline", "tfidf_fallback", "distilbert")})
+    return _support_rows(spark, {m: report[m] for m in ("structured_baseline", "tfidf_fallback", "distilbert")})
 
 
-@op("ml16_credibility")
+@op("ml16_credibility", f"""
+SELECT 'n_samples' AS key, CAST(count(*) AS DOUBLE) AS value FROM records UNION ALL SELECT 'label_' || CAST({REC_LABEL} AS VARCHAR), count(*) FROM records GROUP BY 1
+UNION ALL VALUES ('folds', 5.0), ('repeats', 3.0), ('models', 3.0), ('metrics', 18.0), ('ordered_bounds', 18.0), ('constant_recall', 0.0), ('constant_balanced_accuracy', 0.5)""")
 def _(spark, sf):
-    summary = P.credibility(records(spark, sf))["summary"]
-    return _report_rows(spark, {f"{m}/{k}": v for m, r in summary.items() for k, v in r.items()})
+    report = P.credibility(records(spark, sf))
+    summary, constant = report["summary"], report["summary"]["always_normal"]
+    cells = [cell for metrics in summary.values() for cell in metrics.values()]
+    rows = [("n_samples", report["n_samples"]), *((f"label_{y}", n) for y, n in report["label_counts"].items()),
+            ("folds", report["evaluation"]["folds"]), ("repeats", report["evaluation"]["repeats"]), ("models", len(summary)), ("metrics", len(cells)),
+            ("ordered_bounds", sum(c["ci95_low"] <= c["mean"] <= c["ci95_high"] for c in cells)),
+            ("constant_recall", constant["positive_recall"]["mean"]), ("constant_balanced_accuracy", constant["balanced_accuracy"]["mean"])]
+    return spark.createDataFrame([(k, float(v)) for k, v in rows], "key string, value double")
 
 
 # --- streams ---------------------------------------------------------------------------------------------

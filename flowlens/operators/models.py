@@ -103,6 +103,8 @@ def fit_linear(
         vector, F.col("_y").cast("double").alias("_y"),
         (F.when(F.col("_y") == 1, balance[1]).otherwise(balance[0]) * F.col("_u")).alias("_w"),
     )
+    # Each of many iterations is a job: few rows are not worth many tasks. Larger tables keep their splits.
+    weighted = weighted.coalesce(max(1, n // 20_000))
     fitted = LogisticRegression(
         featuresCol=vector, labelCol="_y", weightCol="_w", regParam=1.0 / (C * total),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol,
