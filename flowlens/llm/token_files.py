@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from flowlens.llm import simple8b
 from flowlens.llm.common import small_batches, texts, worker_state
 
 # Distinct words a Python worker remembers before it starts anew.
-WORDS = 500_000
+WORDS = 400_000
 
 
 class WordTokenizer:
@@ -42,7 +43,7 @@ class WordTokenizer:
         with open(vocabulary_path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, end = byte_letters(), spec["model"]["end_of_word_suffix"]
-        self.library = Tokenizer.from_file(vocabulary_path)
+        self.library = cache(lambda: Tokenizer.from_file(vocabulary_path))
         self.special = [t["content"] for t in spec["added_tokens"]]
         # Words stand on lines of their own; a line end is a part too.
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
@@ -59,7 +60,7 @@ class WordTokenizer:
         plain = []
         for word in words:
             if b"\0" in word or b"<|" in word:
-                ids = self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+                ids = self.library().encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
                 self.known[word] = np.array(ids, "<u4").tobytes()
             else:
                 plain.append(word)
