@@ -1,8 +1,8 @@
 """The streaming forms: detection, alert persistence, export, feed, windows, rate limit."""
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -11,6 +11,7 @@ from ..functions.columns import feature_schema, with_alert_explanation
 from ..operators import alerts as A
 from ..operators.features import _key_counts, window_rows, window_text
 from ..operators.models import Detector, score_structured
+from ..operators.rate_limit import admit
 from ..schemas import STORE_SCHEMAS
 from ..session import cached, materialize, prepare
 from ..sources.records import labeled_rows
@@ -167,18 +168,12 @@ def rate_limit_stream(
     )
 
     def enforce(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = deque(state.get[0] if state.exists else ())
+        held = np.array(state.get[0] if state.exists else [], np.int64)
         # One key's rows of one micro-batch; the source's batch size bounds them.
-        for batch in [pd.concat(list(batches)).sort_values(["ts_ms", "request_id"])]:
-            accepted = []
-            for t in batch["ts_ms"]:
-                while times and times[0] <= t - width:
-                    times.popleft()
-                accepted.append(len(times) < limit)
-                if accepted[-1]:
-                    times.append(int(t))
-            yield batch.assign(accepted=accepted)[["request_id", "key", "ts_ms", "accepted"]]
-        state.update((list(times),))
+        batch = pd.concat(list(batches)).sort_values(["ts_ms", "request_id"])
+        accepted, held = admit(batch["ts_ms"].to_numpy(), held, limit, width)
+        state.update((held.tolist(),))
+        yield batch.assign(accepted=accepted)[["request_id", "key", "ts_ms", "accepted"]]
 
     return rows.groupBy("key").applyInPandasWithState(
         enforce, "request_id long, key string, ts_ms long, accepted boolean", "times array<long>",

@@ -215,3 +215,24 @@ def test_broadcast_is_bounded_in_bytes(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     small = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("note"))
     assert hinted(broadcast_if_small(small)) and not hinted(broadcast_if_small(small, most_bytes=5000)) and not hinted(broadcast_if_small(small, 5))
+
+
+def test_admit_equals_a_row_by_row_limit():
+    import numpy as np
+
+    from flowlens.operators.rate_limit import admit
+
+    r = random.Random(9)
+    for _ in range(300):
+        limit, width = r.randint(0, 4), r.randint(1, 30)
+        times = np.array(sorted(r.randint(0, 120) for _ in range(r.randint(0, 60))), np.int64)
+        held, want = [], []
+        for t in times.tolist():
+            held = [x for x in held if x > t - width]
+            want.append(len(held) < limit)
+            if want[-1]:
+                held.append(t)
+        cut = r.randint(0, len(times))
+        first, rest = admit(times[:cut], np.empty(0, np.int64), limit, width)
+        second, _ = admit(times[cut:], rest, limit, width)
+        assert [*first.tolist(), *second.tolist()] == want
