@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,24 @@ class RankCoder:
 
     def __init__(self, ranks_path: str, pattern: str):
         import regex
-        import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.raw = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.raw[rank] = token
         self.decimal = [str(i).encode() for i in range(len(self.raw))]
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """The library's encoder; a worker that only decodes never makes it."""
+        import tiktoken
+
+        ranks = {token: rank for rank, token in enumerate(self.raw) if token}
+        return tiktoken.Encoding("ranks", pat_str=self.pattern.pattern, mergeable_ranks=ranks, special_tokens={})
+
     def starts(self, text: str) -> list[int]:
         return [m.start() for m in self.pattern.finditer(text)]
 

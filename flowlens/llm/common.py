@@ -8,26 +8,37 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.session import shared_dir
 
 # Entries a Python worker's word cache may hold before it starts anew.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
+# Operators whose state a Python worker holds; workers outlive the stages of a pipeline.
+STATES = 2
 
 
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
-    """One object per Python worker process: made by the first task that asks, reused by later tasks."""
-    store = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    """One object per Python worker process: made by the first task that asks, reused by later tasks.
+
+    The STATES objects that were asked for last are held, so a long session does not add them up.
+    """
+    held = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state")).__dict__.setdefault("held", {})
+    found = held.pop(name, None)
+    if found is None:
+        while len(held) >= STATES:
+            held.pop(next(iter(held)))
+            pa.default_memory_pool().release_unused()
+        found = make()
+    held[name] = found
+    return found
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

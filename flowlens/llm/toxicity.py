@@ -95,6 +95,10 @@ class Voters:
         return votes
 
 
+def _voters(lexicon: tuple[str, ...]) -> Voters:
+    return worker_state("voters " + " ".join(lexicon), lambda: Voters(lexicon))
+
+
 @dataclass(frozen=True)
 class ToxicModel:
     lexicon: tuple[str, ...]
@@ -102,7 +106,7 @@ class ToxicModel:
     weights: np.ndarray
 
     def score(self, texts) -> np.ndarray:
-        voters = worker_state(f"toxic:{hash(self.lexicon)}:{len(self.lexicon)}", lambda: Voters(self.lexicon))
+        voters = _voters(self.lexicon)
         x = np.array([voters.measure(t or "") for t in texts]).reshape(-1, len(self.weights) - 1)
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
@@ -205,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
 
     @F.pandas_udf("array<double>")
     def measured(text: pd.Series) -> pd.Series:
-        voters = worker_state(f"toxic:{hash(words)}:{len(words)}", lambda: Voters(words))
+        voters = _voters(words)
         return text.map(lambda t: voters.measure(t).tolist())
 
     frame = bounded_rows(sample.select("doc_id", "label", measured("text").alias("x")), 2 * per_class)
