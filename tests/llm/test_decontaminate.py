@@ -85,3 +85,24 @@ def test_random_texts_against_plain_search(spark):
     assert want <= got and len(want) > 5
     # Merged neighbouring diagonals may add overlaps with words put in or left out.
     assert len(got - want) <= 3
+
+
+def test_repeated_phrases_and_short_items(spark):
+    w = _words(60, 11)
+    phrase, five, ten = w[:8], w[20:25], w[30:40]
+    repeated = [*phrase, w[8], w[9], *phrase, *w[10:15]]
+    items = [(1, repeated), (2, five), (3, ten), (4, ["la"] * 20)]
+    change = lambda item, *at: [f"new{i}" if i in at else x for i, x in enumerate(item)]
+    # 11 of 13 words agree, all on the diagonal of the phrase's second place.
+    docs = [(1, [*phrase, "z", "z", *w[12:15]]), (2, ten[:4] + five), (4, ["la"] * 10), (5, ["la"] * 15), (6, five[:3])]
+    docs += [(10 + k, change(five, k)) for k in range(5)] + [(20, change(five, 1, 3)), (21, change(ten, 4, 5)), (22, change(ten, 0, 9)), (23, change(ten, 2, 4, 5))]
+    frames = [spark.createDataFrame([(k, " ".join(x)) for k, x in t], f"{c} long, text string") for c, t in (("doc_id", docs), ("item_id", items))]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(*frames).collect()}
+    assert got == {(1, 1), (2, 2), (5, 4), *((10 + k, 2) for k in range(5)), (21, 3), (22, 3)}
+
+
+def test_diagonals_of_places():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a, b = (np.unique(rng.integers(0, 50, rng.integers(1, 9))).astype(np.int32) for _ in range(2))
+        assert D.diagonals_of(a, b).tolist() == sorted({int(x) - int(y) for x in a for y in b})
