@@ -32,6 +32,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     return w
 
 
+def _known(labels: DataFrame, label_col: str, label_id_col: str) -> DataFrame:
+    """(doc_id, label) of the labels that fitting may see."""
+    key = labels[label_id_col].cast("long")
+    return labels.where(key.isNotNull() & ~held_out(key)).select(key.alias("doc_id"), labels[label_col].cast("int").alias("label")).distinct()
+
+
+def class_weights(labels: DataFrame, label_col: str, per_class: int, label_id_col: str = "doc_id") -> tuple[float, float]:
+    """Weights of the sampled rows of label 0 and of label 1, with which their mix is that of all labels; 1 on average.
+
+    The sample takes at most `per_class` ids of each label, so its own mix changes with the size of the input.
+    """
+    known = _known(labels, label_col, label_id_col)
+    n = {r["label"]: r["count"] for r in known.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
+    total = [n.get(y, 0) for y in (0, 1)]
+    taken = [min(x, per_class) for x in total]
+    return tuple(x / t * sum(taken) / sum(total) if t else 1.0 for x, t in zip(total, taken))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
 ) -> DataFrame:
@@ -40,8 +58,7 @@ def labelled_sample(
     The ids come first by hash, so the same rows are taken whatever the partitions; null labels and ids are left out.
     At most twice `per_class` ids are sent to the tasks.
     """
-    key = labels[label_id_col].cast("long")
-    known = labels.where(key.isNotNull() & ~held_out(key)).select(key.alias("doc_id"), labels[label_col].cast("int").alias("label")).distinct()
+    known = _known(labels, label_col, label_id_col)
     chosen = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.common import free_name, held_out, small_batches, stored, worker_state
-from flowlens.llm.linear import bounded_rows, fit_logistic, labelled_sample, sigmoid
+from flowlens.llm.linear import bounded_rows, class_weights, fit_logistic, labelled_sample, sigmoid
 
 # Labelled documents of each class that a fit sees at most, and words or stems it may add to the lexicon.
 PER_CLASS = 2000
@@ -111,28 +111,31 @@ class ToxicModel:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, weight: np.ndarray | None = None, share_of_one: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posteriors, accuracies, weights of the voters) of votes in -1, 0, 1, by expectation and maximisation.
 
     For each voter and class the shares of its three answers are estimated; `start` are the first beliefs. Within the classes
     voters that agree beyond chance share their weight: a voter's weight is one over one plus its correlations.
+    A row counts by its `weight`, 1 on average. `share_of_one` is the share of class 1 if it is known, else it is estimated.
     """
+    weight = np.ones(len(votes)) if weight is None else weight
     answers = [votes == v for v in (-1, 0, 1)]
+    mean = lambda x, rows=slice(None): np.average(x[rows], axis=0, weights=weight[rows])
     belief, share = start, np.ones(votes.shape[1])
     for _ in range(rounds):
         tables = []
-        for b in (1 - belief, belief):
+        for b in (weight * (1 - belief), weight * belief):
             # Shares lean to those of all rows, so that a voter that never speaks says nothing.
-            tables.append(np.array([(b @ a + 2 * a.mean(0) + 1e-6) / (b.sum() + 2 + 3e-6) for a in answers]))
+            tables.append(np.array([(b @ a + 2 * mean(a) + 1e-6) / (b.sum() + 2 + 3e-6) for a in answers]))
         odds = np.log(tables[1]) - np.log(tables[0])
-        prior = np.clip(belief.mean(), 0.01, 0.99)
+        prior = np.clip(mean(belief) if share_of_one is None else share_of_one, 0.01, 0.99)
         # What a voter says beyond its likelier class, and how far voters say it together.
         rest = votes.astype(float)
         for side in (belief >= 0.5, belief < 0.5):
             if side.any():
-                rest[side] -= rest[side].mean(0)
-        size = np.sqrt((rest ** 2).mean(0))
-        together = np.clip((rest.T @ rest) / len(rest) / np.maximum(np.outer(size, size), 1e-6), 0, 1)
+                rest[side] -= mean(rest, side)
+        size = np.sqrt(mean(rest ** 2))
+        together = np.clip((rest.T @ (rest * weight[:, None])) / weight.sum() / np.maximum(np.outer(size, size), 1e-6), 0, 1)
         np.fill_diagonal(together, 0)
         together[together < 0.1] = 0
         share = 1 / (1 + together.sum(1))
@@ -142,7 +145,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
             belief = new
             break
         belief = new
-    right = np.array([(belief @ (votes[:, j] > 0) + (1 - belief) @ (votes[:, j] < 0)) / max(1, (votes[:, j] != 0).sum()) for j in range(votes.shape[1])])
+    sure = [(weight * belief) @ (votes[:, j] > 0) + (weight * (1 - belief)) @ (votes[:, j] < 0) for j in range(votes.shape[1])]
+    right = np.array([s / max(1e-9, weight @ (votes[:, j] != 0)) for j, s in enumerate(sure)])
     return belief, right, share
 
 
@@ -177,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     """The model of a bounded sample of labelled rows, never the held-out ones.
 
     The labels of the sample add words to the lexicon, give the share of toxic rows and the label model's first beliefs;
-    the classifier is trained on its posteriors. The driver gets the votes and word statistics of at most
+    the classifier is trained on its posteriors. Sampled rows are weighted so that both classes count as in all labels that
+    fitting may see: a score means the same whatever part of them `per_class` takes. The driver gets the votes and word statistics of at most
     2 * `per_class` rows. Without rows of both classes the fixed lexicon alone decides.
     """
     spark = docs.sparkSession
@@ -222,8 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col:
     x = np.array(frame["x"].tolist())
     # The given label is one more voter, whose errors are estimated like the others'.
     votes = np.column_stack([x[:, :width], 2 * y - 1])
-    belief, right, share = label_model(votes, np.where(y == 1, 0.9, 0.1))
-    weights = fit_logistic(np.column_stack([x, np.ones(len(x))]), belief, ridge=1.0)
+    mix = class_weights(labels, "toxic", per_class)
+    weight = np.where(y == 1, mix[1], mix[0])
+    belief, right, share = label_model(votes, np.where(y == 1, 0.9, 0.1), weight=weight, share_of_one=float(np.average(y, weights=weight)))
+    weights = fit_logistic(np.column_stack([x, np.ones(len(x))]), belief, weight, ridge=1.0)
     return ToxicModel(words, dict(zip([*words, *PATTERNS, "label"], right.tolist())), weights)
 
 

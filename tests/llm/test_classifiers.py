@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from flowlens.llm import quality_rank, toxicity
-from flowlens.llm.linear import fit_logistic, labelled_sample
+from flowlens.llm.linear import class_weights, fit_logistic, labelled_sample
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -79,3 +79,17 @@ def test_label_model_learns_accuracies_and_shares_weight():
     assert ((belief > 0.5) == truth).mean() > 0.9
     assert abs(right[0] - 0.9) < 0.06 and abs(right[3] - 0.75) < 0.08
     assert share[3] < 0.5 < share[0]
+
+
+def test_rows_per_class_do_not_move_the_calibration(spark, tables):
+    docs, labels = tables
+    seen = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    total = seen.where("toxic = 1").count() / seen.where("toxic in (0, 1)").count()
+    # The first sample is half toxic, the last is nearly all labels.
+    for per_class in (150, 4000):
+        model = toxicity.fit(docs, labels, per_class)
+        got = toxicity.classify(docs.join(labels, "doc_id"), model).agg({"score": "avg"}).first()[0]
+        assert abs(got - total) < 0.03, per_class
+    assert class_weights(labels, "toxic", 10**9) == (1.0, 1.0)
+    low, high = class_weights(labels, "toxic", 150)
+    assert abs(high / (low + high) - total) < 1e-9
