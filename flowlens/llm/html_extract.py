@@ -23,7 +23,9 @@ from flowlens.llm.linear import fit_logistic
 
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template svg iframe select option button".split())
+RAW = frozenset("script style title textarea noscript template svg iframe select button".split())
+# Raw elements that reach to the end of the page if nothing closes them.
+ENDLESS = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 # A start tag of these ends an open element of those, if it is nearer than the stop.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
@@ -73,6 +75,8 @@ def parse(source: str) -> Page:
     root = page.add("#root", "", -1)
     # Open elements: tag and node; an inline element has the node of the block around it.
     stack: list[tuple[str, int]] = [("#root", root)]
+    # Raw elements that nothing closes any more.
+    missing: set[str] = set()
     run: list[str] = []
     anchors = linked = 0
 
@@ -126,8 +130,21 @@ def parse(source: str) -> Page:
         if tag in RAW:
             if tag in ("textarea", "iframe", "noscript", "template"):
                 end_run()
-            over = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = over.end() if over else len(source)
+            if tag in missing:
+                continue
+            # A control that the next one of its kind follows was left open; its tag alone is left out.
+            over = re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>" if tag in ("select", "button") else rf"<(/){re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+            if over and over[1]:
+                at = over.end()
+            elif tag in ENDLESS:
+                at = len(source)
+            elif not over:
+                missing.add(tag)
+            continue
+        if tag == "option":
+            # Its end tag may be left out: it holds text up to the next tag that is not inline.
+            over = next((t for t in _TAG.finditer(source, at) if t[2] and t[2].lower() not in INLINE), None)
+            at = over.start() if over else len(source)
             continue
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))

@@ -73,3 +73,13 @@ def test_odd_rows(spark, model):
     n = len(_text(20_000).strip())
     assert got == sorted([("1", "u", True, 0), ("2", "None", True, 0), ("None", "v", False, 6), ("3", "u", True, 0), ("3", "u", True, 0), ("4", "w", False, n)])
     assert H.extract(pages.limit(0), model).count() == 0
+
+
+def test_options_and_controls_left_open_lose_no_text():
+    texts = lambda source: [t for t in H.parse(source).texts if t]
+    assert texts("<form><datalist id=d><option value=a>A<option value=b>B</datalist></form><p>article</p>") == ["article"]
+    assert texts("<datalist><option value=a><option value=b></datalist><p>one</p><select><option>x</option></select><p>two</p>") == ["one", "two"]
+    assert texts("<p>a <button>go</button> b</p><select><optgroup><option>x<option>y</select><p>c</p>") == ["a b", "c"]
+    assert texts("<select><option>x<p>c</p><select><option>y</option></select><p>d</p>") == ["c", "d"]
+    assert texts("<svg><p>c</p><iframe src=x><p>d</p>") == ["c", "d"] and texts("<option>x <b>y</b></option>z") == ["z"]
+    assert texts("<p>c</p><script>var a") == ["c"]
