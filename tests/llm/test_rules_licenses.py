@@ -110,3 +110,19 @@ def test_diagonals_by_brute_force(spark):
                     votes.setdefault(p - a, []).append(a)
         best = max((len(v) for v in votes.values()), default=0) / len(grams)
         assert ("mit" in got[i].labels) == (best >= 0.5) and (best < 0.5 or abs(got[i].score - best) < 1e-9)
+
+
+def test_siblings_are_told_apart(spark):
+    gpl = next(t for label, t in licenses.TEMPLATES if label == "gpl")
+    named = lambda name: gpl.replace("GNU General", f"GNU {name} General")
+    cases = [
+        (gpl, "gpl"), (named("Lesser"), "gpl,lgpl"), (named("Affero"), "agpl,gpl"), (named("Library"), "gpl"), (f"{gpl} {'x ' * 30} {named('Affero')}", "agpl,gpl"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"), ("Licensed under CC BY-NC-ND 4.0.", ""), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Licensed under CC BY-ND 4.0.", "cc-by-nd"), ("Licensed under CC BY 4.0.", "cc-by"), ("nc by nc licensed", ""),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ""),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"), ("general", ""), ("nc", ""), ("lesser", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: want for i, (_, want) in enumerate(cases)}
+    assert got[0][1] == got[5][1] == 1.0 and got[6][1] == 0.0
