@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from flowlens.llm import licenses as L, quality_rules as Q
+from itertools import permutations
+
+from flowlens.llm import filter_audit as A, licenses as L, quality_rules as Q
 
 
 def _quoted(text: str) -> str:
@@ -79,3 +81,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(v.found, [])))), ','), '') AS labels,
   greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
 FROM d LEFT JOIN b USING (r) LEFT JOIN v USING (r)"""
+
+
+def filter_audit() -> str:
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(A.FILTERS))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, [len(w) < {A.LEAST_WORDS}, 100 * len(list_distinct(w)) < {A.LEAST_DISTINCT} * len(w),
+  100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {A.MOST_UPPER} * length(t), regexp_matches(t, '{A.SYMBOLS}'),
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+s AS (SELECT o AS filter_order, CAST(step AS INT) AS step, substr(o, step, 1) AS filter, list_transform(string_split(substr(o, 1, step - 1), ''), lambda x: ascii(x) - 64) AS before,
+  ascii(substr(o, step, 1)) - 64 AS own FROM (VALUES {orders}) v(o), range(1, {len(A.FILTERS)} + 1) r(step)),
+x AS (SELECT part, filter_order, step, filter, n, good, bad, fails[own] AS failed, len(list_filter(before, lambda i: i > 0 AND fails[i])) > 0 AS gone,
+  len(list_filter(fails, lambda f: f)) = 1 AS alone FROM c, s),
+r AS (SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (failed AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (failed AND alone), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (failed AND NOT gone), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(bad) FILTER (failed AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+
+def fill_in_middle() -> str:
+    """The units are listed by a pattern and the cuts are sums of their lengths."""
+    h = lambda i: f"CAST(concat('0x', substr(d, {8 * i + 1}, 8)) AS BIGINT)"
+    chars = lambda k: f"CAST(coalesce(list_sum(list_transform(u[1:{k}], lambda x: length(x))), 0) AS BIGINT)"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (SELECT *, len(u) AS n, {h(0)} % (len(u) + 1) AS a, {h(1)} % (len(u) + 1) AS b, {h(2)} % 100 AS c, {h(3)} % 100 AS e FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 50 THEN 'plain' WHEN e < 80 THEN 'spm' ELSE 'psm' END AS form,
+  {chars('least(a, b)')} AS p, {chars('greatest(a, b)')} AS q FROM h),
+o AS (SELECT *, substr(t, 1, p) AS prefix, substr(t, p + 1, q - p) AS middle, substr(t, q + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM o"""
