@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import flowlens
-from flowlens.llm import chunked_bpe, decontaminate, near_copies, quality_rank, toxicity
+from flowlens.llm import chunked_bpe, decontaminate, quality_rank, simhash, toxicity
 from flowlens.llm.common import stored, table
 
 # Python workers get the package's functions with each task, whatever folder they run in.
@@ -28,8 +28,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of fingerprints, over three-word shingles, that links of at most three differing bits join."""
+    return simhash.one_of_each(docs, most=3, shingle=3)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
