@@ -29,8 +29,9 @@ NODES = 6000
 # Lengths left up to which every node is closed by best fit, and nodes from one such to the next beyond.
 DENSE = 64
 SPARSE = 50
-# Pieces of one length that are numbered in one group.
-RUN = 1 << 17
+# Groups that pieces are numbered in, about, and pieces that one length has in a group at least.
+GROUPS = 1 << 14
+RUN = 1 << 10
 # White space, in characters, up to which the library's own splitter is used.
 WHITE_RUN = 1000
 
@@ -288,8 +289,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
 
     Lengths are integers from 1 to `capacity`, of which the driver gets the counts alone; a row with another length raises. Pieces of a
     sequence follow each other from 0 without gaps. Rows of equal length may trade places, so equal and repeated rows do no harm. Nulls in
-    other columns are kept; columns named sequence_id or offset are replaced. The rows are written once to shared storage, and one length
-    that very many rows have is numbered in groups.
+    other columns are kept; columns named sequence_id or offset are replaced. The rows are written once to shared storage, and a length
+    that many rows have is numbered in groups: at most GROUPS and one for each length.
     """
     items = items.drop("sequence_id", "offset")
     columns, schema = items.columns, items.schema
@@ -303,7 +304,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
         raise ValueError(f"{counts[-1]} rows have no length from 1 to {capacity}")
     placed = slots(solve(counts, capacity))
     # Rows of a length are dealt over groups, then numbered group by group.
-    groups = rows.sparkSession.createDataFrame([(s, -(-n // RUN)) for s, n in counts.items()], f"{size} long, parts long")
+    run = max(RUN, sum(counts.values()) // GROUPS)
+    groups = rows.sparkSession.createDataFrame([(s, -(-n // run)) for s, n in counts.items()], f"{size} long, parts long")
     dealt = (
         rows.withColumn(size, length).join(F.broadcast(groups), size)
         .withColumn(group, F.pmod(F.xxhash64(row), F.col("parts"))).drop("parts"))
