@@ -21,11 +21,11 @@ def tagged_objects(window) -> Column:
     w = as_column(window)
     fields = lambda obj: F.struct(*[obj[key].alias(key) for key in TAG_SCHEMA.fieldNames()])
     metadata = F.when(w["metadata"].isNotNull(), fields(w["metadata"]))
-    objects = [F.from_json(w[key], JSON_TAG_SCHEMA) for key in NESTED_OBJECT_KEYS if key != "metadata"]
-    parsed = [
-        F.when(o.isNotNull(), F.struct(*[label_text(o[k], k not in FAMILY_KEYS).alias(k) for k in TAG_SCHEMA.fieldNames()])) for o in objects
-    ]
-    return F.array_compact(F.array(fields(w), metadata, *parsed))
+    # A lambda's argument is evaluated once, whatever refers to it; a column would be parsed again for every field.
+    objects = F.filter(F.array(*[w[key] for key in NESTED_OBJECT_KEYS if key != "metadata"]), lambda text: text.isNotNull())
+    parsed = F.transform(F.transform(objects, lambda text: F.from_json(text, JSON_TAG_SCHEMA)), lambda o: F.when(
+        o.isNotNull(), F.struct(*[label_text(o[k], k not in FAMILY_KEYS).alias(k) for k in TAG_SCHEMA.fieldNames()])))
+    return F.array_compact(F.concat(F.array(fields(w), metadata), parsed))
 
 
 def _tags(window, keys: tuple[str, ...]) -> Column:

@@ -1,11 +1,20 @@
 """Why a score is high: contributions of features, terms and single words."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import heapq
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
 from .vectorize import lookup_values
 
 
+WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 def direction(value: Column) -> Column:
     return F.when(value > 0, "increases_threat").otherwise("decreases_threat")
 
@@ -103,25 +112,62 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def explain_occlusion(df: DataFrame, scorer, k: int = 5, id_col: str = "id", text: str = "text") -> DataFrame:
-    """Impact of each distinct word: the score lost when all its occurrences are cut from the text.
+def _probability(logits: np.ndarray) -> np.ndarray:
+    """Softmax of class 1; a single output is taken as it is."""
+    logits = np.asarray(logits, float)
+    if logits.ndim < 2 or logits.shape[1] < 2:
+        return logits.reshape(len(logits))
+    return 1 / np.exp(logits - logits[:, 1:2]).sum(1)
+
+
+def occluded(text: str, words: list[str], most_chars: int, most_rows: int) -> Iterator[list[str]]:
+    """The text, then the text without each word in turn, in lists of bounded length and size; none of them is kept."""
+    batch, size = [text], len(text)
+    for word in words:
+        if len(batch) >= most_rows or size >= most_chars:
+            yield batch
+            batch, size = [], 0
+        batch.append(text.replace(word, ""))
+        size += len(batch[-1])
+    yield batch
+
 
-    `scorer` adds `score` to a DataFrame with a `text` column. Words come from a white-space
-    split. All variants are scored in one pass; each id gives one row per distinct word.
+def explain_occlusion(
+    df: DataFrame, make_predict_fn, k: int = 5, id_col: str = "id", text: str = "text", batch_size: int = 64, batch_chars: int = 1 << 22,
+) -> DataFrame:
+    """Impact of each distinct word: the score lost when all its occurrences are cut from the text; the k strongest of each row.
+
+    `make_predict_fn()` returns a function from texts to class logits, as for score_external; it is called once a task. Words come from a
+    white-space split; equal impacts are ranked by word. Variants of a text are made when a batch of them is scored, at most `batch_size` texts
+    and about `batch_chars` characters at once, and only the k strongest words are held: nothing is shuffled, and a long text needs the memory of
+    a batch and of its words. Null and empty texts give no rows; repeated rows give theirs each.
     """
-    base = F.array(F.lit(""))
-    words = F.array_remove(F.array_distinct(F.split(F.col(text), r"\s+")), "")
-    variants = df.select(F.col(id_col), F.col(text).alias("_text"), F.explode(F.concat(base, words)).alias("token"))
-    cut = F.when(F.col("token") == "", F.col("_text")).otherwise(F.replace("_text", F.col("token"), F.lit("")))
-    scored = scorer(variants.select(id_col, "token", cut.alias("text"))).select(id_col, "token", "score")
-    per_id = Window.partitionBy(id_col)
-    base_score = F.max(F.when(F.col("token") == "", F.col("score"))).over(per_id)
-    impacts = scored.withColumn("base_prediction", base_score).filter(F.col("token") != "").withColumn(
-        "impact_score", F.col("base_prediction") - F.col("score")
-    )
-    order = per_id.orderBy(F.abs("impact_score").desc(), "token")
-    return (
-        impacts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .withColumn("contribution", direction(F.col("impact_score")))
-        .select(id_col, "rank", "token", "impact_score", "contribution", "base_prediction")
-    )
+    schema = T.StructType([
+        T.StructField(id_col, df.schema[id_col].dataType), *T._parse_datatype_string(
+            "rank int, token string, impact_score double, contribution string, base_prediction double").fields])
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = make_predict_fn()
+        for batch in batches:
+            places, found = [], []
+            for at, value in enumerate(batch.column(1).to_pylist()):
+                words = [*dict.fromkeys(w for w in WHITE.split(value or "") if w)]
+                if not words:
+                    continue
+                strongest, base, done = [], None, 0
+                for variants in occluded(value, words, batch_chars, batch_size):
+                    scores = _probability(predict(np.array(variants, dtype=object)))
+                    if base is None:
+                        base, scores = float(scores[0]), scores[1:]
+                    impacts = base - scores
+                    part = zip(impacts.tolist(), words[done:done + len(impacts)])
+                    done += len(impacts)
+                    strongest = heapq.nsmallest(k, [*strongest, *part], key=lambda e: (-abs(e[0]), e[1].encode()))
+                for rank, (impact, word) in enumerate(strongest, 1):
+                    places.append(at)
+                    found.append((rank, word, impact, "increases_threat" if impact > 0 else "decreases_threat", base))
+            kinds = (pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *columns], schema.fieldNames())
+
+    return df.select(id_col, F.col(text).cast("string").alias("_text")).mapInArrow(explain, schema)

@@ -4,12 +4,14 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.labels import threat_family
 from ..session import materialize, shared_dir
+from . import fold_fit
 from .explain import explain_linear
 from .features import flow_features, window_text
 from .vectorize import NgramTfidf, NgramTfidfModel, SparseFeatureVectorizer, SparseFeatureVectorizerModel
@@ -138,6 +140,31 @@ def fit_text(
     return LinearModel(vectorizer, classifier)
 
 
+def penalized_gradient(
+    df: DataFrame, model: LinearModel, label: str = "label", weight: str | None = None, C: float = 1.5,
+) -> dict[str, float]:
+    """Slope of the fit's objective at the fitted coefficients, one per feature: all are 0 at the optimum.
+
+    `df` are the training rows. Slopes are for columns scaled to deviation 1, so that they compare; `(intercept)` is the intercept's.
+    """
+    u = F.col(weight).cast("double") if weight else F.lit(1.0)
+    source = model.vectorizer.getOutputCol()
+    cells = F.unwrap_udt(source)
+    rows = materialize(model.vectorizer.transform(df).select(
+        F.col(label).cast("int").alias("y"), u.alias("u"), cells["indices"].alias("indices"), cells["values"].alias("values")))
+    sums = {r["y"]: (r["n"], r["u"]) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("u")).collect()}
+    n = sum(count for count, _ in sums.values())
+    balance = {y: n / (2 * count) for y, (count, _) in sums.items()}
+    total = sum(balance[y] * u for y, (_, u) in sums.items())
+    share = F.array(F.when(F.col("y") == 1, balance[1]).otherwise(balance[0]) * F.col("u") / total)
+    w = np.array(model.classifier.coefficients.toArray(), float)
+    point = fold_fit.Linear(w[None], np.array([model.classifier.intercept]))
+    _, slope, shift = fold_fit.loss_and_gradient(rows, share, point, np.array([0]), rows.rdd.getNumPartitions())
+    mean, spread = fold_fit.column_moments(rows, len(w))
+    by_column = (slope[0] - shift[0] * mean + w / (C * total)) / spread
+    return {**dict(zip(model.vectorizer.getVocabulary(), by_column.tolist())), "(intercept)": float(shift[0])}
+
+
 def _result(df: DataFrame, model: str, threshold: Column) -> DataFrame:
     """Adds `model`, `threshold` and `prediction` next to `score`."""
     return df.withColumns({"model": F.lit(model), "threshold": threshold}).withColumn(

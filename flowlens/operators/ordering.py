@@ -4,7 +4,7 @@ Rows are range-partitioned and sorted, written once, and numbered from
 per-partition counts. Only one number per partition ever reaches the driver.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import broadcast_if_small, materialize
 
@@ -93,3 +93,37 @@ def with_file_row_index(df: DataFrame, output: str = "row_index", start: int = 1
         .withColumn(output, F.col("_position") + F.col("_shift") + start)
         .drop("_block", "_position", "_shift")
     )
+
+
+def first_rows(df: DataFrame, n: int, split: tuple[str, ...] = ()) -> DataFrame:
+    """The first `n` rows, ordered by `split` and then as `df` has them.
+
+    `split`, columns that a file scan gives all rows of a file split alike, such as path and block, restores the file order that
+    Spark's packing of splits into partitions changes; without it, the order is that of the partitions. Rows are counted per split; splits
+    before the one that holds row `n` are kept whole, that one up to the row's place. No row is moved, so every split stays with its own task.
+    """
+    keys = [*split, "_part"]
+    position = F.monotonically_increasing_id()
+    placed = df.select("*", F.shiftright(position, POSITION_BITS).alias("_part"), position.alias("_place"))
+    # One row per split.
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).orderBy(*keys).collect()
+    kept, left = [], max(0, n)
+    for r in counts:
+        if left <= 0:
+            break
+        last = None
+        if r["_rows"] > left:
+            same = F.lit(True)
+            for c in keys:
+                same = same & F.col(c).eqNullSafe(F.lit(r[c]))
+            last = placed.filter(same).select("_place").orderBy("_place").limit(left).agg(F.max("_place")).first()[0]
+        kept.append((*(r[c] for c in keys), last))
+        left -= r["_rows"]
+    types = {f.name: f.dataType for f in placed.schema}
+    table = df.sparkSession.createDataFrame(kept, T.StructType([*(T.StructField(c, types[c]) for c in keys), T.StructField("_last", T.LongType())]))
+    table = broadcast_if_small(table.toDF(*(f"_own{i}" for i in range(len(keys))), "_last"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_own{i}"))
+    inside = F.col("_last").isNull() | (F.col("_place") <= F.col("_last"))
+    return placed.join(table, same).filter(inside).select(*(F.col(c) for c in df.columns))

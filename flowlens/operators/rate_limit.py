@@ -24,7 +24,8 @@ def admit(times: np.ndarray, held: np.ndarray, limit: int, width: int) -> tuple[
             at = int(np.searchsorted(times, held[0] + width, side="left"))
             continue
         accepted[at:at + room] = True
-        held = np.concatenate([held, times[at:at + room]])
+        # On a stream, times of a later batch may lie before those held.
+        held = np.sort(np.concatenate([held, times[at:at + room]]), kind="stable")
         at += room
     return accepted, held
 

@@ -1,5 +1,7 @@
 """Feature maps and texts as sparse vectors: two estimators and the array lookup behind them."""
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import as_column, opaque
+from ..session import materialize
 
 
 def lookup_values(keys: Column, table: dict[str, float]) -> Column:
@@ -117,9 +120,11 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
     return _counted_terms(df, text).filter(F.col("term").isNotNull())
 
 
-def _counted_terms(df: DataFrame, text: str) -> DataFrame:
+def _counted_terms(df: DataFrame, text: str, parts: list[Column] | None = None) -> DataFrame:
     """Corpus count and document count per term; the null term stands for the document itself.
 
+    With `parts`, conditions on the rows, both are arrays of one count per part.
+
     Terms are sorted inside their document, so that the first of equal neighbors
     stands for the document and one shuffle, after local sums, gives both counts.
     """
@@ -129,12 +134,50 @@ def _counted_terms(df: DataFrame, text: str) -> DataFrame:
     ))
     itself_type = "array<struct<term:string,first:int>>"
     itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first"))).cast(itself_type)
-    sorted_terms = df.select(F.sort_array(ngrams(text)).alias("_terms"))
-    return (
-        # `explode` would add a size filter that builds and sorts the terms a second time.
-        sorted_terms.select(F.explode_outer(F.concat(itself, F.coalesce(first(F.col("_terms")), F.array().cast(itself_type)))).alias("t")).select("t.*")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("doc_count"))
-    )
+    held = [part.alias(f"_part{j}") for j, part in enumerate(parts or [])]
+    sorted_terms = df.select(F.sort_array(ngrams(text)).alias("_terms"), *held)
+    # `explode` would add a size filter that builds and sorts the terms a second time.
+    terms = sorted_terms.select(
+        F.explode_outer(F.concat(itself, F.coalesce(first(F.col("_terms")), F.array().cast(itself_type)))).alias("t"), *sorted_terms.columns[1:]).select("t.*", *sorted_terms.columns[1:])
+    if parts is None:
+        return terms.groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("first").alias("doc_count"))
+    inside = [F.col(c) for c in sorted_terms.columns[1:]]
+    sums = terms.groupBy("term").agg(*(F.count_if(p).alias(f"_n{j}") for j, p in enumerate(inside)), *(F.sum(F.when(p, F.col("first")).otherwise(0)).alias(f"_d{j}") for j, p in enumerate(inside)))
+    each = range(len(inside))
+    return sums.select("term", F.array(*(f"_n{j}" for j in each)).alias("corpus_count"), F.array(*(f"_d{j}" for j in each)).alias("doc_count"))
+
+
+def fold_vocabularies(df: DataFrame, text: str, training: list[Column], max_terms: int) -> list[dict[str, float]]:
+    """Inverse document frequencies of each fold's most frequent terms: term → idf, as NgramTfidf learns them from the rows where `training[j]` holds.
+
+    One pass counts the terms for all folds; at most `max_terms` rows a fold reach the driver.
+    """
+    counted = materialize(_counted_terms(df, text, training))
+    tops = [
+        counted.filter(F.col("term").isNull() | (F.col("corpus_count")[j] > 0)).orderBy(F.col("term").isNotNull(), F.col("corpus_count")[j].desc(), "term")
+        .limit(max_terms + 1).select(F.lit(j).alias("fold"), "term", F.col("doc_count")[j].alias("n")) for j in range(len(training))]
+    found: list[dict] = [{} for _ in training]
+    for r in reduce(DataFrame.union, tops).collect():
+        found[r["fold"]][r["term"]] = r["n"]
+    documents = [terms.pop(None, 0) for terms in found]
+    return [{t: float(np.log((1 + n) / (1 + k)) + 1) for t, k in terms.items()} for n, terms in zip(documents, found)]
+
+
+def term_cells(text: str, names: list[str]) -> Column:
+    """The known terms of a text as sparse cells (indices, values): place in `names`, and 1 + ln count."""
+    table = pa.array(names, pa.string())
+
+    @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+    def cells(terms: pa.Array) -> pa.Array:
+        row, index, _ = _placed(terms, table)
+        places, counts = np.unique(row * len(table) + index, return_counts=True)
+        offsets = _offsets(np.bincount(places // max(1, len(table)), minlength=len(terms)))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array((places % max(1, len(table))).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(1 + np.log(counts)))],
+            names=["indices", "values"])
+
+    # A hash-set test in the JVM drops all other terms.
+    return opaque(cells)(F.filter(ngrams(text), lambda term: term.isin(*names)))
 
 
 class NgramTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -1,12 +1,13 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import explain as E, models as ML
+from flowlens.operators import explain as E, fold_fit as FF, models as ML
 from flowlens.operators.features import flow_features
 from flowlens.plans import training as P
 
@@ -132,7 +133,7 @@ def test_external_model_and_occlusion(spark):
     df = spark.createDataFrame([(1, "bad good bad x"), (2, "fine")], "id int, text string")
     scored = {r["id"]: r for r in ML.score_external(df, make).collect()}
     assert scored[1]["score"] == pytest.approx(1 / (1 + math.exp(-2))) and scored[2]["score"] == 0.5 and scored[2]["prediction"] == 1
-    top = E.explain_occlusion(df, lambda d: ML.score_external(d, make), 2).filter("id = 1").orderBy("rank").collect()
+    top = E.explain_occlusion(df, make, 2).filter("id = 1").orderBy("rank").collect()
     assert top[0]["token"] == "bad" and top[0]["impact_score"] == pytest.approx(1 / (1 + math.exp(-2)) - 0.5)
     assert top[0]["contribution"] == "increases_threat" and top[1]["impact_score"] == 0.0
 
@@ -194,3 +195,100 @@ def test_scores_after_an_observation(spark):
     assert seen.get["n"] == 60
     scores = fit_structured(rows).score(rows).select("label", "score").collect()
     assert all((r["score"] > 0.5) == (r["label"] == 1) for r in scores)
+
+
+def test_occlusion_of_odd_and_long_texts(spark):
+    def make():
+        return lambda texts: np.array([len(t) for t in texts], dtype=float)
+
+    def plain(value, k):
+        words = [*dict.fromkeys(w for w in re.split(r"[ \t\n\x0b\f\r]+", value or "") if w)]
+        found = [(len(value) - len(value.replace(w, "")), w) for w in words]
+        return [(r, w, float(i)) for r, (i, w) in enumerate(sorted(found, key=lambda e: (-e[0], e[1].encode()))[:k], 1)]
+
+    texts = [None, "", "  \n", "one", "é b é bb b", "a b c a", "a b c a", " ".join(f"w{i}" for i in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").selectExpr("*", "1 rank", "'x' token")
+    for size, chars in ((64, 1 << 22), (2, 1 << 22), (64, 10)):
+        rows = E.explain_occlusion(df, make, 3, batch_size=size, batch_chars=chars).collect()
+        for i, value in enumerate(texts):
+            assert sorted((r["rank"], r["token"], r["impact_score"]) for r in rows if r["id"] == i) == plain(value, 3)
+    assert E.explain_occlusion(df.limit(0), make).count() == 0
+
+
+def test_occlusion_makes_variants_as_they_are_scored():
+    """A text of 20,000 different words: 2 GB of variants, some megabytes at once."""
+    import tracemalloc
+
+    words = [f"word{i:05d}" for i in range(20_000)]
+    text, lists, made = " ".join(words), 0, 0
+    tracemalloc.start()
+    for variants in E.occluded(text, words[:1000], 1 << 22, 64):
+        lists, made = lists + 1, made + len(variants)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 1001 and lists > 10 and peak < 50 << 20
+
+
+@pytest.mark.parametrize("bent", [16_000_000, 0])
+def test_folds_fitted_together_equal_single_fits(spark, monkeypatch, bent):
+    monkeypatch.setattr(FF, "MOST_CURVATURE", bent)
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        y = int(rng.random() < 0.4)
+        features = {"big": rng.gauss(2000.0 * y, 4000.0), "small": rng.gauss(0.2 * y, 0.5), f"kind={i % 7}": 1.0}
+        if i == 17:
+            features["once"] = 3.0
+        text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"] + ["hot", "very hot"] * y) for _ in range(rng.randint(1, 12)))
+        rows.append((i, y, features, text, [i % 3, (i // 5) % 3]))
+    df = spark.createDataFrame(rows, "id long, label int, features map<string,double>, window_text string, folds array<int>")
+    models = P.fit_folds(df, 3, 2, tol=1e-12)
+    for number in range(6):
+        train = df.filter(F.col("folds")[number // 3] != number % 3)
+        for single, many, names in ((ML.fit_structured(train, tol=1e-14), models.structured, models.features), (ML.fit_text(train, tol=1e-14), models.text, models.terms)):
+            want, got = single.coefficients(), dict(zip(names, many.coefficients[number]))
+            scale = {"big": 4000.0}
+            assert max(abs(got[n] - want.get(n, 0.0)) * scale.get(n, 1.0) for n in names) < 1e-6, number
+            assert many.intercepts[number] == pytest.approx(single.classifier.intercept, abs=1e-6)
+    # The test rows of a fold do not shape its model: row 17 alone has this feature.
+    once = [abs(models.structured.coefficients[n][models.features.index("once")]) for n in range(6)]
+    assert [n for n in range(6) if once[n] < 1e-6] == [17 % 3, 3 + (17 // 5) % 3]
+
+
+def test_partial_sums_of_many_tasks_and_wide_models(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    width, n = 50, 120
+    cells = [sorted(rng.choice(width, rng.integers(0, 6), replace=False).tolist()) for _ in range(n)]
+    rows = [(c, rng.normal(size=len(c)).tolist(), int(rng.integers(2)), [float(x) for x in rng.random(3)]) for c in cells]
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>, y int, w array<double>").repartition(7)
+    model = FF.Linear(rng.normal(size=(2, width)), rng.normal(size=2))
+    which = np.array([0, 2])
+    dense = np.zeros((n, width))
+    for i, (c, v, _, _) in enumerate(rows):
+        dense[i, c] = v
+    y, w = np.array([r[2] for r in rows], float)[:, None], np.array([r[3] for r in rows])[:, which]
+    for block, direct, part, dense in ((1 << 16, 1 << 20, 100_000, 2_000_000), (16, 2, 7, 0)):
+        monkeypatch.setattr(FF, "DENSE", dense)
+        monkeypatch.setattr(FF, "BLOCK", block)
+        monkeypatch.setattr(FF, "DIRECT", direct)
+        monkeypatch.setattr(FF, "CELLS", part)
+        for scale in (None, rng.random((2, width)) * (rng.random((2, width)) < 0.7)):
+            at = FF.Linear(model.coefficients, model.intercepts, scale)
+            loss, slope, shift, bend = FF.loss_and_gradient(df, F.col("w"), at, which, 7, True)
+            for j in range(2):
+                x = dense * (1 if scale is None else scale[j])
+                if scale is not None:
+                    x = x / np.where((norm := np.sqrt((x ** 2).sum(1, keepdims=True))) > 0, norm, 1)
+                m = x @ at.coefficients[j] + at.intercepts[j]
+                rest = w[:, j] * (1 / (1 + np.exp(-m)) - y[:, 0])
+                assert loss[j] == pytest.approx(float((w[:, j] * (np.logaddexp(0, m) - y[:, 0] * m)).sum()))
+                assert np.allclose(slope[j], x.T @ rest) and shift[j] == pytest.approx(rest.sum())
+                z, p = np.column_stack([x, np.ones(n)]), 1 / (1 + np.exp(-m))
+                assert np.allclose(bend[j], z.T @ (z * (w[:, j] * p * (1 - p))[:, None]))
+
+
+def test_slopes_are_zero_at_the_fit_and_not_beside_it(spark, corpus):
+    rows = P.resolve_records(corpus)
+    model = ML.fit_structured(rows, weight="weight")
+    assert max(map(abs, ML.penalized_gradient(rows, model, weight="weight").values())) < 1e-3
+    assert max(map(abs, ML.penalized_gradient(rows.filter("label = 0 or id like '%1'"), model, weight="weight").values())) > 1e-3
