@@ -21,9 +21,9 @@ from flowlens.operators.rate_limit import rate_limit_audit
 from flowlens.operators.vectorize import NgramTfidf, SparseFeatureVectorizer, term_statistics
 from flowlens.plans import training as P
 from flowlens.sources import flow_csv, records as SRC
-from flowlens.sources.store import AlertStore
+from flowlens.sources.store import AlertStore, day_of
 from flowlens.streaming import pipelines as ST
-from flowlens.session import shared_dir, spread
+from flowlens.session import materialize, shared_dir, spread
 
 from .views import check_sql, records, stored_alerts, stored_investigations, table, view
 
@@ -131,6 +131,51 @@ def _(spark, sf):
     return spark.read.schema("id string, window_start_ms long, window_end_ms long, label int, label_source string, label_quality_tier string").json(path)
 
 
+def _numbered_lines(spark, sf):
+    """Flows as JSON lines in several files, in the order of flow_id, and one in four lines no JSON."""
+    path = _fresh(spark, "lines")
+    f = view(spark, sf, "flows")
+    text = F.when(F.col("flow_id") % 4 == 3, F.lit("{broken")).otherwise(F.to_json(F.struct(
+        F.col("flow_id").cast("string").alias("id"), F.col("start_ms").alias("window_start_ms"), F.col("end_ms").alias("window_end_ms"), "proto", "sbytes")))
+    f.repartitionByRange(5, "flow_id").sortWithinPartitions("flow_id").select(text.alias("value")).write.text(path)
+    return path
+
+
+@op("src1_first_records", "SELECT CAST(flow_id AS VARCHAR) AS id, sbytes FROM flows WHERE flow_id % 4 <> 3 ORDER BY flow_id LIMIT (SELECT count(*) // 2 FROM flows)")
+def _(spark, sf):
+    half = view(spark, sf, "flows").count() // 2
+    return SRC.read_records(spark, _numbered_lines(spark, sf), half).select("id", F.col("window.sbytes").alias("sbytes"))
+
+
+@op("snk1_first_rows", """
+SELECT concat(CAST(start_ms AS VARCHAR), '-', CAST(end_ms AS VARCHAR)) AS id, TRUE AS many_files
+FROM (SELECT * FROM flows WHERE flow_id % 4 <> 3 ORDER BY flow_id LIMIT (SELECT count(*) // 2 FROM flows))""")
+def _(spark, sf):
+    path, half = _fresh(spark, "first"), view(spark, sf, "flows").count() // 2
+    rows = SRC.labeled_rows(SRC.read_records(spark, _numbered_lines(spark, sf), placed=True), *SRC.PLACE)
+    SRC.write_dataset(rows, path, half)
+    written = spark.read.schema("id string").json(path)
+    files = written.select(F.input_file_name().alias("file")).agg((F.count_distinct("file") > 1).alias("many_files"))
+    return written.join(F.broadcast(files))
+
+
+@op("src5_changed_days", """
+WITH c AS (SELECT *, timestamp // 86400000 AS day FROM alerts), hit AS (SELECT day FROM c WHERE id = (SELECT max(id) FROM alerts))
+SELECT strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE explanation_summary = 'seen') AS seen,
+  max(CASE WHEN day IN (SELECT day FROM hit) THEN 2 ELSE 1 END) AS version FROM (SELECT id, timestamp, day, CASE WHEN id = (SELECT max(id) FROM alerts) THEN 'seen' ELSE explanation_summary END AS explanation_summary FROM c) GROUP BY day""")
+def _(spark, sf):
+    """One alert changed: the days of the table and the version of the snapshot that each was last written in."""
+    store = AlertStore(spark, _fresh(spark, "days-store"))
+    store.save("alerts", stored_alerts(spark, sf))
+    newest = store.load("alerts").agg(F.max("id").alias("id"))
+    store.change("alerts", newest.select("id", F.lit("seen").alias("explanation_summary")), NOW)
+    store.compact("alerts")
+    days = spark.createDataFrame(list(store.days("alerts").items()), "day string, version int")
+    counted = store.load("alerts").groupBy(day_of(F.col("timestamp")).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("explanation_summary") == "seen").alias("seen"))
+    return counted.join(days, "day")
+
+
 @op("snk5_alert_feed", "SELECT id, timestamp, model_score FROM alerts WHERE triggered AND id > 100 ORDER BY id")
 def _(spark, sf):
     return A.alert_feed(view(spark, sf, "alerts"), 100).select("id", "timestamp", "model_score")
@@ -1123,18 +1168,24 @@ def _coefficient_rows(spark, model):
     return spark.createDataFrame(list(model.coefficients().items()), "feature string, coefficient double")
 
 
-@op("ml1_fit_structured", f"WITH {FEATURES_SQL} SELECT DISTINCT name AS feature, TRUE AS finite FROM features")
+def _slopes(spark, rows, model):
+    """(feature, slope) of the fit's objective at its optimum, on the rows it was fitted on."""
+    found = ML.penalized_gradient(rows, model, weight="weight")
+    return spark.createDataFrame(list(found.items()), "feature string, slope double").select("feature", (F.round("slope", 3) + 0.0).alias("slope"))
+
+
+@op("ml1_fit_structured", f"WITH {FEATURES_SQL} SELECT DISTINCT name AS feature, 0.0e0 AS slope FROM features UNION ALL SELECT '(intercept)', 0.0e0")
 def _(spark, sf):
-    rows = _coefficient_rows(spark, ML.fit_structured(_resolved(spark, sf), weight="weight"))
-    return rows.select("feature", (F.abs("coefficient") < float("inf")).alias("finite"))
+    rows = materialize(_resolved(spark, sf))
+    return _slopes(spark, rows, ML.fit_structured(rows, weight="weight"))
 
 
 @op("ml2_fit_text", f"""
 WITH texts AS ({F4_SQL}), {TERMS_SQL.replace('SELECT doc_id, regexp', 'SELECT flow_id AS doc_id, regexp').replace('lower(text)', 'lower(window_text)').replace('FROM documents', 'FROM texts')},
-top AS (SELECT term FROM stats ORDER BY corpus_count DESC, term LIMIT 1500) SELECT term AS feature, TRUE AS finite FROM top""")
+top AS (SELECT term FROM stats ORDER BY corpus_count DESC, term LIMIT 1500) SELECT term AS feature, 0.0e0 AS slope FROM top UNION ALL SELECT '(intercept)', 0.0e0""")
 def _(spark, sf):
-    rows = _coefficient_rows(spark, ML.fit_text(_resolved(spark, sf), weight="weight"))
-    return rows.select("feature", (F.abs("coefficient") < float("inf")).alias("finite"))
+    rows = materialize(_resolved(spark, sf))
+    return _slopes(spark, rows, ML.fit_text(rows, weight="weight"))
 
 
 def _formula(spark, sf, name):
@@ -1214,6 +1265,12 @@ def _(spark, sf):
                                                F.round("t.importance_score", 6).alias("importance_score"), "t.contribution")
 
 
+def _make_remainder_model():
+    import numpy as np
+
+    return lambda texts: np.array([len(t) % 13 / 13.0 for t in texts])
+
+
 @op("ml10_explain_occlusion", """
 WITH t AS (SELECT flow_id, concat(proto, ' ', service, ' ', state, ' ', raw_label) AS text FROM flows),
 tok AS (SELECT DISTINCT flow_id, text, unnest(str_split_regex(text, '\\s+')) AS token FROM t),
@@ -1222,8 +1279,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY abs(impact) DES
 SELECT flow_id, CAST(rank AS INTEGER) AS rank, token, impact AS impact_score, CASE WHEN impact > 0 THEN 'increases_threat' ELSE 'decreases_threat' END AS contribution, base AS base_prediction FROM r WHERE rank <= 3""")
 def _(spark, sf):
     texts = view(spark, sf, "flows").select("flow_id", F.concat_ws(" ", "proto", "service", "state", "raw_label").alias("text"))
-    scorer = lambda df: df.withColumn("score", (F.length("text") % 13) / F.lit(13.0))
-    return E.explain_occlusion(texts, scorer, 3, "flow_id")
+    return E.explain_occlusion(texts, _make_remainder_model, 3, "flow_id")
 
 
 @op("ml11_score_with_explanation", "SELECT CAST(flow_id AS VARCHAR) AS id, TRUE AS by_formula, TRUE AS by_threshold, TRUE AS strongest_first, TRUE AS at_most_five FROM flows")
@@ -1367,13 +1423,24 @@ def _(spark, sf):
     return _persisted(spark, sf).load("alerts").select("id", "timestamp", "window_id", "model_type", "triggered")
 
 
+@op("st2_suppressed_repeats", f"WITH {ALERT_SQL} SELECT timestamp, window_id, model_type FROM hits")
+def _(spark, sf):
+    """The detected alerts twice over, as two folders of one stream: repeats end inside the stream."""
+    path = _fresh(spark, "repeated")
+    found = SRC.parse_alerts(spark.read.text(_detected(spark, sf)))
+    for _ in range(2):
+        SRC.write_alerts(found, path)
+    stream = SRC.read_alert_stream(spark, path, maxFilesPerTrigger=4)
+    return _drain(spark, ST.suppress_repeats(stream, "400 days")).select("timestamp", "window_id", "model_type")
+
+
 @op("st2_update_after_stream", f"""
 WITH {ALERT_SQL}, n AS (SELECT row_number() OVER (ORDER BY timestamp, window_id, model_type) AS id, * FROM hits)
 SELECT id, timestamp, window_id, CASE WHEN id % 2 = 0 THEN 'seen' ELSE 'as stored' END AS note, 1 AS audit_rows FROM n""")
 def _(spark, sf):
     store = _persisted(spark, sf)
     even = store.load("alerts").filter("id % 2 = 0").select("id", F.lit("seen").alias("explanation_summary"))
-    store.save("alerts", A.update_alerts(store.load("alerts"), even, NOW))
+    store.change("alerts", even, NOW)
     store.compact()
     # The same alerts as one more batch: nothing is stored twice.
     again = store.load("alerts").select(F.lit("model_alert").alias("alert_type"), "timestamp", "window_id", "feature_schema", "model_type", "model_score", "threshold", "explanation_summary")

@@ -6,7 +6,7 @@ from ..constants import FAMILY_KEYS
 from ..functions.columns import json_count_map, label_text, to_float
 from ..functions.labels import source_tier, window_label
 from ..operators.features import window_text
-from ..operators.ordering import with_file_row_index
+from ..operators.ordering import first_rows
 from ..schemas import ALERT_MESSAGE_SCHEMA, RECORD_SCHEMA, TAG_KEYS, WINDOW_SCHEMA, as_text_leaves
 from ..session import prepare
 
@@ -73,24 +73,26 @@ def file_stem(path: Column) -> Column:
     return F.coalesce(F.nullif(stem, F.lit("")), F.lit("unknown"))
 
 
-def read_records(spark: SparkSession, paths: str | list[str], max_samples: int = 0) -> DataFrame:
+# Where a line was read: number of its path, file and file split.
+PLACE = ("_at", "_path", "_block")
+
+
+def read_records(spark: SparkSession, paths: str | list[str], max_samples: int = 0, placed: bool = False) -> DataFrame:
     """JSONL records; `dataset_source` is the file stem and replaces any value in the line.
 
-    `max_samples` keeps the first accepted records in path, then line order.
+    `max_samples` keeps the first accepted records in path, then line order; every file split is still a task of its own. `placed` keeps the
+    columns PLACE, by which write_dataset knows that order.
     """
     prepare(spark)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if max_samples <= 0:
-        lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"))
-        records = parse_records(lines, "value", "_path")
-    else:
-        parts = [
-            with_file_row_index(spark.read.text(path)).withColumn("_at", F.lit(at)) for at, path in enumerate(paths)
-        ]
-        accepted = union_sources(*parts).filter(_is_object(F.col("value")))
-        first = accepted.orderBy("_at", "_path", "row_index").limit(max_samples)
-        records = parse_records(first, "value", "_path")
-    return records.withColumn("dataset_source", file_stem(F.col("_path"))).drop("_path")
+    parts = [
+        spark.read.text(path).select("value", F.lit(at).alias("_at"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+        for at, path in enumerate(paths)]
+    lines = union_sources(*parts)
+    if max_samples > 0:
+        lines = first_rows(lines.filter(_is_object(F.col("value"))), max_samples, PLACE)
+    records = parse_records(lines, "value", *PLACE).withColumn("dataset_source", file_stem(F.col("_path")))
+    return records if placed else records.drop(*PLACE)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -135,8 +137,8 @@ def read_alert_stream(spark: SparkSession, source: str, starting: str = "earlies
     return parse_alerts(_messages(prepare(spark), source, starting, options))
 
 
-def labeled_rows(records: DataFrame) -> DataFrame:
-    """Dataset rows of raw windows: id from the bounds, text, label with source and tier."""
+def labeled_rows(records: DataFrame, *keep: str) -> DataFrame:
+    """Dataset rows of raw windows: id from the bounds, text, label with source and tier, and columns to keep."""
     w = F.col("window")
     rows = window_text(records.withColumn("_l", window_label("window")), output="_text")
     return rows.select(
@@ -144,13 +146,17 @@ def labeled_rows(records: DataFrame) -> DataFrame:
         w["window_start_ms"].alias("window_start_ms"), w["window_end_ms"].alias("window_end_ms"),
         F.col("_text").alias("text"), F.col("_l.label").alias("label"),
         F.col("_l.label_source").alias("label_source"),
-        source_tier(F.col("_l.label_source")).alias("label_quality_tier"), "window",
+        source_tier(F.col("_l.label_source")).alias("label_quality_tier"), "window", *keep,
     )
 
 
 def write_dataset(rows: DataFrame, path: str, max_rows: int = 0) -> None:
-    """JSONL dataset; `max_rows` above 0 stops after that many rows."""
-    (rows.limit(max_rows) if max_rows > 0 else rows).write.mode("overwrite").json(path)
+    """JSONL dataset; `max_rows` above 0 keeps the first rows: in path and line order if `rows` have the columns PLACE, else in their own order.
+
+    Every task writes what it read. The columns PLACE are not written.
+    """
+    place = PLACE if all(c in rows.columns for c in PLACE) else ()
+    (first_rows(rows, max_rows, place) if max_rows > 0 else rows).drop(*PLACE).write.mode("overwrite").json(path)
 
 
 def write_alerts(alerts: DataFrame, sink: str, **options) -> None:

@@ -1,21 +1,16 @@
-"""The streaming forms: detection, alert persistence, export, feed, windows, rate limit."""
+"""The streaming forms: detection, alert persistence, export, feed, windows; the rate limit is in limiter.py."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import feature_schema, with_alert_explanation
 from ..operators import alerts as A
 from ..operators.features import _key_counts, window_rows, window_text
 from ..operators.models import Detector, score_structured
-from ..operators.rate_limit import admit
 from ..schemas import STORE_SCHEMAS
 from ..session import cached, materialize, prepare
 from ..sources.records import labeled_rows
-from ..sources.store import AlertStore
+from ..sources.store import AlertStore, day_of
+from .limiter import rate_limit_stream  # noqa: F401
 
 
 def window_identity(records: DataFrame, now_ms: int | None = None) -> DataFrame:
@@ -101,7 +96,8 @@ def merge_batch(batch: DataFrame, batch_id: int, store: AlertStore, now=None) ->
         low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
         if low is None:
             return
-        near = store.load("alerts", before_batch=batch_id).filter(F.col("timestamp").between(low, high))
+        first_day, last_day = store.spark.range(1).select(day_of(F.lit(low)), day_of(F.lit(high))).first()
+        near = store.load("alerts", before_batch=batch_id, days=lambda day: first_day <= day <= last_day).filter(F.col("timestamp").between(low, high))
         # Used several times below, so computed once.
         incoming = materialize(A.incoming_alerts(rows))
         added = materialize(A.added_alerts(near, incoming, stamp, store.last_alert_id(batch_id)))
@@ -112,8 +108,30 @@ def merge_batch(batch: DataFrame, batch_id: int, store: AlertStore, now=None) ->
         rows.unpersist()
 
 
-def persist_stream(alerts: DataFrame, store: AlertStore, checkpoint: str, now=None, available_now: bool = False):
-    """Writes an alert stream to the store: delivered at least once, stored once per key."""
+def suppress_repeats(alerts: DataFrame, within: str) -> DataFrame:
+    """The first alert of each key (window, model, time); repeats go before they reach the store.
+
+    A key is remembered until the watermark, `within` behind the latest alert, has passed its time; then its state goes. Alerts without a
+    window id match nothing, as in the store, and all go on. Spark drops alerts that come with a time behind the watermark, so `within` must
+    cover how late the source may be.
+    """
+    named = F.coalesce("window_id", F.lit("")) != ""
+    keyed = alerts.withColumns({
+        "_at": F.timestamp_millis("timestamp"),
+        "_window": F.when(named, F.col("window_id")).otherwise(F.uuid()),
+    })
+    return keyed.withWatermark("_at", within).dropDuplicatesWithinWatermark(["_window", "model_type", "timestamp"]).drop("_at", "_window")
+
+
+def persist_stream(
+    alerts: DataFrame, store: AlertStore, checkpoint: str, now=None, available_now: bool = False, repeats_within: str | None = None,
+):
+    """Writes an alert stream to the store: delivered at least once, stored once per key.
+
+    With `repeats_within`, an interval such as `10 minutes`, repeats of an alert so close to it are dropped inside the stream.
+    """
+    if repeats_within is not None:
+        alerts = suppress_repeats(alerts, repeats_within)
     writer = alerts.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, store, now))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -150,32 +168,3 @@ def build_windows_stream(
     timed = events.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", watermark)
     counts = _key_counts(timed, F.window("_ts", f"{window_ms} milliseconds"), dims)
     return window_rows(counts, dims)
-
-
-def rate_limit_stream(
-    requests: DataFrame, limit: int, window_s: float, key: str = "key", ts_ms: str = "ts_ms",
-    id_col: str = "request_id",
-) -> DataFrame:
-    """Rate limit over a request stream: (id, key, time, accepted).
-
-    State per key is the list of at most `limit` accepted times. Rows of a micro-batch are
-    taken in time order, later batches after earlier ones.
-    """
-    width = int(window_s * 1000)
-    rows = requests.select(
-        F.col(id_col).cast("bigint").alias("request_id"),
-        F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("key"), F.col(ts_ms).alias("ts_ms"),
-    )
-
-    def enforce(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0] if state.exists else [], np.int64)
-        # One key's rows of one micro-batch; the source's batch size bounds them.
-        batch = pd.concat(list(batches)).sort_values(["ts_ms", "request_id"])
-        accepted, held = admit(batch["ts_ms"].to_numpy(), held, limit, width)
-        state.update((held.tolist(),))
-        yield batch.assign(accepted=accepted)[["request_id", "key", "ts_ms", "accepted"]]
-
-    return rows.groupBy("key").applyInPandasWithState(
-        enforce, "request_id long, key string, ts_ms long, accepted boolean", "times array<long>",
-        "append", GroupStateTimeout.NoTimeout,
-    )

@@ -183,6 +183,153 @@ def test_rate_limit_stream_state_spans_batches(spark, tmp_path):
     assert {x["request_id"]: x["accepted"] for x in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
 
 
+def _limited(spark, folder, *args, **options):
+    stream = ST.rate_limit_stream(spark.readStream.schema("ts_ms long, key string, request_id long").option("maxFilesPerTrigger", 1).parquet(str(folder / "in")), *args, **options)
+    query = stream.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def _replayed(rows, limit, width):
+    times, accepted = defaultdict(list), {}
+    for t, key, rid in rows:
+        times[key] = [x for x in times[key] if x > t - width]
+        accepted[rid] = len(times[key]) < limit
+        if accepted[rid]:
+            times[key].append(t)
+    return accepted
+
+
+def test_rate_limit_stream_forgets_quiet_keys(spark, tmp_path):
+    """Two keys fall quiet; once the watermark has passed their windows their state is gone."""
+    quiet = [(1000 + i, f"quiet{i % 2}", i) for i in range(6)]
+    busy = [(t, "busy", 100 + i) for i, t in enumerate(range(100_000, 400_000, 10_000))]
+    for i, chunk in enumerate((quiet, busy[:15], busy[15:])):
+        spark.createDataFrame(chunk, "ts_ms long, key string, request_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = _limited(spark, tmp_path, 2, 5, lateness="20 seconds")
+    rows = [p["stateOperators"][0]["customMetrics"] for p in map(dict, query.recentProgress) if p["stateOperators"]]
+    assert {r["request_id"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == _replayed(quiet + busy, 2, 5000)
+    left = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "c"))
+    keys = {r["key"][0] for r in left.select("key").collect()}
+    assert keys <= {"busy"} and rows
+
+
+def test_rate_limit_stream_with_a_hot_key(spark, tmp_path):
+    """One key over many Arrow batches, out of order and with equal times, is taken by time whether it fits in memory or not."""
+    r = random.Random(9)
+    rows = [(50 + int(r.random() * 300_000) // 50 * 50, "hot" if r.random() < 0.9 else f"k{i % 5}", i) for i in range(6000)]
+    ordered = sorted(rows, key=lambda x: (x[0], x[2]))
+    expected = _replayed(ordered, 5, 3000)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        for name, held in (("memory", 1_000_000), ("aside", 700)):
+            folder = tmp_path / name
+            folder.mkdir()
+            spark.createDataFrame(rows, "ts_ms long, key string, request_id long").repartition(4).coalesce(1).write.parquet(str(folder / "in"))
+            _limited(spark, folder, 5, 3, held_rows=held)
+            assert {x["request_id"]: x["accepted"] for x in spark.read.parquet(str(folder / "out")).collect()} == expected, name
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_rate_limit_stream_of_odd_rows(spark, tmp_path):
+    rows = [(10, None, 1), (10, None, None), (None, "a", 2), (10, "a", 3), (10, "a", 3), (11, "a", 4)]
+    spark.createDataFrame(rows, "ts_ms long, key string, request_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    _limited(spark, tmp_path, 1, 5)
+    got = sorted((r["key"], str(r["request_id"]), r["accepted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "3", False), ("a", "3", True), ("a", "4", False), ("unknown", "1", True), ("unknown", "None", False)]
+
+
+def test_repeats_end_inside_the_stream(spark, tmp_path):
+    day = 86_400_000
+    batches = [[(5, "a"), (6, "b"), (5, "a")], [(6, "b"), (7, "a"), (5, ""), (5, "")], [(40 * day, "a")], [(40 * day + 1, "z"), (40 * day, "a")]]
+    for rows in batches:
+        _messages(spark, *rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ALERT_MESSAGE_SCHEMA).parquet(str(tmp_path / "in"))
+        query = ST.suppress_repeats(stream, "2 days").writeStream.format("parquet").option("path", str(tmp_path / "out")) \
+            .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r["timestamp"], r["window_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(5, ""), (5, ""), (5, "a"), (6, "b"), (7, "a"), (40 * day, "a"), (40 * day + 1, "z")]
+    # What lies behind the watermark is forgotten.
+    held = spark.read.format("statestore").load(str(tmp_path / "c")).count()
+    assert held <= 2
+
+
+def test_first_rows_of_files(spark, tmp_path):
+    for name, n in (("b", 40), ("a", 25), ("c", 0)):
+        lines = [json.dumps({"id": f"{name}{i}", "window": {"sbytes": i}}) if i % 5 else "no json" for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    every = [f"{name}{i}" for name, n in (("b", 40), ("a", 25)) for i in range(n) if i % 5]
+    paths = [str(tmp_path / f"{name}.jsonl") for name in "bac"]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        for n in (0, 1, 17, 32, 33, 52, 900):
+            rows = SRC.read_records(spark, paths, n) if n else SRC.read_records(spark, paths)
+            assert sorted(r["id"] for r in rows.collect()) == sorted(every[:n or None])
+        SRC.write_dataset(SRC.read_records(spark, paths, placed=True), str(tmp_path / "out"), 40)
+        out = spark.read.json(str(tmp_path / "out"))
+        assert sorted(r["id"] for r in out.collect()) == sorted(every[:40])
+        assert "_path" not in out.columns and len(list((tmp_path / "out").glob("part-*.json"))) > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    SRC.write_dataset(spark.range(0, 100, 1, 10), str(tmp_path / "plain"), 33)
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "plain")).collect()) == [*range(33)]
+    SRC.write_dataset(spark.range(5).limit(0), str(tmp_path / "none"), 3)
+    assert spark.read.schema("id long").json(str(tmp_path / "none")).count() == 0
+
+
+def _size(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_a_change_is_written_alone_and_folded_in_by_day(spark, tmp_path):
+    store, day = AlertStore(spark, str(tmp_path)), 86_400_000
+    rows = [(i, i % 10 * day + i, f"w{i}", "m", None, 0.9, 0.5, True, None) for i in range(1, 2001)]
+    alerts = spark.createDataFrame(rows, "id long, timestamp long, window_id string, model_type string, feature_schema string, model_score double, threshold double, triggered boolean, explanation_summary string") \
+        .withColumns({"created_at": F.lit(NOW).cast("timestamp"), "updated_at": F.lit(NOW).cast("timestamp")})
+    store.save("alerts", alerts)
+    assert store.days("alerts") == {f"1970-01-{d + 1:02d}": 1 for d in range(10)}
+    at = "2024-02-01 00:00:00"
+    store.change("alerts", spark.createDataFrame([(7, "seen", None), (999_999, "lost", None)], "id long, explanation_summary string, model_score double"), at)
+    store.change("alerts", spark.createDataFrame([(7, 0.1), (18, 0.2)], "id long, model_score double"), "2024-02-02 00:00:00")
+    assert _size(tmp_path / "alerts_changes") < _size(tmp_path / "alerts") / 5
+
+    def listed():
+        return {r["id"]: (r["explanation_summary"], r["model_score"], str(r["updated_at"])[:10]) for r in store.load("alerts").collect()}
+
+    want = {i: (None, 0.9, NOW[:10]) for i in range(1, 2001)} | {7: ("seen", 0.1, "2024-02-02"), 18: (None, 0.2, "2024-02-02")}
+    assert listed() == want
+    assert {r["id"] for r in store.load("alerts", days="1970-01-08".__eq__).collect()} == {i for i in range(1, 2001) if i % 10 == 7}
+    # Two days hold changed rows; the others are not written again.
+    assert store.compact("alerts") == ["1970-01-08", "1970-01-09"]
+    assert {d: v for d, v in store.days("alerts").items() if v == 2} == {"1970-01-08": 2, "1970-01-09": 2}
+    assert listed() == want and store.compact("alerts") == []
+    # A stream's batch, and a change to one of its rows.
+    ST.merge_batch(_messages(spark, (3 * day, "new"), (40 * day, "late")), 0, store, NOW)
+    store.change("alerts", spark.createDataFrame([(2001, "why")], "id long, explanation_summary string"), at)
+    assert store.compact("alerts") == ["1970-01-04", "1970-02-10"]
+    got = {r["window_id"]: r["explanation_summary"] for r in store.load("alerts").filter("id > 2000").collect()}
+    assert got == {"new": "why", "late": None} and store.load("alerts").count() == 2002
+    for bad in ("timestamp", "no_such"):
+        with pytest.raises(ValueError):
+            store.change("alerts", spark.createDataFrame([(1, 5)], f"id long, {bad} long"), NOW)
+
+
+def test_changes_of_investigations_keep_values_where_the_text_is_empty(spark, tmp_path):
+    store = AlertStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, 5, "u", "open", "n"), (2, 5, "u", "open", None)], "id long, alert_id long, user_id string, status string, notes string")
+    store.save("alert_investigations", rows.withColumns({"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(NOW).cast("timestamp")}))
+    changes = spark.createDataFrame([(1, "resolved", ""), (2, "", "seen")], "id long, status string, notes string")
+    plain = A.update_investigations(store.load("alert_investigations"), changes, NOW).collect()
+    store.change("alert_investigations", changes, NOW)
+    assert sorted(store.load("alert_investigations").collect()) == sorted(plain)
+    assert store.compact("alert_investigations") == ["none"] and sorted(store.load("alert_investigations").collect()) == sorted(plain)
+    assert store.compact("models") == [] and store.load("models").count() == 0
+
+
 def test_severity(one):
     assert [one(severity(F.lit(x))) for x in (0.81, 0.8, 0.6)] == ["threat", "anomaly", "insight"]
 
