@@ -17,18 +17,25 @@ ESCAPE = 15
 _U = np.uint64
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each integer needs."""
+    high, low = (values >> _U(32)).astype(np.float64), (values & _U(0xFFFFFFFF)).astype(np.float64)
+    upper = np.frexp(high)[1]
+    return np.where(upper > 0, upper + 32, np.frexp(low)[1]).astype(np.uint8)
+
+
 def _fitting(values: np.ndarray, left: np.ndarray) -> np.ndarray:
     """For each position the selector of the word that would start there; `left` integers remain in its block."""
     n = len(values)
-    selectors = np.zeros(n, np.int8)
-    selectors[values >> _U(60) > 0] = ESCAPE
-    # The largest of the next `count` values, one step at a time; stops when no position takes more.
-    largest, step = values.copy(), 1
+    left = np.minimum(left, COUNTS[-1]).astype(np.uint8)
+    # The most bits of the next `count` values, one step at a time; stops when no position takes more.
+    largest = _widths(values)
+    selectors, widths, step = np.where(largest > 60, ESCAPE, 0).astype(np.int8), largest.copy(), 1
     for selector, count in enumerate(COUNTS[1:], 1):
         while step < count:
-            np.maximum(largest[:n - step], values[step:], out=largest[:n - step])
+            np.maximum(largest[:n - step], widths[step:], out=largest[:n - step])
             step += 1
-        fits = (left >= count) & (largest < _U(1 << (60 // count)))
+        fits = (left >= count) & (largest <= 60 // count)
         if not fits.any():
             break
         selectors[fits] = selector

@@ -11,6 +11,7 @@ import json
 import unicodedata
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from flowlens.llm import simple8b
 from flowlens.llm.common import small_batches, texts, worker_state
 
-# Distinct words a Python worker remembers before it starts anew.
-WORDS = 400_000
+# Distinct words of a stretch of texts; a Python worker remembers those of two stretches.
+WORDS = 200_000
 
 
 class WordTokenizer:
@@ -54,36 +55,44 @@ class WordTokenizer:
                 ranks[bytes(letters[c] for c in plain) + b"\0" * (plain != token)] = i
         self.mark = ranks[b"\0"]
         self.coder = tiktoken.Encoding("words", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})
+        # Words seen lately, and those of the time before, which come back when they are seen again.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        plain = []
+    def learn(self, words: set[bytes]) -> None:
+        plain, letters = [], []
         for word in words:
-            if b"\0" in word or b"<|" in word:
+            if word.isalpha():
+                letters.append(word)
+            elif b"\0" in word or b"<|" in word:
                 ids = self.library().encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
                 self.known[word] = np.array(ids, "<u4").tobytes()
             else:
                 plain.append(word)
-        if not plain:
-            return
-        lines = b"\n".join([*plain, b""]).decode("utf-8", "surrogatepass")
-        # Character by character, a capital sigma has one lower case.
-        lines = unicodedata.normalize("NFC", lines).replace("\u03a3", "\u03c3").lower()
-        ids = np.array(self.coder.encode_ordinary("\0\n".join([*self.pattern.findall(lines), ""])), "<u4")
+        # A word of ASCII letters is one part, and lower case is all that changes it.
+        marked = [b"\0\n\0\n".join([*letters, b""]).lower().decode()]
+        if plain:
+            lines = b"\n".join([*plain, b""]).decode("utf-8", "surrogatepass")
+            # Character by character, a capital sigma has one lower case.
+            lines = unicodedata.normalize("NFC", lines).replace("\u03a3", "\u03c3").lower()
+            marked.append("\0\n".join([*self.pattern.findall(lines), ""]))
+        ids = self.coder.encode_to_numpy("".join(marked)).astype("<u4", copy=False)
         # A line end leaves a mark without a word.
         marks = np.flatnonzero(ids == self.mark)
         raw, begins, ends = ids.tobytes(), [0, *((marks[:-1] + 1) * 4).tolist()], (marks * 4).tolist()
-        for word, a, b in zip(plain, begins, ends):
+        for word, a, b in zip(chain(letters, plain), begins, ends):
             self.known[word] = raw[a:b]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        known = self.known
         split = [t.encode("utf-8", "surrogatepass").split() for t in batch]
-        if len(known) > WORDS:
-            known.clear()
-        self.learn([*{w for words in split for w in words if w not in known}])
-        return [b"".join([known[w] for w in words]) for words in split]
+        if len(self.known) > WORDS:
+            self.known, self.before = {}, self.known
+        if new := set().union(*split).difference(self.known):
+            again = new.intersection(self.before)
+            self.known.update((w, self.before[w]) for w in again)
+            self.learn(new - again)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 def tokenize_words(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
