@@ -41,7 +41,11 @@ INSIDE = frozenset("article content post entry story main body text blog page".s
 TAGS = ("article", "main", "p", "div", "section", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "body", "blockquote", "pre", "figure", "h1", "h2", "h3", "#text")
 FEATURES = (*TAGS, "other_tag", "outside", "inside", "linked", "all_linked", "long", "length", "stops", "sign", "bias")
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# Comments, declarations and tags. Attribute values may hold anything but their own quote, unquoted ones quotes too; what the page's end cuts off is
+# a tag or comment up to there. Nothing is tried twice, so that the time follows the length of the page.
+_TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"""
+    r"""((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+)?+)*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'\by="([01])"')
 _PARTS = re.compile(r"[a-z]+")
@@ -75,6 +79,8 @@ def parse(source: str) -> Page:
     root = page.add("#root", "", -1)
     # Open elements: tag and node; an inline element has the node of the block around it.
     stack: list[tuple[str, int]] = [("#root", root)]
+    # Depths of the open elements by tag, the innermost last; 0, the root, where there is none.
+    opened: dict[str, list[int]] = {}
     # Raw elements that nothing closes any more.
     missing: set[str] = set()
     run: list[str] = []
@@ -89,11 +95,19 @@ def parse(source: str) -> Page:
             run.clear()
         linked = 0
 
+    def depth_of(*tags: str) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    def push(tag: str, node: int):
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def close(depth: int):
         nonlocal anchors
-        for tag, _ in stack[depth:]:
+        while len(stack) > depth:
+            tag, _ = stack.pop()
+            opened[tag].pop()
             anchors -= tag == "a"
-        del stack[depth:]
 
     at = 0
     for found in _TAG.finditer(source):
@@ -110,8 +124,7 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
+            if depth := depth_of(tag):
                 if tag not in INLINE:
                     end_run()
                 close(depth)
@@ -147,22 +160,17 @@ def parse(source: str) -> Page:
             at = over.start() if over else len(source)
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             anchors += tag == "a"
             continue
         end_run()
         # A block ends an open paragraph, and an entry its neighbour.
-        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-        if depth:
+        if depth := depth_of("p"):
             close(depth)
         if tag in ENDS:
             ended, stop = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ended:
-                    close(i)
-                    break
-                if stack[i][0] in stop:
-                    break
+            if (depth := depth_of(*ended)) > depth_of(*stop):
+                close(depth)
         # An inline element that was left open does not reach into the block.
         while stack[-1][0] in INLINE:
             close(len(stack) - 1)
@@ -171,7 +179,7 @@ def parse(source: str) -> Page:
             names += f" y{label[1]}"
         # The head of a page is another thing than that of an article.
         top = tag == "header" and not page.single[stack[-1][1]]
-        stack.append((tag, page.add("#top" if top else tag, names, stack[-1][1])))
+        push(tag, page.add("#top" if top else tag, names, stack[-1][1]))
     if at < len(source):
         run.append(source[at:])
     end_run()

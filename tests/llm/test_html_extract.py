@@ -2,6 +2,7 @@ import html
 import itertools
 import math
 import re
+import time
 
 import pytest
 
@@ -83,3 +84,33 @@ def test_options_and_controls_left_open_lose_no_text():
     assert texts("<select><option>x<p>c</p><select><option>y</option></select><p>d</p>") == ["c", "d"]
     assert texts("<svg><p>c</p><iframe src=x><p>d</p>") == ["c", "d"] and texts("<option>x <b>y</b></option>z") == ["z"]
     assert texts("<p>c</p><script>var a") == ["c"]
+
+
+@pytest.mark.parametrize("source, texts", [
+    ("<p title=it's>First line, don't stop.</p><p>b</p>", ["First line, don't stop.", "b"]),
+    ("a<!-->b<p>c-->d", ["ab", "c-->d"]), ("a<!--->b", ["ab"]), ("a<!-- x --!>b", ["ab"]), ("a<!-- x -- > y -->b", ["ab"]), ("a<!-- never closed", ["a"]),
+    ("<p class='a b' id=\"x>y\">q</p>", ["q"]), ("<p data-x = 5 >ok</p>", ["ok"]), ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ("x<a href='cut off", ["x"]),
+    ("<a href=/x/>link</a> z", ["link z"]), ("<!DOCTYPE html><?xml x?>hi", ["hi"]), ("", []),
+])
+def test_comments_quotes_and_cut_tags(source, texts):
+    assert [t for t in H.parse(source).texts if t] == texts
+
+
+@pytest.mark.parametrize("source", [
+    "<a '" * 250_000, "<div>" * 200_000, "<b>x</i>" * 125_000, "<!x" * 300_000, "<!--" * 250_000, "<p x='>" * 150_000, "<select>" * 125_000, "<option><b>" * 90_000,
+    "<td><table>" + "<div>" * 100_000 + "<td></td>" * 50_000, "<li><ul>" + "<div>" * 100_000 + "<li>" * 100_000,
+], ids=["quotes", "open", "stray", "declarations", "comments", "values", "selects", "options", "cells", "entries"])
+def test_hostile_pages_of_a_megabyte_take_seconds(source):
+    begin = time.process_time()
+    H.parse(source)
+    assert time.process_time() - begin < 5
+
+
+def test_long_pages_repeated_rows_and_empty_tables(spark):
+    long = "<html><body><article>" + "".join(f"<p>Paragraph {i} of a very long page about rivers and stones.</p>" for i in range(20_000)) + "</article></body></html>"
+    rows = [(1, "u", long), (1, "u", long), (2, None, None), (None, "v", ""), (3, "w", "<div>" * 5000 + "x")]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' text", "1 n_chars")).collect()
+    texts = [r.text for r in got if r.page_id == 1]
+    assert len(got) == 5 and texts[0] == texts[1] and texts[0].count("\n") == 19_999
+    assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (2, None)] == ["", ""]
+    assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
