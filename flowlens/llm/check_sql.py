@@ -21,15 +21,18 @@ def quality_rules() -> str:
     bad = f"(n_words < {Q.LEAST_WORDS} OR 100 * n_repeat_words > {Q.MOST_REPEATED} * n_words)"
     mean = lambda c: _list(f"avg({c}[{i + 1}])" for i in range(Q.SIZES[c]))
     every = lambda c: _list(f"sum({c}[{i + 1}] * documents) / sum(documents)" for i in range(Q.SIZES[c]))
+    # A language's reference: its own mean and the mean of all, weighted.
+    blended = lambda c: (
+        f"coalesce(list_transform(list_zip(o.{c}, a.{c}), lambda z: (z[1] * o.documents + z[2] * {Q.SHARED_DOCUMENTS}) / (o.documents + {Q.SHARED_DOCUMENTS})), a.{c})")
     distance = lambda c: (
-        f"sqrt(greatest(0.0, list_sum(list_transform(list_zip(f.{c}, coalesce(o.{c}, a.{c})), lambda z: "
+        f"sqrt(greatest(0.0, list_sum(list_transform(list_zip(f.{c}, {blended(c)}), lambda z: "
         "(CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2))))")
-    near = (f"(character_distance <= {Q.CHARACTER_DISTANCE} + {Q.SLACK} / sqrt(greatest(n_words, 1)) "
-            f"AND word_distance <= {Q.WORD_DISTANCE} + {Q.SLACK} / sqrt(greatest(n_words, 1)))")
+    near = (f"((n_words < {Q.GUARDS['characters']} OR character_distance <= {Q.CHARACTER_DISTANCE} + {Q.SLACK} / sqrt(greatest(n_words, 1))) "
+            f"AND (n_words < {Q.GUARDS['common']} OR word_distance <= {Q.WORD_DISTANCE} + {Q.SLACK} / sqrt(greatest(n_words, 1))))")
 
     def compared(rows: str, known: str) -> str:
         return (f"SELECT f.*, {distance('characters')} AS character_distance, {distance('common')} AS word_distance FROM {rows} f "
-                f"LEFT JOIN (SELECT * FROM {known} WHERE documents >= {Q.LANGUAGE_DOCUMENTS} AND lang IS NOT NULL) o ON f.lang = o.lang, "
+                f"LEFT JOIN (SELECT * FROM {known} WHERE lang IS NOT NULL) o ON f.lang = o.lang, "
                 f"(SELECT {every('characters')} AS characters, {every('common')} AS common FROM {known}) a")
 
     def means(rows: str) -> str:
@@ -49,16 +52,19 @@ s AS (SELECT *, {classes} AS named, {counts} AS found, CAST(length(t) AS DOUBLE)
 f AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   list_transform(list_concat(named, [chars - word_chars, word_chars - list_sum(named)]), lambda x: CASE WHEN chars = 0 THEN 0 ELSE x / chars END) AS characters,
   list_transform(list_concat(found, [n_words - list_sum(found)]), lambda x: CASE WHEN n_words = 0 THEN 0 ELSE x / n_words END) AS common FROM s),
-good AS (SELECT * FROM f WHERE NOT {bad} AND n_words >= {Q.GUARD_WORDS}),
+good AS (SELECT * FROM f WHERE NOT {bad} AND n_words >= {max(Q.GUARDS.values())}),
 k1 AS ({means('good')}), c1 AS ({compared('good', 'k1')}), n1 AS (SELECT * FROM c1 WHERE {near}), k2 AS ({means('n1')}), c2 AS ({compared('f', 'k2')})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {bad} AS base_failed,
-  NOT {bad} AND (n_words < {Q.GUARD_WORDS} OR {near}) AS kept FROM c2"""
+  NOT {bad} AND {near} AS kept FROM c2"""
 
 
 def license_scan() -> str:
     words = lambda text: (
         f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
     templates = ", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(L.TEMPLATES))
+    after = (f"word = {_quoted(word)} AND prior IN ({', '.join(map(_quoted, near))})" for word, near in L.TELLING_AFTER)
+    before = (f"word = {_quoted(word)} AND later IN ({', '.join(map(_quoted, near))})" for word, near in L.TELLING_BEFORE)
+    telling, naming = "(" + " OR ".join([*after, *before]) + ")", ", ".join(map(_quoted, L.NAMING))
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(L.GRAM))
     places = " UNION ALL ".join(
         f"SELECT r, i - 1 AS start, {_quoted(label)} AS label FROM p WHERE " + " AND ".join(f"w[i + {k}] = {_quoted(word)}" for k, word in enumerate(phrase))
@@ -70,12 +76,22 @@ base AS ({places}),
 b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS found FROM base GROUP BY r),
 t AS (SELECT template, label, {words('text')} AS w FROM (VALUES {templates}) v(template, label, text)),
 tg AS (SELECT template, label, i - 1 AS spot, len(w) - {L.GRAM - 1} AS n_grams, {gram} AS g FROM (SELECT *, unnest(range(1, len(w) - {L.GRAM - 2})) AS i FROM t) x),
+said AS (SELECT 'd' AS kind, r, i - 1 AS pos, w[i] AS word, coalesce(w[i - 1], '') AS prior, coalesce(w[i + 1], '') AS later FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) x
+  UNION ALL SELECT 't', template, i - 1, w[i], coalesce(w[i - 1], ''), coalesce(w[i + 1], '') FROM (SELECT template, w, unnest(range(1, len(w) + 1)) AS i FROM t) x),
+marks AS (SELECT kind, r, pos, word, {telling} AS telling, word IN ({naming}) AS naming FROM said WHERE {telling} OR word IN ({naming})),
+tm AS (SELECT r AS template, coalesce(list_sort(list_distinct(list(word) FILTER (telling))), []) AS telling, coalesce(list_distinct(list(word) FILTER (naming AND short)), []) AS naming
+  FROM marks JOIN (SELECT template AS r, len(w) < {L.SHORT_WORDS} AS short FROM t) USING (r) WHERE kind = 't' GROUP BY r),
 dg AS (SELECT r, i - 1 AS place, {gram} AS g FROM (SELECT r, w, unnest(range(1, len(w) - {L.GRAM - 2})) AS i FROM d) x),
-diagonals AS (SELECT r, template, label, n_grams, place - spot AS diagonal, count(*) AS votes, min(spot) AS low, max(spot) AS high FROM dg JOIN tg USING (g) GROUP BY ALL),
+diagonals AS (SELECT r, template, label, n_grams, place - spot AS diagonal, count(*) AS votes, min(spot) AS low, max(spot) AS high, min(place) AS first, max(place) AS last FROM dg JOIN tg USING (g) GROUP BY ALL),
 marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {L.MERGE} THEN 0 ELSE 1 END AS apart FROM diagonals),
 grouped AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS grp FROM marked),
-spans AS (SELECT r, label, least(sum(votes), max(high) - min(low) + 1) / CAST(n_grams AS DOUBLE) AS share FROM grouped GROUP BY r, template, label, n_grams, grp),
-v AS (SELECT r, max(share) AS share, list(DISTINCT label) AS found FROM spans WHERE share >= {L.COVER} GROUP BY r)
+spans AS (SELECT r, template, label, grp, least(sum(votes), max(high) - min(low) + 1) / CAST(n_grams AS DOUBLE) AS share,
+  min(first) - least(min(low), {L.MERGE}) AS begin, max(last) + {L.GRAM - 1} + least(n_grams - 1 - max(high), {L.MERGE}) AS finish FROM grouped GROUP BY r, template, label, n_grams, grp),
+inside AS (SELECT s.r, s.template, s.label, s.grp, s.share, coalesce(list_sort(list_distinct(list(m.word) FILTER (m.telling))), []) AS telling,
+  coalesce(list_distinct(list(m.word) FILTER (m.naming)), []) AS naming FROM spans s
+  LEFT JOIN marks m ON m.kind = 'd' AND m.r = s.r AND m.pos BETWEEN s.begin AND s.finish WHERE s.share >= {L.COVER} GROUP BY ALL),
+v AS (SELECT i.r, max(i.share) AS share, list(DISTINCT i.label) AS found FROM inside i LEFT JOIN tm USING (template)
+  WHERE i.telling = coalesce(tm.telling, []) AND list_has_all(i.naming, coalesce(tm.naming, [])) GROUP BY i.r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(b.found), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(v.found, [])))), ','), '') AS labels,

@@ -3,8 +3,9 @@
 Every rolling run of GRAM words of every document is joined by hash to the places where license templates have it.
 A hit votes for a diagonal, its word in the document less its word in the template; a copied notice puts all its votes
 on one diagonal, an edited one on neighbours. Votes are summed by diagonal, neighbouring diagonals are merged, and the
-span that a merged diagonal covers is verified by how much of the template stands in it and by the words that tell
-a template from its siblings: the span must have those of the template and no others. Only SQL functions are used.
+span that a merged diagonal covers is verified by how much of the template stands in it and by its words: of the words that tell a
+license from its siblings it must have those of the template and no others, and for a short template all words that name the license. Only
+SQL functions are used.
 """
 
 from __future__ import annotations
@@ -55,6 +56,11 @@ TELLING_AFTER = (("nc", ("by",)), ("sa", ("by", "nc")), ("nd", ("by", "nc")), ("
                  ("sharealike", ("attribution", "noncommercial")), ("noderivatives", ("attribution", "noncommercial")))
 TELLING_BEFORE = (("lesser", ("general",)), ("affero", ("general",)), ("library", ("general",)))
 
+# Templates of fewer words are found by runs that may lack the license's name; their spans must have all naming words that the template has.
+SHORT_WORDS = 20
+# Words that name licenses.
+NAMING = ("mit", "apache", "gnu", "general", "lesser", "affero", "mozilla", "creative", "commons", "attribution", "cc", "by", "public", "license", "unencumbered")
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -102,12 +108,20 @@ def _telling(w: Column) -> Column:
     return F.when(F.arrays_overlap(w, F.array(*map(F.lit, names))), found).otherwise(none)
 
 
+def _naming(w: Column) -> Column:
+    """(at, word) of every naming word."""
+    found = F.filter(F.transform(w, lambda word, i: F.struct(i.cast("long").alias("at"), word.alias("word"))), lambda t: t["word"].isin(*NAMING))
+    none = F.array().cast("array<struct<at:bigint,word:string>>")
+    return F.when(F.arrays_overlap(w, F.array(*map(F.lit, NAMING))), found).otherwise(none)
+
+
 def template_places(spark: SparkSession) -> DataFrame:
-    """(template, label, n_grams, telling, at, hash): every place of every template; a fixed table of under a thousand rows."""
+    """(template, label, n_grams, telling, naming, at, hash): every place of every template; a fixed table of under a thousand rows."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, text string")
     listed = rows.select("template", "label", F.explode(F.array(words(F.col("text")))).alias("w")).select(
-        "template", "label", grams(F.col("w")).alias("g"), F.array_sort(F.array_distinct(_telling(F.col("w"))["word"])).alias("telling"))
-    return listed.select("template", "label", F.size("g").alias("n_grams"), "telling", F.posexplode("g").alias("at", "hash"))
+        "template", "label", grams(F.col("w")).alias("g"), F.array_sort(F.array_distinct(_telling(F.col("w"))["word"])).alias("telling"),
+        F.when(F.size("w") < SHORT_WORDS, F.array_distinct(_naming(F.col("w"))["word"])).otherwise(F.array().cast("array<string>")).alias("naming"))
+    return listed.select("template", "label", F.size("g").alias("n_grams"), "telling", "naming", F.posexplode("g").alias("at", "hash"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,20 +136,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), F.array(words(text)).alias("list"))
     # Each text is cut into words once; what is asked of the words is made together.
     asked = rows.select("row", "doc_id", F.inline(F.transform("list", lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), _places(w).alias("places"), _telling(w).alias("telling"), grams(w).alias("grams")))))
-    of_row = F.struct("doc_id", "n_words", "places", "telling")
+        F.size(w).cast("long").alias("n_words"), _places(w).alias("places"), _telling(w).alias("telling"), _naming(w).alias("naming"), grams(w).alias("grams")))))
+    of_row = F.struct("doc_id", "n_words", "places", "telling", "naming")
     # The first run, or none, stands for its document; the others stay if a template has them.
     runs = asked.select("row", of_row.alias("of_row"), F.posexplode_outer("grams").alias("place", "hash")).select(
         "row", "place", "hash", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("of_row")).alias("of_row"))
     # The templates are fixed values of this module, so they are sent to all tasks.
     hits = runs.join(F.broadcast(template_places(docs.sparkSession)), "hash", "left").where(F.col("template").isNotNull() | F.col("of_row").isNotNull())
     diagonals = (
-        hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy("row", "template", "label", "n_grams", "telling", "diagonal")
+        hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy("row", "template", "label", "n_grams", "telling", "naming", "diagonal")
         .agg(F.count("template").alias("votes"), F.min("place").alias("begin"), F.max("place").alias("end"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("of_row").alias("of_row")))
     along = W.partitionBy("row", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= MERGE, 0).otherwise(1)
     merged = (
-        diagonals.withColumn("apart", apart).withColumn("group", F.sum("apart").over(along)).groupBy("row", "template", "label", "n_grams", "telling", "group")
+        diagonals.withColumn("apart", apart).withColumn("group", F.sum("apart").over(along)).groupBy("row", "template", "label", "n_grams", "telling", "naming", "group")
         .agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("of_row").alias("of_row")))
     # A span has no more of the template than its votes, nor than it reaches over.
     share = F.least(F.col("votes"), F.col("high") - F.col("low") + 1) / F.col("n_grams")
@@ -144,10 +158,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     beside = lambda missing: F.least(missing, F.lit(MERGE))
     span = F.struct(
         (F.col("begin") - beside(F.col("low"))).alias("begin"), (F.col("end") + GRAM - 1 + beside(F.col("n_grams") - 1 - F.col("high"))).alias("end"),
-        share.alias("share"), "label", "telling")
+        share.alias("share"), "label", "telling", "naming")
     rows = merged.groupBy("row").agg(F.max("of_row").alias("of_row"), F.collect_list(F.when(share.isNotNull(), span)).alias("spans"))
-    inside = lambda s: F.filter("of_row.telling", lambda t: t["at"].between(s["begin"], s["end"]))
-    right = F.filter("spans", lambda s: F.array_sort(F.array_distinct(inside(s)["word"])) == s["telling"])
+    inside = lambda kind, s: F.array_distinct(F.filter(f"of_row.{kind}", lambda t: t["at"].between(s["begin"], s["end"]))["word"])
+    right = F.filter("spans", lambda s: (F.array_sort(inside("telling", s)) == s["telling"]) & (F.size(F.array_except(s["naming"], inside("naming", s))) == 0))
     verified = rows.withColumn("right", right).select("of_row", F.array_max(F.col("right")["share"]).alias("share"), F.array_distinct(F.col("right")["label"]).alias("found"))
     places = F.col("of_row.places")
     base = F.array_distinct(places["label"])

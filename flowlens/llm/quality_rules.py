@@ -2,7 +2,8 @@
 
 A document's histograms of character classes and of common words are compared with its language's by the
 Jensen-Shannon distance. The references are mean histograms of each language over all documents that pass the
-base rules and lie near the first such means. Short texts, whose histograms say little, are held to a wider distance or to none. SQL functions only.
+base rules and lie near the first such means; a language of few documents is drawn towards the mean of all. Short texts, whose
+histograms say little, are held to wider distances, and below a length of its own for each histogram to none. SQL functions only.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from flowlens.session import broadcast_if_small
 # Base rules.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-# Words a text needs for its histograms to be compared, and largest distances; slack over the root of the words is added.
-GUARD_WORDS = 50
+# Words a text needs for each histogram to be compared, and largest distances; slack over the root of the words is added.
+GUARDS = {"characters": 60, "common": 100}
 CHARACTER_DISTANCE = 0.13
 WORD_DISTANCE = 0.35
 SLACK = 0.5
-# Documents a language needs for a reference of its own; others are held to the reference of all.
-LANGUAGE_DOCUMENTS = 100
+# Weight of the mean of all documents, in documents, in a language's reference.
+SHARED_DOCUMENTS = 100
 
 # The commonest words of English, German, French and Spanish.
 COMMON = (
@@ -109,38 +110,43 @@ def references(measured: DataFrame) -> DataFrame:
 def distances(measured: DataFrame, known: DataFrame) -> DataFrame:
     """`measured` with its character_distance and word_distance from the references `known`.
 
-    A null language, and one of few documents, is held to the mean of all. The references are one row per language; they are
-    sent to all tasks if a count shows that they are few.
+    The reference of a language with n documents is its own mean with weight n and the mean of all with weight SHARED_DOCUMENTS, so that it
+    does not jump as documents come in; a null language, and one without a mean, is held to the mean of all. The references are one row per
+    language; they are sent to all tasks if a count shows that they are few.
     """
     total = F.sum("documents")
     overall = known.agg(*(F.array(*(F.sum(F.col(c)[i] * F.col("documents")) / total for i in range(n))).alias(c) for c, n in SIZES.items())).first()
-    own = known.where((F.col("documents") >= LANGUAGE_DOCUMENTS) & F.col("lang").isNotNull()).select("lang", *(F.col(c).alias(f"own_{c}") for c in SIZES))
-    values = {c: overall[c] if overall[c][0] is not None else [0.0] * n for c, n in SIZES.items()}
-    against = lambda c: js_distance(F.col(c), F.coalesce(f"own_{c}", F.array(*(F.lit(x) for x in values[c]))))
+    everyone = {c: F.array(*(F.lit(x) for x in (overall[c] if overall[c][0] is not None else [0.0] * n))) for c, n in SIZES.items()}
+    n = F.col("documents")
+    blended = lambda c: F.zip_with(c, everyone[c], lambda own, all: (own * n + all * SHARED_DOCUMENTS) / (n + SHARED_DOCUMENTS))
+    own = known.where(F.col("lang").isNotNull()).select("lang", *(blended(c).alias(f"own_{c}") for c in SIZES))
+    against = lambda c: js_distance(F.col(c), F.coalesce(f"own_{c}", everyone[c]))
     return measured.join(broadcast_if_small(own), "lang", "left").select(
         *measured.columns, against("characters").alias("character_distance"), against("common").alias("word_distance"))
 
 
 def near() -> Column:
-    """Whether both distances are within their bounds, which widen for short texts."""
+    """Whether the distances of the histograms that the text is long enough for are within their bounds, which widen for short texts."""
     slack = SLACK / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    return (F.col("character_distance") <= CHARACTER_DISTANCE + slack) & (F.col("word_distance") <= WORD_DISTANCE + slack)
+    short = lambda c: F.col("n_words") < GUARDS[c]
+    return (short("characters") | (F.col("character_distance") <= CHARACTER_DISTANCE + slack)) & (
+        short("common") | (F.col("word_distance") <= WORD_DISTANCE + slack))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, character_distance, word_distance).
 
-    One row per row of `docs`. A text that passes the base rules is kept if both histograms lie within their bounds
-    of the language's reference. References are taken twice: from all documents that pass the base rules, then from those
+    One row per row of `docs`. A text that passes the base rules is kept if each histogram that it is long enough for (GUARDS) lies within
+    its bound of the language's reference. References are taken twice: from all documents that pass the base rules, then from those
     of them that lie near the first ones, so that a share of odd documents does not shape them. Null and empty texts have no
     words and fail; a null language is held to the mean of all; repeated rows and null ids keep their rows; an empty
     table gives an empty result.
     """
     measured = stored(measures(docs, id_col, text_col, lang_col))
-    good = measured.where(~base_failed() & (F.col("n_words") >= GUARD_WORDS))
+    good = measured.where(~base_failed() & (F.col("n_words") >= max(GUARDS.values())))
     known = stored(references(good))
     known = stored(references(distances(good, known).where(near())))
     judged = distances(measured, known)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        (~base_failed() & ((F.col("n_words") < GUARD_WORDS) | near())).alias("kept"), "character_distance", "word_distance")
+        (~base_failed() & near()).alias("kept"), "character_distance", "word_distance")

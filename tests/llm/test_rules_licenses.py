@@ -4,9 +4,10 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 
-from flowlens.llm import licenses, quality_rules
+from flowlens.llm import check_sql, licenses, quality_rules
 
 ODD = [
     (1, "The quick brown the quick brown the quick fox.\n\n \nline one\nline one\n\x0bline one \n"), (2, None), (3, ""), (4, " \t\r\n\x0c "), (5, "a a a a"), (5, "a a a a"),
@@ -69,6 +70,35 @@ def test_divergence_keeps_clean_documents(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.1
 
 
+def test_references_follow_the_number_of_documents_smoothly(spark):
+    """The same German texts beside 59, 60, 61 and 400 others of their language: distances move by the language's weight, in Spark and in SQL."""
+    rng = random.Random(4)
+    english = "the of and to in is that for it with was house river stone cloud light garden window market".split()
+    german = "der die und das von zu mit den ist haus fluss stein wolke licht garten fenster markt strasse".split()
+    prose = lambda words, n: " ".join(rng.choice(words) + rng.choice(["", "", ".", ","]) for _ in range(n))
+    base = [(i, prose(english, 150), "en") for i in range(300)]
+    others = [(1000 + i, prose(german, 150), "de") for i in range(400)]
+    asked = [(5000, prose(german, 150), "de"), (5001, prose(german, 70), "de"), (5002, "x1 " * 60 + "y2 z3 " * 3, "de"), (5003, prose(english + german, 140), None), (5004, prose(german, 55), "xx")]
+    found = []
+    for n in (59, 60, 61, 400):
+        rows = base + others[:n] + asked
+        judged = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+        found.append({r.doc_id: r.word_distance for r in judged if r.doc_id >= 5000})
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        want = {r[0]: r[1:] for r in con.execute(check_sql.quality_rules()).fetchall()}
+        assert {r.doc_id: tuple(r)[1:8] for r in judged} == want
+    steps = [abs(a[5000] - b[5000]) for a, b in zip(found, found[1:])]
+    assert max(steps[:2]) < 0.01 and found[3][5000] < found[0][5000]
+
+
+def test_guards_of_short_texts(spark):
+    rows = [(i, n, far, 0.99) for i, (n, far) in enumerate([(59, 0.99), (60, 0.99), (60, 0.0), (99, 0.0), (100, 0.0)])]
+    df = spark.createDataFrame(rows, "id int, n_words int, character_distance double, word_distance double")
+    assert [r[0] for r in df.orderBy("id").select(quality_rules.near()).collect()] == [True, False, True, True, False]
+
+
 def _plain_base(text):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
@@ -121,8 +151,19 @@ def test_siblings_are_told_apart(spark):
         ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Licensed under CC BY-ND 4.0.", "cc-by-nd"), ("Licensed under CC BY 4.0.", "cc-by"), ("nc by nc licensed", ""),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ""),
         ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"), ("general", ""), ("nc", ""), ("lesser", ""),
+        ("It was released under the MIT umbrella of research labs.", ""), ("It is licensed under the MIT rules of the house.", ""),
+        ("This source code form is subject to the terms of the house.", ""), ("Released under the MIT License.", "mit"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License.", "mpl"),
     ]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
     assert {i: x[0] for i, x in got.items()} == {i: want for i, (_, want) in enumerate(cases)}
     assert got[0][1] == got[5][1] == 1.0 and got[6][1] == 0.0
+    # The check SQL has the same rules.
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(cases)])
+    result = con.execute(check_sql.license_scan())
+    names = [d[0] for d in result.description]
+    rows = {r["doc_id"]: (r["labels"], r["score"]) for r in (dict(zip(names, r)) for r in result.fetchall())}
+    assert rows == got
