@@ -155,8 +155,8 @@ def _(spark, sf):
     rows = SRC.labeled_rows(SRC.read_records(spark, _numbered_lines(spark, sf), placed=True), *SRC.PLACE)
     SRC.write_dataset(rows, path, half)
     written = spark.read.schema("id string").json(path)
-    files = written.select(F.input_file_name().alias("file")).agg((F.count_distinct("file") > 1).alias("many_files"))
-    return written.join(F.broadcast(files))
+    many = written.select(F.input_file_name().alias("file")).agg(F.count_distinct("file") > 1).first()[0]
+    return written.withColumn("many_files", F.lit(many))
 
 
 @op("src5_changed_days", """
@@ -570,16 +570,29 @@ def _(spark, sf):
                                             F.array_max(dense).alias("largest"), above.alias("above_one"))
 
 
-@op("f5_vector_entries", f"WITH {FEATURES_SQL} SELECT flow_id, name, round(value, 9) AS value FROM features WHERE value <> 0")
-def _(spark, sf):
+def _vector_entries(spark, sf, **options):
     from pyspark.ml.functions import vector_to_array
     featured = FE.flow_features(records(spark, sf))
-    model = SparseFeatureVectorizer().fit(featured)
-    names = spark.createDataFrame(list(enumerate(model.getVocabulary())), "at int, name string")
+    model = SparseFeatureVectorizer(**options).fit(featured)
+    names = model.names(spark).select(F.col("index").cast("int").alias("at"), "name")
     cells = model.transform(featured).select("flow_id", F.posexplode(vector_to_array("feature_vector")).alias("at", "value")).filter("value <> 0")
     return cells.join(names, "at").select("flow_id", "name", F.round("value", 9).alias("value"))
 
 
+_ENTRIES_SQL = f"WITH {FEATURES_SQL} SELECT flow_id, name, round(value, 9) AS value FROM features WHERE value <> 0"
+
+
+@op("f5_vector_entries", _ENTRIES_SQL)
+def _(spark, sf):
+    return _vector_entries(spark, sf)
+
+
+@op("f5_vectors_by_table", _ENTRIES_SQL)
+def _(spark, sf):
+    """The vocabulary in a table, as for more names than a driver should hold."""
+    return _vector_entries(spark, sf, most=5)
+
+
 TERMS_SQL = r"""toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents),
 grams AS (SELECT doc_id, unnest(w) AS term FROM toks UNION ALL
   SELECT doc_id, unnest([x[1] || ' ' || x[2] for x in list_zip(w[:-2], w[2:])]) FROM toks WHERE len(w) > 1),

@@ -1,9 +1,9 @@
 """Classification metrics, score curves and threshold search."""
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import safe_ratio
+from .ordering import prefix_sums
 
 METRICS = (
     "accuracy", "balanced_accuracy", "negative_precision", "negative_recall", "negative_f1",
@@ -58,9 +58,8 @@ def score_curve(
     """One row per distinct score with its own and the running counts at `score >= threshold`.
 
     Columns: `by`, `threshold`, `pos`, `neg`, `tp`, `fp`, `positives`, `negatives`.
-    Rows are summed per score before any ordering, scores are cut into ranges of
-    equal weight, and running sums inside a range start from the sums of the
-    higher ranges, so no task ever orders all scores.
+    Rows are summed per score before any ordering; running sums are those of prefix_sums(), so the input is read once and no task
+    orders all scores of a group.
     """
     y = F.col(label).cast("int")
     points = (
@@ -68,40 +67,10 @@ def score_curve(
         .groupBy(*by, F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = [F.lit(i / ranges) for i in range(1, ranges)]
-    cuts = []
-    if quantiles:
-        found = df.agg(F.percentile_approx(F.col(score).cast("double"), F.array(*quantiles), 10_000)).first()[0]
-        cuts = sorted(set(found or []))
-    if len(cuts) > 0:
-        cutter = Bucketizer(
-            splits=[float("-inf"), *cuts, float("inf")], inputCol="threshold", outputCol="_range"
-        )
-        points = cutter.transform(points)
-    else:
-        points = points.withColumn("_range", F.lit(0.0))
-
-    # At most one row per group and range: the window below never sees more.
-    sums = points.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    higher = whole.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *by, "_range",
-        F.coalesce(F.sum("_pos").over(higher), F.lit(0)).alias("_tp"),
-        F.coalesce(F.sum("_neg").over(higher), F.lit(0)).alias("_fp"),
-        F.sum("_pos").over(whole).alias("positives"), F.sum("_neg").over(whole).alias("negatives"),
-    )
-    running = (
-        Window.partitionBy(*by, "_range").orderBy(F.col("threshold").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    keyed = points.join(offsets if by else F.broadcast(offsets), [*by, "_range"])
-    return keyed.select(
-        *by, "threshold", "pos", "neg",
-        (F.sum("pos").over(running) + F.col("_tp")).alias("tp"),
-        (F.sum("neg").over(running) + F.col("_fp")).alias("fp"),
-        "positives", "negatives",
+    summed = prefix_sums(points, by, [F.col("threshold").desc()], ("pos", "neg"))
+    return summed.select(
+        *by, "threshold", "pos", "neg", F.col("pos_through").alias("tp"), F.col("neg_through").alias("fp"),
+        F.col("pos_total").alias("positives"), F.col("neg_total").alias("negatives"),
     )
 
 

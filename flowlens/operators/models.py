@@ -5,6 +5,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -30,6 +31,18 @@ class LinearModel:
     def coefficients(self) -> dict[str, float]:
         return dict(zip(self.vectorizer.getVocabulary(), map(float, self.classifier.coefficients)))
 
+    def coefficient_table(self, spark: SparkSession) -> DataFrame:
+        """(feature, coefficient), without a list of the features on the driver where the vectorizer keeps them in a table."""
+        if isinstance(self.vectorizer, NgramTfidfModel):
+            return spark.createDataFrame(list(self.coefficients().items()), "feature string, coefficient double")
+        values = np.asarray(self.classifier.coefficients.toArray(), float)
+
+        @F.arrow_udf("double")
+        def at(index: pa.Array) -> pa.Array:
+            return pa.array(values[index.to_numpy()])
+
+        return self.vectorizer.names(spark).select(F.col("name").alias("feature"), at("index").alias("coefficient"))
+
     def score(self, df: DataFrame, output: str = "score") -> DataFrame:
         """Adds the attack probability."""
         vectors = self.vectorizer.transform(df)

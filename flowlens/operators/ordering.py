@@ -4,6 +4,9 @@ Rows are range-partitioned and sorted, written once, and numbered from
 per-partition counts. Only one number per partition ever reaches the driver.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import broadcast_if_small, materialize
@@ -41,6 +44,49 @@ def with_row_index(df: DataFrame, order_by: list[str], output: str = "row_index"
     return positioned.withColumn(output, F.get(before, part) + place).drop("_position")
 
 
+def prefix_sums(df: DataFrame, by: tuple[str, ...], order: list[Column], sums: tuple[str, ...]) -> DataFrame:
+    """Adds `<c>_through`, the sum of `c` over the rows of the same `by` up to this one in `order`, and `<c>_total`, over all of them.
+
+    Rows are cut into ranges of `by` and `order` together, so a group whose values crowd together is cut as finely as any other and no
+    task sees more than its range. Each range adds up its own rows, once, and is written with that; the sums of the ranges before, at
+    most one row per range and one more per group, then join it. `sums` are whole numbers; nulls count 0 and stay apart as groups.
+    """
+    key = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    keys = [*(["_key"] if by else []), *order]
+    ordered = df.withColumn("_key", key).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    added = [T.StructField("_part", T.IntegerType()), *(T.StructField(f"_{c}", T.LongType()) for c in sums)]
+    schema = T.StructType([*ordered.schema.fields, *added])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, last, carried = TaskContext.get().partitionId(), None, np.zeros(len(sums), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("_key").to_numpy()
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[0])) if last == keys[0] else np.append(0, np.flatnonzero(np.diff(keys)) + 1)
+            columns = []
+            for i, c in enumerate(sums):
+                through = np.cumsum(pc.fill_null(batch.column(c), 0).to_numpy().astype(np.int64))
+                # What stands before the first row of each group is none of its own.
+                before = np.where(starts > 0, through[starts - 1], 0)
+                through -= np.repeat(np.append(-carried[i] if not len(starts) or starts[0] else 0, before), np.diff(np.concatenate([[0], starts, [len(keys)]])))
+                carried[i] = through[-1]
+                columns.append(pa.array(through))
+            last = keys[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(keys), part, np.int32)), *columns], schema.fieldNames())
+
+    ranges = materialize(ordered.mapInArrow(run, schema))
+    totals = ranges.groupBy("_key", "_part").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums))
+    # At most one row per range of a group.
+    group = Window.partitionBy("_key")
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_key", "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums), *(F.sum(c).over(group).alias(f"{c}_total") for c in sums))
+    return ranges.join(broadcast_if_small(offsets), ["_key", "_part"]).select(
+        *(F.col(c) for c in df.columns), *((F.col(f"_{c}") + F.col(f"_before_{c}")).alias(f"{c}_through") for c in sums), *(f"{c}_total" for c in sums))
+
+
 def rows_at_ranks(df: DataFrame, order_by: list[str], ranks: list[int]) -> dict[int, tuple]:
     """The `order_by` values found at the given 0-based ranks, as rank → tuple.
 

@@ -1,5 +1,6 @@
 """Feature maps and texts as sparse vectors: two estimators and the array lookup behind them."""
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -10,10 +11,11 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import as_column, opaque
-from ..session import materialize
+from ..session import BROADCAST_ROW_LIMIT, materialize, shared_dir
+from .ordering import with_row_index
 
 
 def lookup_values(keys: Column, table: dict[str, float]) -> Column:
@@ -64,19 +66,29 @@ class _HasVocabulary(Params):
 
 
 class SparseFeatureVectorizer(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Learns the sorted distinct names of a map<string,double> column."""
+    """Learns the sorted distinct names of a map<string,double> column.
 
-    def __init__(self, inputCol: str = "features", outputCol: str = "feature_vector"):
+    Up to `most` names are held by the model; more stay in a table in shared storage, numbered by ranges of names.
+    """
+
+    most = Param(Params._dummy(), "most", "names the model holds itself", TypeConverters.toInt)
+
+    def __init__(self, inputCol: str = "features", outputCol: str = "feature_vector", most: int = BROADCAST_ROW_LIMIT):
         super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
+        self._set(inputCol=inputCol, outputCol=outputCol, most=most)
 
     def _fit(self, dataset: DataFrame) -> "SparseFeatureVectorizerModel":
         # `explode` would add a filter on the map's size that computes the map a second time.
-        names = dataset.select(F.explode_outer(F.map_keys(self.getInputCol())).alias("name")).distinct()
-        # A linear model keeps one coefficient per name on the driver in any case.
-        found = sorted(r[0] for r in names.collect() if r[0] is not None)
+        names = dataset.select(F.explode_outer(F.map_keys(self.getInputCol())).alias("name")).filter("name IS NOT NULL").distinct()
         model = SparseFeatureVectorizerModel(self.getInputCol(), self.getOutputCol())
-        return model._set(vocabulary=found)
+        most = self.getOrDefault(self.most)
+        first = names.limit(most + 1).collect()
+        if len(first) <= most:
+            return model._set(vocabulary=sorted(r[0] for r in first))
+        numbered = with_row_index(names, ["name"], "index")
+        path = f"{shared_dir(dataset.sparkSession)}/models/{uuid.uuid4().hex}/names"
+        numbered.write.parquet(path)
+        return model._set(table=path, size=dataset.sparkSession.read.parquet(path).count())
 
 
 class SparseFeatureVectorizerModel(
@@ -84,11 +96,23 @@ class SparseFeatureVectorizerModel(
 ):
     """Sparse vectors over the learned names; unseen names are ignored."""
 
+    table = Param(Params._dummy(), "table", "where the numbered names lie, if the model does not hold them", TypeConverters.toString)
+    size = Param(Params._dummy(), "size", "names in the table", TypeConverters.toInt)
+
     def __init__(self, inputCol: str = "features", outputCol: str = "feature_vector"):
         super().__init__()
         self._set(inputCol=inputCol, outputCol=outputCol)
 
+    def names(self, spark: SparkSession) -> DataFrame:
+        """(name, index) of all learned names."""
+        if self.isSet(self.table):
+            return spark.read.schema("name string, index long").parquet(self.getOrDefault(self.table))
+        return spark.createDataFrame([(n, i) for i, n in enumerate(self.getVocabulary())], "name string, index long")
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        source = F.col(self.getInputCol())
+        if self.isSet(self.table):
+            return self._joined(dataset)
         names = pa.array(self.getVocabulary(), pa.string())
 
         @F.arrow_udf(VectorUDT())
@@ -98,9 +122,27 @@ class SparseFeatureVectorizerModel(
             order = np.lexsort((index, row))
             return _sparse_vectors(len(keys), len(names), row[order], index[order], value[order])
 
-        source = F.col(self.getInputCol())
         return dataset.withColumn(self.getOutputCol(), opaque(to_vector)(F.map_keys(source), F.map_values(source)))
 
+    def _joined(self, dataset: DataFrame) -> DataFrame:
+        """As _transform, by a join of the rows' names with the table of names."""
+        width = self.getOrDefault(self.size)
+
+        @F.arrow_udf(VectorUDT())
+        def to_vector(index: pa.Array, value: pa.Array) -> pa.Array:
+            lengths = pc.fill_null(pc.list_value_length(index), 0).to_numpy(zero_copy_only=False)
+            return _sparse_vectors(
+                len(index), width, np.repeat(np.arange(len(index)), lengths), index.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False))
+
+        # Written once, so that both readers see the same row numbers.
+        rows = materialize(dataset.withColumn("_row", F.monotonically_increasing_id()))
+        entries = rows.select("_row", F.explode(self.getInputCol()).alias("name", "_value"))
+        # A name may stand in most rows; its entries are spread over all tasks only if the smaller side can be sent, else AQE splits it.
+        cells = entries.join(self.names(rows.sparkSession), "name").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("index", "_value"))).alias("_cells"))
+        none = F.array().cast("array<struct<index:bigint,_value:double>>")
+        joined = rows.join(cells, "_row", "left").withColumn("_cells", F.coalesce("_cells", none))
+        return joined.withColumn(self.getOutputCol(), opaque(to_vector)(F.col("_cells.index"), F.col("_cells._value"))).drop("_row", "_cells")
+
 
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 

@@ -58,10 +58,12 @@ def parse_records(messages: DataFrame, value: str = "value", *keep: str) -> Data
     text = F.col(value).cast("string")
     lines = messages.filter(_is_object(text)).select(F.from_json(text, LINE_SCHEMA).alias("_l"), *keep)
     line = F.col("_l")
-    nested = line["window"].isNotNull()
-    window = typed_window(lambda name: F.when(nested, line["window"][name]).otherwise(line[name]))
-    return lines.select(
-        *[_typed(line[f.name], f.dataType, f.name).alias(f.name) for f in RECORD_FIELDS], window.alias("window"), *keep
+    # The window's texts are chosen once, not field by field.
+    bare = F.struct(*[line[f.name].alias(f.name) for f in WINDOW_SCHEMA.fields])
+    chosen = lines.select("_l", F.coalesce(line["window"], bare).alias("_w"), *keep)
+    return chosen.select(
+        *[_typed(line[f.name], f.dataType, f.name).alias(f.name) for f in RECORD_FIELDS],
+        typed_window(lambda name: F.col("_w")[name]).alias("window"), *keep
     )
 
 

@@ -236,3 +236,50 @@ def test_admit_equals_a_row_by_row_limit():
         first, rest = admit(times[:cut], np.empty(0, np.int64), limit, width)
         second, _ = admit(times[cut:], rest, limit, width)
         assert [*first.tolist(), *second.tolist()] == want
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_prefix_sums_against_plain_sums(spark, batch):
+    """Groups with disjoint, equal and crowded values, a null group and null counts; each hot group is cut into several ranges."""
+    from flowlens.operators.ordering import prefix_sums
+
+    r = random.Random(8)
+    rows = [("low", r.random(), r.randint(0, 5)) for _ in range(3000)] + [("high", 1000 + r.random() / 1e6, 1) for _ in range(3000)]
+    rows += [(None, float(i), 2) for i in range(5)] + [("one", 1.0, None), ("gap", 1.0, 3), ("gap", 2.0, None), ("gap", 3.0, 4)]
+    df = spark.createDataFrame(rows, "g string, x double, n int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix_sums(df, ("g",), [F.col("x").desc()], ("n",)).collect()
+        alone = prefix_sums(df.filter("g = 'low'").drop("g"), (), [F.col("x").asc()], ("n",)).collect()
+        assert prefix_sums(df.limit(0), ("g",), [F.col("x").desc()], ("n",)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, total = {}, {}
+    for g, x, n in sorted(rows, key=lambda row: -row[1]):
+        total[g] = total.get(g, 0) + (n or 0)
+        want[g, x] = total[g]
+    assert {(a.g, a.x): (a.n_through, a.n_total) for a in got} == {k: (v, total[k[0]]) for k, v in want.items()}
+    running, want = 0, {}
+    for _, x, n in sorted((row for row in rows if row[0] == "low"), key=lambda row: row[1]):
+        running += n
+        want[x] = running
+    assert {a.x: a.n_through for a in alone} == want
+
+
+def test_crowded_groups_are_cut_into_ranges(spark):
+    from flowlens.operators.metrics import score_curve
+
+    rows = [(m, i % 2, base + i * step) for m, base, step in (("a", 0.0, 1e-4), ("b", 100.0, 1e-9)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "model string, label int, score double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        curve = score_curve(df, by=("model",))
+        ranges = spark.read.parquet(curve.inputFiles()[0].rsplit("/", 1)[0]).groupBy("model").agg(F.count_distinct("_part").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.model for r in ranges} == {"a", "b"} and all(r.n >= 3 for r in ranges)
+    last = curve.filter("threshold IN (0.0, 100.0)").select("model", "tp", "fp", "positives", "negatives").collect()
+    assert sorted(map(tuple, last)) == [("a", 2000, 2000, 2000, 2000), ("b", 2000, 2000, 2000, 2000)]

@@ -292,3 +292,36 @@ def test_slopes_are_zero_at_the_fit_and_not_beside_it(spark, corpus):
     model = ML.fit_structured(rows, weight="weight")
     assert max(map(abs, ML.penalized_gradient(rows, model, weight="weight").values())) < 1e-3
     assert max(map(abs, ML.penalized_gradient(rows.filter("label = 0 or id like '%1'"), model, weight="weight").values())) > 1e-3
+
+
+def test_vectors_are_the_same_by_list_and_by_table(spark, tmp_path):
+    from flowlens.operators.vectorize import SparseFeatureVectorizer, SparseFeatureVectorizerModel
+
+    rows = [(1, {"b": 2.0, "a": 1.0}), (1, {"b": 2.0, "a": 1.0}), (2, {}), (3, None), (None, {"é": 4.0, "z z": None}), (4, {f"n{i}": float(i) for i in range(50)})]
+    df = spark.createDataFrame(rows, "id int, features map<string,double>")
+    new = spark.createDataFrame([*rows, (5, {"unseen": 1.0, "a": 7.0})], df.schema)
+    listed, tabled = SparseFeatureVectorizer().fit(df), SparseFeatureVectorizer(most=5).fit(df)
+    assert not tabled.isSet(tabled.vocabulary) and tabled.getOrDefault(tabled.size) == len(listed.getVocabulary()) == 54
+    tabled.write().overwrite().save(str(tmp_path / "m"))
+    for model in (tabled, SparseFeatureVectorizerModel.load(str(tmp_path / "m"))):
+        vectors = [sorted((str(r["id"]), str(r["feature_vector"])) for r in m.transform(new).collect()) for m in (listed, model)]
+        assert vectors[0] == vectors[1]
+    names = lambda m: sorted(map(tuple, m.names(spark).collect()))
+    assert names(listed) == names(tabled)
+
+
+def test_a_model_over_a_table_of_names(spark):
+    from flowlens.operators.explain import score_linear
+    from flowlens.operators.vectorize import SparseFeatureVectorizer
+
+    rng = random.Random(2)
+    rows = [(i, i % 2, {f"f{rng.randint(0, 30)}": 1.0, "x": rng.gauss(i % 2, 1)}) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, label int, features map<string,double>")
+    vectorizer = SparseFeatureVectorizer(most=3).fit(df)
+    model = ML.LinearModel(vectorizer, ML.fit_linear(vectorizer.transform(df), "feature_vector"))
+    plain = ML.fit_structured(df)
+    table = {r["feature"]: r["coefficient"] for r in model.coefficient_table(spark).collect()}
+    assert table == pytest.approx(plain.coefficients(), abs=1e-6)
+    scored = score_linear(df, model.coefficient_table(spark), float(model.classifier.intercept), most=3)
+    want = {r["id"]: r["score"] for r in plain.score(df).collect()}
+    assert {r["id"]: r["score"] for r in scored.collect()} == pytest.approx(want, abs=1e-6)
