@@ -267,8 +267,8 @@ def test_partial_sums_of_many_tasks_and_wide_models(spark, monkeypatch):
     for i, (c, v, _, _) in enumerate(rows):
         dense[i, c] = v
     y, w = np.array([r[2] for r in rows], float)[:, None], np.array([r[3] for r in rows])[:, which]
-    for block, direct, part, dense in ((1 << 16, 1 << 20, 100_000, 2_000_000), (16, 2, 7, 0)):
-        monkeypatch.setattr(FF, "DENSE", dense)
+    for block, direct, part, most in ((1 << 16, 1 << 20, 100_000, 2_000_000), (16, 2, 7, 0)):
+        monkeypatch.setattr(FF, "DENSE", most)
         monkeypatch.setattr(FF, "BLOCK", block)
         monkeypatch.setattr(FF, "DIRECT", direct)
         monkeypatch.setattr(FF, "CELLS", part)
