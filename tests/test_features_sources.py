@@ -125,3 +125,13 @@ def test_tfidf_by_hand(spark):
         assert weights[i] == pytest.approx({t: v / norm for t, v in raw.items()})
     vectors = NgramTfidf(maxTerms=2).fit(df)
     assert vectors.getVocabulary() == ["cat", "the"]
+
+
+def test_names_not_cells_are_sent_to_the_tasks(spark, tmp_path):
+    from checks import catalog
+
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", i, ("view", "error")[i % 2], float(i)) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    plan = catalog.QUERIES["f5_vector_entries"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
