@@ -325,3 +325,20 @@ def test_a_model_over_a_table_of_names(spark):
     scored = score_linear(df, model.coefficient_table(spark), float(model.classifier.intercept), most=3)
     want = {r["id"]: r["score"] for r in plain.score(df).collect()}
     assert {r["id"]: r["score"] for r in scored.collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_packed_blocks_and_guided_search(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [([0, 1 + i % 3], [1.0 + rng.random(), rng.normal()], int(rng.random() < 0.4), [0.01, 0.02 * rng.random()]) for i in range(80)]
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>, y int, w array<double>")
+    which = np.array([0, 1])
+    for scale in (None, 0.5 + rng.random((2, 4))):
+        point = FF.Linear(rng.normal(size=(2, 4)), rng.normal(size=2), scale)
+        plain = FF.loss_and_gradient(df, F.col("w"), point, which, 1, True)
+        for a, b in zip(plain, FF.loss_and_gradient(FF.packed(df, F.col("w"), 4, scale), None, point, which, 1, True)):
+            assert np.allclose(a, b, atol=1e-12)
+    newton = FF.fit_folds(df, F.col("w"), [0.01, 0.02], 4, None, 1e-9, 50)
+    monkeypatch.setattr(FF, "CURVED_COLUMNS", 0)
+    monkeypatch.setattr(FF, "GUIDE_ROWS", 40)
+    guided = FF.fit_folds(df, F.col("w"), [0.01, 0.02], 4, None, 1e-9, 50)
+    assert np.allclose(newton.coefficients, guided.coefficients, atol=1e-6) and np.allclose(newton.intercepts, guided.intercepts, atol=1e-6)
