@@ -135,3 +135,13 @@ def test_names_not_cells_are_sent_to_the_tasks(spark, tmp_path):
     events.withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "events.parquet"))
     plan = catalog.QUERIES["f5_vector_entries"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    from flowlens.session import spread
+
+    many = spread(spark.range(0, 2_000_000, 1, spark.sparkContext.defaultParallelism))
+    sizes = [r[0] for r in many.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 60_000 and sum(sizes) == 2_000_000
+    cut = spark.range(0, 1000, 1, 40)
+    assert spread(cut).rdd.getNumPartitions() == 40
