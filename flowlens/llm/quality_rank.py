@@ -2,7 +2,8 @@
 
 A document of quality 1 is preferred to one of quality 0: the probability that one wins is the logistic function of
 the difference of two scores, which are linear in the documents' features. The weights minimise the logistic loss on
-feature differences. Documents are accepted above a quantile of the scores, chosen on the rows of the fit.
+feature differences. Documents are accepted above a quantile of the scores, chosen on the rows of the fit: all labelled ones that
+fitting may see. Moments, pairs, Newton steps and the quantile are passes of Spark over them.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import free_name, held_out, small_batches
-from flowlens.llm.linear import bounded_rows, fit_logistic, labelled_sample, sigmoid
+from flowlens.llm.common import free_name, held_out, small_batches, stored
+from flowlens.llm.linear import fit_logistic_rows, labelled_rows, sigmoid, sum_over
+from flowlens.operators.ordering import prefix_sums, with_row_index
 
-# Labelled documents of each class and preference pairs that a fit sees at most.
-PER_CLASS = 4000
+# Preference pairs of a small table, and pairs of each document of the larger class in a large one.
 PAIRS = 24_000
+ROUNDS = 6
 # Characters that are measured at once; the features of longer texts are means over their parts.
 PART = 1 << 21
 FEATURES = (
@@ -90,22 +92,38 @@ def preference_pairs(good: int, bad: int, most: int = PAIRS) -> tuple[np.ndarray
     return (a, b) if good >= bad else (b, a)
 
 
-def best_quantile(raw: np.ndarray, y: np.ndarray) -> float:
-    """The raw score at the quantile that, as a cut, gives the best mean of both classes' hit rates; midway to the next score."""
-    order = np.argsort(raw, kind="stable")
-    s, good = raw[order], y[order] == 1
-    below_bad, below_good = np.cumsum(~good), np.cumsum(good)
-    gain = below_bad / max(1, (~good).sum()) - below_good / max(1, good.sum())
-    gain[:-1][s[1:] == s[:-1]] = -1
-    at = int(gain.argmax())
-    return float((s[at] + s[min(at + 1, len(s) - 1)]) / 2)
+def _pair_rows(good: DataFrame, bad: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """(x, y, weight): the feature differences of the pairs of `preference_pairs`, by a join over the places in both classes.
+
+    Every document is in some pair: there are PAIRS of them or ROUNDS for each document of the larger class, or all that there are.
+    """
+    larger, smaller = max(sizes), min(sizes)
+    n = min(larger * smaller, max(PAIRS, ROUNDS * larger))
+    one, other = (good, bad) if sizes[0] >= sizes[1] else (bad, good)
+    dealt = one.select("place", F.col("z").alias("_one"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // larger).cast("long"))).alias("_round"))
+    dealt = dealt.where(F.col("_round") * larger + F.col("place") < n).withColumn("place", (F.col("place") + F.col("_round")) % smaller)
+    sign = 1.0 if one is good else -1.0
+    joined = dealt.join(other.select("place", F.col("z").alias("_other")), "place")
+    return stored(joined.select(F.zip_with("_one", "_other", lambda a, b: (a - b) * sign).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("weight")))
+
+
+def best_quantile(rows: DataFrame, sizes: tuple[int, int]) -> float:
+    """The raw score at the quantile that, as a cut, gives the best mean of both classes' hit rates; midway to the next score.
+
+    `rows` has raw and label; `sizes` are the counts of labels 1 and 0.
+    """
+    counts = rows.groupBy("raw").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    through = prefix_sums(counts, (), [F.col("raw")], ("good", "bad"))
+    gain = F.col("bad_through") / F.lit(float(max(1, sizes[1]))) - F.col("good_through") / F.lit(float(max(1, sizes[0])))
+    at = through.orderBy(gain.desc(), "raw").first()["raw"]
+    after = counts.where(F.col("raw") > F.lit(at)).agg(F.min("raw")).first()[0]
+    return (at + (at if after is None else after)) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> RankModel:
-    """The model of a bounded sample of labelled rows, never the held-out ones.
+def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> RankModel:
+    """The model of all labelled rows that fitting may see, never the held-out ones.
 
-    Features are measured on Spark; the driver gets at most 2 * `per_class` rows of them. Without rows of both
-    classes every text scores 0.5.
+    The driver gets sums, one short vector a task. Without rows of both classes every text scores 0.5.
     """
     small_batches(docs.sparkSession)
 
@@ -113,22 +131,34 @@ def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = P
     def measured(text: pd.Series) -> pd.Series:
         return pd.Series([features(t).tolist() for t in text])
 
-    sample = labelled_sample(docs, labels, "quality", per_class, id_col, text_col).select("doc_id", "label", measured("text").alias("x"))
-    rows = bounded_rows(sample, 2 * per_class)
-    y = rows["label"].to_numpy(int)
-    zero = np.zeros(len(FEATURES))
-    if not (0 < y.sum() < len(y)):
+    width = len(FEATURES)
+    rows = stored(labelled_rows(docs, labels, "quality", id_col, text_col).select("doc_id", "label", measured("text").alias("x")))
+    found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    zero = np.zeros(width)
+    if set(found) != {0, 1}:
         return RankModel(zero, zero + 1, zero, 0.0, 0.0)
-    x = np.array(rows["x"].tolist())
-    centre, spread = x.mean(0), x.std(0) + 1e-6
-    z = np.clip((x - centre) / spread, -6, 6)
-    good, bad = z[y == 1], z[y == 0]
-    a, b = preference_pairs(len(good), len(bad))
-    weights = fit_logistic(good[a] - bad[b], np.ones(len(a)), ridge=3.0)
-    raw = z @ weights
-    at = best_quantile(raw, y)
+    sizes, n = (found[1], found[0]), found[0] + found[1]
+    centre = sum_over(rows, ["x"], lambda x: x.sum(0)) / n
+    spread = np.sqrt(sum_over(rows, ["x"], lambda x: ((x - centre) ** 2).sum(0)) / n) + 1e-6
+
+    @F.pandas_udf("array<double>")
+    def scaled(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.clip((np.stack(x.to_numpy()) - centre) / spread, -6, 6)) if len(x) else [])
+
+    z = rows.select("doc_id", "label", scaled("x").alias("z"), F.xxhash64("doc_id").alias("_hash"))
+    good, bad = (with_row_index(z.where(F.col("label") == y), ["_hash", "doc_id"], "place") for y in (1, 0))
+    weights = fit_logistic_rows(_pair_rows(good, bad, sizes), width, ridge=3.0)
+
+    @F.pandas_udf("double")
+    def raw(z: pd.Series) -> pd.Series:
+        return pd.Series([float(v @ weights) for v in z], dtype="float64")
+
+    ranked = stored(good.unionByName(bad).select("label", raw("z").alias("raw")))
+    at = best_quantile(ranked, sizes)
     # A slope for the probability of label 1; the cut of the scores lies at the chosen quantile.
-    slope = float(np.clip(fit_logistic((raw - at)[:, None], y, np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum())))[0], 0.05, 5.0))
+    balance = F.when(F.col("label") == 1, n / 2 / sizes[0]).otherwise(n / 2 / sizes[1])
+    sides = stored(ranked.select(F.array(F.col("raw") - F.lit(at)).alias("x"), F.col("label").cast("double").alias("y"), balance.alias("weight")))
+    slope = float(np.clip(fit_logistic_rows(sides, 1)[0], 0.05, 5.0))
     return RankModel(centre, spread, weights, slope, float(np.log(cut / (1 - cut)) - slope * at))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from flowlens.llm import quality_rank, toxicity
-from flowlens.llm.linear import class_weights, fit_logistic, labelled_sample
+from flowlens.llm.linear import class_weights, fit_logistic, fit_logistic_rows, labelled_sample
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -93,3 +93,23 @@ def test_rows_per_class_do_not_move_the_calibration(spark, tables):
     assert class_weights(labels, "toxic", 10**9) == (1.0, 1.0)
     low, high = class_weights(labels, "toxic", 150)
     assert abs(high / (low + high) - total) < 1e-9
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    rows = [(i, ("plain words of a text, " if i % 2 else "### $$ A A ") * (1 + i % 7) + str(i)) for i in range(10_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality_rank.fit(docs, labels)
+    x = np.array([quality_rank.features(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5])
+    y = np.array([i % 2 for i, _ in rows if zlib.crc32(str(i).encode()) % 5])
+    assert min((y == 1).sum(), (y == 0).sum()) > 4000
+    assert np.allclose(model.centre, x.mean(0), rtol=1e-12) and np.allclose(model.spread, x.std(0) + 1e-6, rtol=1e-9)
+    assert (model.score(x[y == 1]) >= 0.3).all() and (model.score(x[y == 0]) < 0.3).all()
+
+
+def test_fit_over_rows_equals_fit_on_driver(spark):
+    rng = np.random.default_rng(3)
+    x, u = rng.normal(size=(300, 3)), rng.uniform(0.5, 2, 300)
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=300) > 0).astype(float)
+    table = spark.createDataFrame([(a.tolist(), float(b), float(c)) for a, b, c in zip(x, y, u)], "x array<double>, y double, weight double").repartition(5)
+    assert np.allclose(fit_logistic_rows(table, 3, ridge=3.0), fit_logistic(x, y, u, ridge=3.0), atol=1e-8)
