@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import INVESTIGATION_STATUSES, LEGACY_MODEL_TYPES, MODEL_TYPES
 from ..schemas import STORE_SCHEMAS
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, held_tasks, materialize
 from .ordering import with_row_index
 
 ALERT_KEY = ["window_id", "model_type", "timestamp"]
@@ -82,8 +82,15 @@ def alert_investigations(alerts: DataFrame, investigations: DataFrame, alert_id=
 
 def _known_alerts(alerts: DataFrame, rows: DataFrame) -> DataFrame:
     """Ids of stored alerts among the `alert_id`s of `rows`: few ids go to the large table, not the other way round."""
-    ids = rows.select("alert_id").distinct()
-    return alerts.select(F.col("id").alias("alert_id")).join(broadcast_if_small(ids), "alert_id", "left_semi")
+    stored = alerts.select(F.col("id").alias("alert_id"))
+    tasks = held_tasks(rows)
+    ids = rows.select("alert_id")
+    ids = (ids.repartition(tasks, "alert_id") if tasks else ids).distinct()
+    sent = broadcast_if_small(ids)
+    if sent is not ids:
+        return stored.join(sent, "alert_id", "left_semi")
+    # Ids pack to so few bytes that Spark would send millions of them to every task after all; the joins keep the tasks of the ids.
+    return stored.join(ids.hint("merge"), "alert_id", "left_semi").hint("merge")
 
 
 # --- counts and reports ------------------------------------------------------------
@@ -315,7 +322,8 @@ def create_investigations(investigations: DataFrame, new: DataFrame, alerts: Dat
     checked = F.when(status.isin(*INVESTIGATION_STATUSES), status).otherwise(
         F.raise_error(F.concat(F.lit("unknown status: "), status)).cast("string")
     )
-    rows = new.withColumn("status", checked).join(_known_alerts(alerts, new), "alert_id", "left_semi")
+    # Numbering counts, samples and sorts the rows, so they are joined once.
+    rows = materialize(new.withColumn("status", checked).join(_known_alerts(alerts, new), "alert_id", "left_semi"))
     at = F.lit(now).cast("timestamp")
     stamped = rows.withColumns({"created_at": at, "updated_at": at})
     order = [c for c in ("alert_id", "user_id", "status", "notes") if c in stamped.columns]

@@ -365,3 +365,28 @@ def test_windows_without_id_and_bounds_stay_apart(spark, tmp_path):
     ST.persist_stream(SRC.read_alert_stream(spark, str(tmp_path / "alerts")), store, str(tmp_path / "c2"), available_now=True).awaitTermination()
     rows = store.load("alerts").collect()
     assert len(rows) == 3 and len({r["window_id"] for r in rows}) == 3 and min(r["timestamp"] for r in rows) > 1_600_000_000_000
+
+
+def test_many_ids_are_neither_sent_to_every_task_nor_joined_in_few(spark, monkeypatch):
+    from flowlens import session
+
+    monkeypatch.setattr(session, "HELD_ROWS", 10_000)
+    alerts = spark.range(0, 300_000, 1, 4)
+    asked = alerts.select((F.col("id") * 2).alias("alert_id"))
+    known = asked.join(A._known_alerts(alerts, asked), "alert_id", "left_semi")
+    assert known.rdd.getNumPartitions() == 30
+    assert sorted(r["alert_id"] for r in known.collect()) == list(range(0, 300_000, 2))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_created_investigations_of_repeated_and_unknown_alerts(spark, monkeypatch):
+    from flowlens import session
+
+    monkeypatch.setattr(session, "HELD_ROWS", 2)
+    alerts = spark.createDataFrame([(i % 40,) for i in range(60)] + [(None,)], "id long")
+    new = spark.createDataFrame([(i % 50 if i % 7 else None, "u", None, str(i)) for i in range(100)], "alert_id long, user_id string, status string, notes string")
+    old = spark.createDataFrame([(7, 1, "u", "open", None, None, None)], STORE_SCHEMAS["alert_investigations"])
+    made = A.create_investigations(old, new, alerts, NOW).collect()
+    want = sorted((i % 50, str(i)) for i in range(100) if i % 7 and i % 50 < 40)
+    assert sorted((r["id"], r["alert_id"], r["notes"]) for r in made if r["id"] > 7) == [(8 + at, a, n) for at, (a, n) in enumerate(want)]
