@@ -197,6 +197,11 @@ def opaque(udf):
     return udf.asNondeterministic()
 
 
+def settled(col) -> Column:
+    """The same value, computed where it stands: a filter on it is not moved below its step, with the whole expression copied into each use."""
+    return F.when(F.spark_partition_id() >= 0, as_column(col))
+
+
 def fixed_text(*numbers: tuple[Column, int | None]) -> Column:
     """Texts of (column, digits) pairs as one array, in C `%.nf` rounding.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..constants import FAMILY_KEYS
-from ..functions.columns import json_count_map, label_text, to_float
+from ..functions.columns import json_count_map, label_text, settled, to_float
 from ..functions.labels import source_tier, window_label
 from ..operators.features import window_text
 from ..operators.ordering import first_rows
@@ -11,12 +11,9 @@ from ..schemas import ALERT_MESSAGE_SCHEMA, RECORD_SCHEMA, TAG_KEYS, WINDOW_SCHE
 from ..session import prepare
 
 RECORD_FIELDS = [f for f in RECORD_SCHEMA.fields if f.name != "window"]
-_names = {f.name for f in RECORD_FIELDS}
 # A line is either a record holding a window, or the bare window itself.
-LINE_SCHEMA = as_text_leaves(T.StructType(
-    RECORD_FIELDS + [f for f in WINDOW_SCHEMA.fields if f.name not in _names]
-    + [T.StructField("window", WINDOW_SCHEMA)]
-))
+LINE_SCHEMA = as_text_leaves(RECORD_SCHEMA)
+BARE_SCHEMA = as_text_leaves(WINDOW_SCHEMA)
 
 
 def _typed(text: Column, kind: T.DataType, name: str) -> Column:
@@ -56,11 +53,10 @@ def parse_records(messages: DataFrame, value: str = "value", *keep: str) -> Data
     A line without a `window` object is taken as the window itself.
     """
     text = F.col(value).cast("string")
-    lines = messages.filter(_is_object(text)).select(F.from_json(text, LINE_SCHEMA).alias("_l"), *keep)
+    lines = messages.filter(_is_object(text)).select(F.from_json(text, LINE_SCHEMA).alias("_l"), text.alias("_t"), *keep)
     line = F.col("_l")
-    # The window's texts are chosen once, not field by field.
-    bare = F.struct(*[line[f.name].alias(f.name) for f in WINDOW_SCHEMA.fields])
-    chosen = lines.select("_l", F.coalesce(line["window"], bare).alias("_w"), *keep)
+    # The window's texts are chosen once, not field by field; only a line without a window is read as one.
+    chosen = lines.select("_l", F.coalesce(line["window"], F.from_json("_t", BARE_SCHEMA)).alias("_w"), *keep)
     return chosen.select(
         *[_typed(line[f.name], f.dataType, f.name).alias(f.name) for f in RECORD_FIELDS],
         typed_window(lambda name: F.col("_w")[name]).alias("window"), *keep
@@ -131,7 +127,7 @@ def parse_alerts(messages: DataFrame, value: str = "value") -> DataFrame:
         (typed_window(lambda name: a["window"][name]) if f.name == "window" else _typed(a[f.name], f.dataType, f.name)).alias(f.name)
         for f in ALERT_MESSAGE_SCHEMA.fields
     ]
-    return parsed.select(*fields).filter(F.col("timestamp").isNotNull())
+    return parsed.select(*fields).withColumn("timestamp", settled(F.col("timestamp"))).filter(F.col("timestamp").isNotNull())
 
 
 def read_alert_stream(spark: SparkSession, source: str, starting: str = "earliest", **options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.columns import feature_schema, with_alert_explanation
+from ..functions.columns import feature_schema, settled, with_alert_explanation
 from ..operators import alerts as A
 from ..operators.features import _key_counts, window_rows, window_text
 from ..operators.models import Detector, score_structured
@@ -40,7 +40,9 @@ def build_alerts(scored: DataFrame, threshold: float | None = None, timestamp_ms
     is the window end, unless given.
     """
     effective = F.lit(threshold) if threshold is not None else F.coalesce("threshold", F.lit(0.5))
-    hit = scored.withColumn("threshold", effective.cast("double")).filter(F.col("score") >= F.col("threshold"))
+    # Otherwise the filter would parse each window anew for every use of the score's inputs.
+    settled_scores = scored.withColumns({"score": settled("score"), "threshold": effective.cast("double")})
+    hit = settled_scores.filter(F.col("score") >= F.col("threshold"))
     explained = with_alert_explanation(hit, "window", "model", "score")
     at = F.col("end_ms") if timestamp_ms is None else F.lit(timestamp_ms).cast("bigint")
     return explained.select(
@@ -82,6 +84,10 @@ def _start(rows: DataFrame, sink: str, checkpoint: str, options: dict, available
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+# Columns of an alert message that the store takes.
+MERGED = ("timestamp", "window_id", "model_type", "feature_schema", "model_score", "threshold", "explanation_summary")
+
+
 def merge_batch(batch: DataFrame, batch_id: int, store: AlertStore, now=None) -> None:
     """Stores one batch of alert messages once per key, with one audit row per new alert.
 
@@ -89,9 +95,7 @@ def merge_batch(batch: DataFrame, batch_id: int, store: AlertStore, now=None) ->
     in the time range of the batch are read for the comparison.
     """
     stamp = now if now is not None else batch.agg(F.max(F.timestamp_millis("timestamp"))).first()[0]
-    rows = cached(batch.select(
-        "timestamp", "window_id", "model_type", "feature_schema", "model_score", "threshold", "explanation_summary",
-    ).withColumn("triggered", F.col("model_score") >= F.col("threshold")))
+    rows = cached(batch.select(*MERGED).withColumn("triggered", F.col("model_score") >= F.col("threshold")))
     try:
         low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
         if low is None:
@@ -132,7 +136,8 @@ def persist_stream(
     """
     if repeats_within is not None:
         alerts = suppress_repeats(alerts, repeats_within)
-    writer = alerts.writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, store, now))
+    # A batch arrives as computed rows: what is not stored, such as the parsed window, is left out before.
+    writer = alerts.select(*MERGED).writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, store, now))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

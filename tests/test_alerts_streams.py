@@ -390,3 +390,29 @@ def test_created_investigations_of_repeated_and_unknown_alerts(spark, monkeypatc
     made = A.create_investigations(old, new, alerts, NOW).collect()
     want = sorted((i % 50, str(i)) for i in range(100) if i % 7 and i % 50 < 40)
     assert sorted((r["id"], r["alert_id"], r["notes"]) for r in made if r["id"] > 7) == [(8 + at, a, n) for at, (a, n) in enumerate(want)]
+
+
+def test_windows_are_parsed_once_before_the_filter_on_scores(spark):
+    lines = [json.dumps({"id": "a", "window": {"sbytes": 900}}), json.dumps({"id": "b", "sbytes": 500, "label": "1"}), json.dumps({"window": 5, "sbytes": 950})]
+    records = SRC.parse_records(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+    def score(df):
+        return df.withColumns({"score": F.col("window.sbytes") / 1000.0, "model": F.lit("m"), "threshold": F.lit(0.6)})
+
+    found = ST.detect(records, None, 1, scorer=score)
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("+- ") if line.startswith("Filter")]
+    assert filters and not any("from_json" in line for line in filters)
+    assert sorted((r["window"]["sbytes"], r["model_score"]) for r in found.collect()) == [(900.0, 0.9), (950.0, 0.95)]
+    assert sorted((r["window"]["sbytes"], r["window"]["label"]) for r in records.collect()) == [(500.0, "1"), (900.0, None), (950.0, None)]
+    alerts = SRC.parse_alerts(spark.createDataFrame([('{"timestamp": "3.0"}',), ('{"timestamp": "x"}',), ("{}",)], "value string"))
+    filters = [line for line in alerts._jdf.queryExecution().optimizedPlan().toString().split("+- ") if line.startswith("Filter")]
+    assert filters and not any("from_json" in line for line in filters) and [r["timestamp"] for r in alerts.collect()] == [3]
+
+
+def test_persisted_batches_hold_no_windows(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ST, "merge_batch", lambda batch, *_: seen.append(batch.columns))
+    _messages(spark, (5, "a")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ALERT_MESSAGE_SCHEMA).parquet(str(tmp_path / "in"))
+    ST.persist_stream(stream, AlertStore(spark, str(tmp_path / "s")), str(tmp_path / "c"), NOW, True).awaitTermination()
+    assert seen == [list(ST.MERGED)]
