@@ -1,3 +1,4 @@
+import pyarrow as pa
 import json
 import math
 
@@ -145,3 +146,37 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     assert max(sizes) < 60_000 and sum(sizes) == 2_000_000
     cut = spark.range(0, 1000, 1, 40)
     assert spread(cut).rdd.getNumPartitions() == 40
+
+
+def test_terms_are_summed_in_runs_of_bounded_words(spark):
+    from collections import Counter
+
+    from flowlens.operators.vectorize import _counted_terms, _term_finder, _word_runs
+
+    texts = ["ab cd ab cd", None, "", "x y", "ab", "cd ab ÉTÉ été ab cd ab", "cd cd cd", "ab_1 99 99 ab_1"] * 3
+    parts = [F.col("n") % 2 == 0, F.when(F.col("n") > 4, F.col("n") < 12)]
+    df = spark.createDataFrame([*enumerate(texts)], "n int, t string").coalesce(2)
+    grams = [r["g"] or [] for r in df.orderBy("n").select(ngrams("t").alias("g")).collect()]
+    inside = [[True] * len(texts), [n % 2 == 0 for n in range(len(texts))], [4 < n < 12 for n in range(len(texts))]]
+    every, docs = [Counter() for _ in inside], [Counter() for _ in inside]
+    for n, terms in enumerate(grams):
+        for j, part in enumerate(inside):
+            if part[n]:
+                every[j].update([None, *terms])
+                docs[j].update([None, *set(terms)])
+    for most in (1, 5, 1000):
+        found = {r["term"]: (r["corpus_count"], r["doc_count"]) for r in _counted_terms(df, "t", most=most).collect()}
+        assert found == {t: (n, docs[0][t]) for t, n in every[0].items()}
+        found = {r["term"]: (r["corpus_count"], r["doc_count"]) for r in _counted_terms(df, "t", parts, most=most).collect()}
+        assert found == {t: ([every[1][t], every[2][t]], [docs[1][t], docs[2][t]]) for t in every[0]}
+    assert _counted_terms(df.filter("n < 0"), "t").collect() == []
+
+    batch = pa.RecordBatch.from_arrays([pa.array([["a"] * k if k is not None else None for k in (3, 0, 9, None, 2, 2, 2, 1)])], ["words"])
+    runs = [r.column(0).to_pylist() for r in _word_runs([batch, batch], 4)]
+    assert [w for r in runs for w in r] == batch.column(0).to_pylist() * 2
+    assert all(sum(map(len, filter(None, r))) <= 4 or sum(map(bool, r)) == 1 for r in runs) and all(runs)
+
+    names = ["cd", "ab cd", "none", "cd ab", "no such pair", "cd cd", ""]
+    rows, places = _term_finder(names)(pa.array([["ab", "cd", "ab", "cd"], None, [], ["x", "cd"], ["cd", "x", "ab"], ["cd", "cd", "cd"]]))
+    assert sorted(zip(rows.tolist(), places.tolist())) == [(0, 0), (0, 0), (0, 1), (0, 1), (0, 3), (3, 0), (4, 0), (5, 0), (5, 0), (5, 0), (5, 5), (5, 5)]
+    assert [x.tolist() for x in _term_finder([])(pa.array([["ab", "cd"]]))] == [[], []]
