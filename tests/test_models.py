@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import explain as E, fold_fit as FF, models as ML
 from flowlens.operators.features import flow_features
 from flowlens.plans import training as P
+from tests.conftest import FLOW
 
 
 @pytest.fixture(scope="module")
@@ -342,3 +343,17 @@ def test_packed_blocks_and_guided_search(spark, monkeypatch):
     monkeypatch.setattr(FF, "GUIDE_ROWS", 40)
     guided = FF.fit_folds(df, F.col("w"), [0.01, 0.02], 4, None, 1e-9, 50)
     assert np.allclose(newton.coefficients, guided.coefficients, atol=1e-6) and np.allclose(newton.intercepts, guided.intercepts, atol=1e-6)
+
+
+def test_texts_are_made_before_the_wide_feature_maps(spark, records):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        rows = P.resolve_records(records({"id": "a", "label": 1, "window": FLOW}))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # The plan is written from its last step down: no step that makes the text copies a map.
+    assert 0 <= plan.index("map_from_arrays") < plan.index("ArrowEvalPython")
+    assert rows.columns[-3:] == ["window", "features", "window_text"]
+    row = rows.first()
+    assert row["window_text"].startswith("feature_schema=") and row["features"]["bytes_total"] == 1800.0
