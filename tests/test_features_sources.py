@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Observation, functions as F
@@ -151,7 +152,7 @@ def test_spread_bounds_the_rows_of_a_task(spark):
 def test_terms_are_summed_in_runs_of_bounded_words(spark):
     from collections import Counter
 
-    from flowlens.operators.vectorize import _counted_terms, _term_finder, _word_runs
+    from flowlens.operators.vectorize import _counted_terms, _term_finder, _term_sums, _word_runs
 
     texts = ["ab cd ab cd", None, "", "x y", "ab", "cd ab ÉTÉ été ab cd ab", "cd cd cd", "ab_1 99 99 ab_1"] * 3
     parts = [F.col("n") % 2 == 0, F.when(F.col("n") > 4, F.col("n") < 12)]
@@ -171,6 +172,14 @@ def test_terms_are_summed_in_runs_of_bounded_words(spark):
         assert found == {t: ([every[1][t], every[2][t]], [docs[1][t], docs[2][t]]) for t in every[0]}
     assert _counted_terms(df.filter("n < 0"), "t").collect() == []
 
+    lists, within = pa.array([(w or "").split() for w in texts]), np.array(inside[1:]).T
+    whole = [*_term_sums(lists, within, 10_000)]
+    for most in (1, 7, 40):
+        slices = [*_term_sums(lists, within, most)]
+        assert len(slices) > 1 and max(c.size for _, c, _ in slices) <= max(most, 2)
+        assert pa.concat_arrays([t for t, _, _ in slices]).to_pylist() == whole[0][0].to_pylist()
+        assert all(np.array_equal(np.concatenate([s[k] for s in slices]), whole[0][k]) for k in (1, 2))
+
     batch = pa.RecordBatch.from_arrays([pa.array([["a"] * k if k is not None else None for k in (3, 0, 9, None, 2, 2, 2, 1)])], ["words"])
     runs = [r.column(0).to_pylist() for r in _word_runs([batch, batch], 4)]
     assert [w for r in runs for w in r] == batch.column(0).to_pylist() * 2

@@ -345,6 +345,20 @@ def test_packed_blocks_and_guided_search(spark, monkeypatch):
     assert np.allclose(newton.coefficients, guided.coefficients, atol=1e-6) and np.allclose(newton.intercepts, guided.intercepts, atol=1e-6)
 
 
+def test_packed_blocks_lie_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    # A row of 2000 cells: 50 of them make a block of 1.2 MB.
+    wide = spark.range(3000).coalesce(1).select(
+        F.sequence(F.lit(0), F.lit(1999)).alias("indices"), F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.rand(1) + i).alias("values"),
+        (F.col("id") % 2).cast("int").alias("y"), F.array(F.lit(1.0)).alias("w"))
+    packs = FF.packed(wide, F.col("w"), 2000)
+    sizes = [m.row_group(i).total_byte_size for f in packs.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for i in range(m.num_row_groups)]
+    assert sum(sizes) > 40 << 20 and max(sizes) < 24 << 20
+    assert packs.agg(F.sum("rows")).first()[0] == 3000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 8 << 20
+
+
 def test_texts_are_made_before_the_wide_feature_maps(spark, records):
     spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     try:
