@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import (
@@ -213,16 +214,18 @@ def fixed_text(*numbers: tuple[Column, int | None]) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def render(*columns: pa.Array) -> pa.Array:
-        rows = len(columns[0])
-        texts = np.empty((rows, len(columns)), dtype=object)
-        for place, (column, count) in enumerate(zip(columns, digits)):
-            values = column.to_pylist()
-            if count is None:
-                texts[:, place] = [None if v is None else repr(v) for v in values]
-            else:
-                texts[:, place] = [None if v is None else f"{v:.{count}f}" for v in values]
+        rows, texts, places, before = len(columns[0]), [], [], 0
+        for column, count in zip(columns, digits):
+            # Equal numbers are written once; they are told apart by their bits, as -0.0 has a text of its own.
+            coded = column.view(pa.int64()).dictionary_encode()
+            values = coded.dictionary.view(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+            texts.append(pa.array([*map(repr, values)] if count is None else ((f"%.{count}f\n" * len(values)) % tuple(values)).split("\n")[:-1], pa.string()))
+            places.append(pc.add(coded.indices, before).to_numpy(zero_copy_only=False))
+            before += len(values)
+        # Nulls have no place; as numbers they come as NaN.
+        at = pa.array(np.column_stack(places).ravel(), pa.int64(), from_pandas=True)
         offsets = np.arange(0, rows * len(columns) + 1, len(columns), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(texts.ravel(), pa.string()))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(texts).take(at))
 
     return opaque(render)(*[c.cast("double") for c, _ in numbers])
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.columns import opaque
 from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
-from .vectorize import lookup_values
+from .vectorize import map_dot, placed
 
 
 WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -46,35 +48,42 @@ def top_k_features(contributions: DataFrame, k: int = 5, id_col: str = "id") ->
     )
 
 
-def _top_entries(features: Column, coefficients: dict[str, float], k: int) -> tuple[Column, Column]:
-    """The two steps of a shuffle-free top k: looked-up coefficients, then the sorted entries."""
-    keys = F.map_keys(features)
-    looked_up = lookup_values(keys, coefficients)
-
-    def ranked(found: Column) -> Column:
-        cells = F.arrays_zip(keys.alias("feature"), F.map_values(features).alias("value"), found.alias("coef"))
-        used = F.filter(cells, lambda c: c["coef"].isNotNull() & (c["value"] != 0))
-        # Sorting ascending by the negated strength, then the name.
-        entries = F.transform(used, lambda c: F.struct(
-            (-F.abs(c["value"] * c["coef"])).alias("o"), c["feature"].alias("feature"),
-            F.abs(c["value"] * c["coef"]).alias("importance_score"),
-            direction(c["coef"]).alias("contribution"), c["value"].alias("feature_value"),
-        ))
-        return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(
-            e["feature"].alias("feature"), e["importance_score"].alias("importance_score"),
-            e["contribution"].alias("contribution"), e["feature_value"].alias("feature_value"),
-        ))
-
-    return looked_up, ranked(F.col("_coefs"))
-
-
 def explain_linear(
     df: DataFrame, coefficients: dict[str, float], k: int = 5, features: str = "features",
     output: str = "top_features",
 ) -> DataFrame:
-    """Adds the k strongest features of each row as an array; no row leaves its partition."""
-    looked_up, ranked = _top_entries(F.col(features), coefficients, k)
-    return df.withColumn("_coefs", looked_up).withColumn(output, ranked).drop("_coefs")
+    """Adds the k strongest features of each row as an array; no row leaves its partition.
+
+    Equal strengths are ranked by name. Names without a coefficient and values of 0 or null are left out; a null map gives null.
+    """
+    known = {n: c for n, c in coefficients.items() if c is not None}
+    names, weights = pa.array(list(known), pa.string()), np.array([*known.values(), 0.0])
+    rank = np.empty(len(known), np.int64)
+    rank[sorted(range(len(known)), key=[n.encode() for n in known].__getitem__)] = np.arange(len(known))
+    towards = pa.array(["decreases_threat", "increases_threat"])
+    schema = T.ArrayType(T.StructType([
+        T.StructField("feature", T.StringType()), T.StructField("importance_score", T.DoubleType()), T.StructField("contribution", T.StringType()),
+        T.StructField("feature_value", df.select(features).schema[0].dataType.valueType)]))
+
+    @F.arrow_udf(schema)
+    def strongest(keys: pa.Array, values: pa.Array) -> pa.Array:
+        row, index, at = placed(keys, names)
+        numbers = values.flatten()
+        value = numbers.to_numpy(zero_copy_only=False)[at]
+        used = (value != 0) & pc.is_valid(numbers).to_numpy(zero_copy_only=False)[at]
+        row, index, at, strength = row[used], index[used], at[used], np.abs(value * weights[index])[used]
+        order = np.lexsort((rank[index], -strength, row))
+        counts = np.bincount(row, minlength=len(keys))
+        # The place of each entry among those of its row.
+        place = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept = order[place < k]
+        entries = pa.StructArray.from_arrays(
+            [names.take(pa.array(index[kept])), pa.array(strength[kept]), towards.take(pa.array((weights[index[kept]] > 0).astype(np.int8))),
+             numbers.take(pa.array(at[kept]))], schema.elementType.fieldNames())
+        offsets = np.concatenate([[0], np.cumsum(np.minimum(counts, k))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), entries, mask=pc.is_null(keys))
+
+    return df.withColumn(output, opaque(strongest)(F.map_keys(features), F.map_values(features)))
 
 
 def coefficient_table(df: DataFrame) -> DataFrame:
@@ -94,12 +103,7 @@ def score_linear(
     table = coefficient_table(coefficients)
     short = table.limit(most + 1).collect()
     if len(short) <= most:
-        found = df.withColumn("_coefs", lookup_values(F.map_keys(features), {r[0]: r[1] for r in short}))
-        products = F.zip_with(
-            F.map_values(features), F.col("_coefs"), lambda v, c: F.coalesce(v * c, F.lit(0.0))
-        )
-        total = F.coalesce(F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v), F.lit(0.0))
-        return found.withColumn("score", sigmoid(total + F.lit(intercept))).drop("_coefs")
+        return df.withColumn("score", sigmoid(map_dot(features, {r[0]: r[1] for r in short if r[0] is not None}) + F.lit(intercept)))
     # Written once, so that both readers see the same row numbers.
     rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
     cells = rows.select("_row", F.explode(features).alias("feature", "_v"))

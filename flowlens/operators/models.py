@@ -44,7 +44,11 @@ class LinearModel:
         return self.vectorizer.names(spark).select(F.col("name").alias("feature"), at("index").alias("coefficient"))
 
     def score(self, df: DataFrame, output: str = "score") -> DataFrame:
-        """Adds the attack probability."""
+        """Adds the attack probability, by the classifier's own formula in the function that looks up the names."""
+        products = self.vectorizer.products(np.asarray(self.classifier.coefficients.toArray(), float))
+        if products is not None:
+            benign = F.lit(1.0) / (F.lit(1.0) + F.exp(products + F.lit(float(self.classifier.intercept))))
+            return df.withColumn(output, F.lit(1.0) - benign)
         vectors = self.vectorizer.transform(df)
         scored = self.classifier.transform(vectors)
         probability = vector_to_array(F.col(self.classifier.getProbabilityCol()))[1]

@@ -1,4 +1,4 @@
-"""Feature maps and texts as sparse vectors: two estimators and the array lookup behind them."""
+"""Feature maps and texts as sparse vectors: two estimators and the lookup of names behind them."""
 
 import uuid
 from functools import reduce
@@ -19,20 +19,6 @@ from ..session import BROADCAST_ROW_LIMIT, materialize, shared_dir
 from .ordering import with_row_index
 
 
-def lookup_values(keys: Column, table: dict[str, float]) -> Column:
-    """For an array of names, the array of their values in `table`; null for unknown names."""
-    names = pa.array(list(table), pa.string())
-    numbers = pa.array(list(table.values()), pa.float64())
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def look_up(lists: pa.Array) -> pa.Array:
-        places = pc.index_in(lists.flatten(), value_set=names)
-        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(_offsets(lengths), numbers.take(places))
-
-    return opaque(look_up)(keys)
-
-
 def _offsets(lengths: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
@@ -50,7 +36,7 @@ def _sparse_vectors(rows: int, width: int, row: np.ndarray, index: np.ndarray, v
     )
 
 
-def _placed(lists: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def placed(lists: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, vocabulary index and position of each known name in an array column."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(lists)), lengths)
@@ -59,6 +45,35 @@ def _placed(lists: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return row[known], index[known].astype(np.int64), known
 
 
+def _dot(rows: int, row: np.ndarray, value: np.ndarray) -> pa.Array:
+    """Sums of the values by row, added up in their order."""
+    return pa.array(np.bincount(row, value, minlength=rows).astype(float))
+
+
+def map_dot(features, table: dict[str, float]) -> Column:
+    """For a map name → number, the sum of the numbers times the names' values in `table`; whatever is unknown or null counts 0."""
+    known = {n: v for n, v in table.items() if v is not None}
+    names, weights = pa.array(list(known), pa.string()), np.array([*known.values(), 0.0])
+
+    @F.arrow_udf("double")
+    def dot(keys: pa.Array, values: pa.Array) -> pa.Array:
+        row, index, at = placed(keys, names)
+        numbers = values.flatten()
+        product = numbers.to_numpy(zero_copy_only=False)[at] * weights[index]
+        if numbers.null_count:
+            product[pc.is_null(numbers).to_numpy(zero_copy_only=False)[at]] = 0.0
+        return _dot(len(keys), row, product)
+
+    return opaque(dot)(F.map_keys(features), F.map_values(features))
+
+
+def _ordered(keys: pa.Array, values: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, vocabulary index and number of each known name, sorted by row and index."""
+    row, index, known = placed(keys, names)
+    order = np.argsort(row * max(1, len(names)) + index, kind="stable")
+    return row[order], index[order], values.flatten().to_numpy(zero_copy_only=False)[known[order]]
+
+
 class _HasVocabulary(Params):
     vocabulary = Param(Params._dummy(), "vocabulary", "names in index order", TypeConverters.toListString)
 
@@ -118,13 +133,23 @@ class SparseFeatureVectorizerModel(
 
         @F.arrow_udf(VectorUDT())
         def to_vector(keys: pa.Array, values: pa.Array) -> pa.Array:
-            row, index, known = _placed(keys, names)
-            value = values.flatten().to_numpy(zero_copy_only=False)[known]
-            order = np.lexsort((index, row))
-            return _sparse_vectors(len(keys), len(names), row[order], index[order], value[order])
+            return _sparse_vectors(len(keys), len(names), *_ordered(keys, values, names))
 
         return dataset.withColumn(self.getOutputCol(), opaque(to_vector)(F.map_keys(source), F.map_values(source)))
 
+    def products(self, weights: np.ndarray) -> Column | None:
+        """Each row's vector times `weights`, without a column of vectors; none if the names lie in a table."""
+        if self.isSet(self.table):
+            return None
+        names = pa.array(self.getVocabulary(), pa.string())
+
+        @F.arrow_udf("double")
+        def dot(keys: pa.Array, values: pa.Array) -> pa.Array:
+            row, index, value = _ordered(keys, values, names)
+            return _dot(len(keys), row, value * weights[index])
+
+        return opaque(dot)(F.map_keys(self.getInputCol()), F.map_values(self.getInputCol()))
+
     def _joined(self, dataset: DataFrame) -> DataFrame:
         """As _transform, by a join of the rows' names with the table of names."""
         width = self.getOrDefault(self.size)
@@ -290,7 +315,7 @@ def _term_finder(names: list[str]):
     places = np.array([*(pairs[c] for c in codes[:-1].tolist()), -1])
 
     def find(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        row, word, at = _placed(lists, table)
+        row, word, at = placed(lists, table)
         near = np.flatnonzero((np.diff(at) == 1) & (np.diff(row) == 0))
         code = word[near] * many + word[near + 1]
         found = np.searchsorted(codes, code)
@@ -372,6 +397,17 @@ class NgramTfidfModel(
 
         return dataset.withColumn(self.getOutputCol(), opaque(to_vector)(words(self.getInputCol())))
 
+    def products(self, weights: np.ndarray) -> Column:
+        """Each row's vector times `weights`, without a column of vectors."""
+        _, weigh = self._weigher()
+
+        @F.arrow_udf("double")
+        def dot(lists: pa.Array) -> pa.Array:
+            row, index, weight = weigh(lists)
+            return _dot(len(lists), row, weight * weights[index])
+
+        return opaque(dot)(words(self.getInputCol()))
+
     def weights(self, dataset: DataFrame, output: str = "term_weights") -> DataFrame:
         """Adds the weights as a map term → weight."""
         names, weigh = self._weigher()

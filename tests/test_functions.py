@@ -96,3 +96,14 @@ def test_json_types_of_labels_and_counts(spark):
     counts = '{"window": {"event_count": 1, "dur": "1.5d", "counts_by_proto": {"a": 3.0, "b": "3.0", "c": -1, "d": 3.7, "e": "4", "f": true, "g": null, "h": "x", "i": 2}}}'
     window = parse_records(spark.createDataFrame([(counts,)], "value string")).first()["window"]
     assert window["counts_by_proto"] == {"a": 3, "c": 0, "d": 3, "e": 4, "f": 1, "i": 2} and window["dur"] == 0.0
+
+
+def test_numbers_written_once_keep_their_signs(spark):
+    from flowlens.functions.columns import fixed_text
+
+    values = [0.0, -0.0, None, float("nan"), float("inf"), -float("inf"), 2.5, 2.5, 0.125, 1e22, -1e-9, None, 0.0]
+    df = spark.createDataFrame([(i, v, None if i % 2 else i) for i, v in enumerate(values)], "id int, v double, w int").coalesce(1)
+    got = [r["t"] for r in df.orderBy("id").select(fixed_text((F.col("v"), 2), (F.col("v"), None), (F.col("w"), 0)).alias("t")).collect()]
+    plain = lambda v, n: None if v is None else repr(v) if n is None else f"{v:.{n}f}"
+    assert got == [[plain(v, 2), plain(v, None), None if i % 2 else str(i)] for i, v in enumerate(values)]
+    assert spark.range(0).select(fixed_text((F.col("id"), 1))).collect() == []

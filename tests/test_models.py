@@ -371,3 +371,40 @@ def test_texts_are_made_before_the_wide_feature_maps(spark, records):
     assert rows.columns[-3:] == ["window", "features", "window_text"]
     row = rows.first()
     assert row["window_text"].startswith("feature_schema=") and row["features"]["bytes_total"] == 1800.0
+
+
+def test_scores_and_explanations_are_single_functions_over_names(spark):
+    inf, nan = math.inf, math.nan
+    maps = [{"a": 2.0, "b": -1.0, "zz": 9.0}, {"b": 0.0, "é": 1.0, "a": -0.0}, {}, None, {"c": nan, "a": 1.0}, {"d": -inf}, {"a": None, "b": 3.0}, {"e": 2.0, "c": 2.0, "a": 1.0}]
+    df = spark.createDataFrame([*enumerate(maps)], "id int, features map<string,double>").coalesce(1)
+    weights = {"b": 0.5, "a": -1.5, "é": 2.0, "c": 1.0, "d": 1.0, "e": 1.0, "gone": None}
+    plans = []
+
+    def rows(found, column):
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return {r["id"]: r[column] for r in found.collect()}
+
+    top = rows(E.explain_linear(df, weights, 2), "top_features")
+    assert top[3] is None and top[2] == []
+    for i in (0, 1, 5, 6, 7):
+        cells = [(n, v) for n, v in maps[i].items() if v not in (None, 0.0) and weights.get(n) is not None]
+        want = sorted(((-abs(v * weights[n]), n.encode(), n, v) for n, v in cells))[:2]
+        assert [(t["feature"], t["importance_score"], t["contribution"], t["feature_value"]) for t in top[i]] == [
+            (n, -o, "increases_threat" if weights[n] > 0 else "decreases_threat", v) for o, _, n, v in want]
+    assert [t["feature"] for t in top[4]] == ["a", "c"]
+
+    table = spark.createDataFrame([(n, c) for n, c in weights.items()], "feature string, coefficient double")
+    short, long = (rows(E.score_linear(df, table, 0.25, most=most), "score") for most in (100, 1))
+    assert all(short[i] == pytest.approx(long[i], nan_ok=True) for i in short)
+
+    training = spark.createDataFrame([({"a": float(i % 5), "b": float(i % 3)} if i % 7 else {"a": 1.0}, i % 2) for i in range(60)], "features map<string,double>, label int")
+    model = ML.fit_structured(training)
+    vectors = model.classifier.transform(model.vectorizer.transform(df.filter("id <> 6")))
+    want = {r["id"]: float(r["probability"][1]) for r in vectors.collect()}
+    assert rows(model.score(df.filter("id <> 6")), "score") == pytest.approx(want, abs=1e-15, nan_ok=True)
+    texts = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(["ab cd ab", "cd ef", "", "ab", "ef ef gh", "gh ab"] * 3)], "id int, window_text string, label int")
+    text = ML.fit_text(texts)
+    want = {r["id"]: float(r["probability"][1]) for r in text.classifier.transform(text.vectorizer.transform(texts)).collect()}
+    assert rows(text.score(texts), "score") == pytest.approx(want, abs=1e-15)
+    # Neither interpreted functions of single cells nor a column of vectors.
+    assert not any("lambda" in p or "vector" in p for i, p in enumerate(plans) if i != 2)
