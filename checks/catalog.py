@@ -69,10 +69,10 @@ TIER_SQL = (f"CASE WHEN lower(trim(tier)) IN ('high', 'medium', 'low') THEN lowe
 
 # --- sources and sinks -----------------------------------------------------------
 
-def _jsonl(spark, sf):
+def _jsonl(spark, sf, **options):
     """Records of the table written as JSON lines by Spark."""
     path = _fresh(spark, "jsonl")
-    records(spark, sf).drop("flow_id", "text").write.mode("overwrite").json(path)
+    records(spark, sf).drop("flow_id", "text").write.options(**options).mode("overwrite").json(path)
     return path
 
 
@@ -1417,10 +1417,10 @@ ALERT_SQL = """hits AS (SELECT end_ms AS timestamp, CAST(flow_id AS VARCHAR) AS
   0.6e0 AS threshold, round(sbytes / 100.0e0 / (sbytes / 100.0e0 + 20.0e0), 9) AS model_score FROM flows WHERE sbytes / 100.0e0 / (sbytes / 100.0e0 + 20.0e0) >= 0.6e0)"""
 
 
-def _detected(spark, sf):
+def _detected(spark, sf, **options):
     sink = _fresh(spark, "alerts")
-    windows = SRC.read_window_stream(spark, _jsonl(spark, sf))
-    ST.detect_stream(windows, None, sink, sink + "-check", 0.6, _value_score, available_now=True).awaitTermination()
+    windows = SRC.read_window_stream(spark, _jsonl(spark, sf, **options))
+    ST.detect_stream(windows, None, sink, sink + "-check", 0.6, _value_score, available_now=True, **options).awaitTermination()
     return sink
 
 
@@ -1456,11 +1456,11 @@ def _(spark, sf):
 
 @op("st2_suppressed_repeats", f"WITH {ALERT_SQL} SELECT timestamp, window_id, model_type FROM hits")
 def _(spark, sf):
-    """The detected alerts twice over, as two folders of one stream: repeats end inside the stream."""
+    """The detected alerts twice over, as two folders of one stream: repeats end inside the stream. All three texts of the alerts lie packed on disk."""
     path = _fresh(spark, "repeated")
-    found = SRC.parse_alerts(spark.read.text(_detected(spark, sf)))
+    found = SRC.parse_alerts(spark.read.text(_detected(spark, sf, compression="gzip")))
     for _ in range(2):
-        SRC.write_alerts(found, path)
+        SRC.write_alerts(found, path, compression="gzip")
     stream = SRC.read_alert_stream(spark, path, maxFilesPerTrigger=4)
     return _drain(spark, ST.suppress_repeats(stream, "400 days")).select("timestamp", "window_id", "model_type")
 

@@ -158,12 +158,12 @@ def write_dataset(rows: DataFrame, path: str, max_rows: int = 0) -> None:
 
 
 def write_alerts(alerts: DataFrame, sink: str, **options) -> None:
-    """Alert messages to Kafka (`sink="kafka"`) or to a folder of JSONL files."""
+    """Alert messages to Kafka (`sink="kafka"`) or to a folder of JSONL files; `options` are those of the writer, such as `compression`."""
     if sink == "kafka":
         message = F.to_json(F.struct(*alerts.columns)).alias("value")
         alerts.select(message).write.format("kafka").options(**options).save()
     else:
-        alerts.write.mode("append").json(sink)
+        alerts.write.options(**options).mode("append").json(sink)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,11 @@ from ..schemas import STORE_SCHEMAS
 from ..session import cached, materialize, prepare
 from ..sources.records import labeled_rows
 from ..sources.store import AlertStore, day_of
-from .limiter import rate_limit_stream  # noqa: F401
+from .limiter import ROCKSDB, rate_limit_stream  # noqa: F401
+
+# State of many keys lies on disk and goes to the checkpoint as changes: the default provider holds all of it in the heap and writes it whole
+# every ten batches, of which the last hundred are kept. Native memory is bounded for all partitions of an executor together.
+ROCKSDB_OPTIONS = {"changelogCheckpointing.enabled": "true", "boundedMemoryUsage": "true", "maxMemoryUsageMB": "256"}
 
 
 def window_identity(records: DataFrame, now_ms: int | None = None) -> DataFrame:
@@ -117,8 +121,14 @@ def suppress_repeats(alerts: DataFrame, within: str) -> DataFrame:
 
     A key is remembered until the watermark, `within` behind the latest alert, has passed its time; then its state goes. Alerts without a
     window id match nothing, as in the store, and all go on. Spark drops alerts that come with a time behind the watermark, so `within` must
-    cover how late the source may be.
+    cover how late the source may be. The state is kept in RocksDB.
     """
+    conf = alerts.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in ROCKSDB_OPTIONS.items():
+        key = f"spark.sql.streaming.stateStore.rocksdb.{name}"
+        if conf.get(key, None) is None:
+            conf.set(key, value)
     named = F.coalesce("window_id", F.lit("")) != ""
     keyed = alerts.withColumns({
         "_at": F.timestamp_millis("timestamp"),

@@ -257,6 +257,22 @@ def test_repeats_end_inside_the_stream(spark, tmp_path):
     assert held <= 2
 
 
+def test_repeats_are_remembered_as_changes_on_disk(spark, tmp_path):
+    from flowlens.sources.records import read_alert_stream, write_alerts
+
+    rows = _messages(spark, *[(i, f"w{i % 40}") for i in range(1, 61)])
+    for _ in range(2):
+        write_alerts(rows.coalesce(1), str(tmp_path / "in"), compression="gzip")
+    assert {p.suffix for p in (tmp_path / "in").glob("part-*")} == {".gz"}
+    stream = ST.suppress_repeats(read_alert_stream(spark, str(tmp_path / "in"), maxFilesPerTrigger=1), "2 days")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["timestamp"], r["window_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((i, f"w{i % 40}") for i in range(1, 61))
+    kinds = {p.suffix for p in (tmp_path / "c" / "state").rglob("*.*") if not p.name.startswith(".")}
+    assert ".changelog" in kinds and not kinds & {".delta", ".snapshot"}
+
+
 def test_first_rows_of_files(spark, tmp_path):
     for name, n in (("b", 40), ("a", 25), ("c", 0)):
         lines = [json.dumps({"id": f"{name}{i}", "window": {"sbytes": i}}) if i % 5 else "no json" for i in range(n)]
