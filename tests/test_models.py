@@ -151,6 +151,17 @@ def test_evaluate_compare_credibility(corpus, detector):
     assert any(w.startswith("grouped") for w in cv["warnings"])
 
 
+def test_only_scored_rows_get_features(corpus, detector, monkeypatch):
+    seen = []
+    plain = P.flow_features
+    monkeypatch.setattr(P, "flow_features", lambda df, *a: (seen.append(df.count()), plain(df, *a))[1])
+    report = P.evaluate(corpus, detector)
+    compared = P.compare(corpus, ML.scorers(detector))
+    assert seen == [80, 80] and report["n_samples"] == 80 == compared[ML.STRUCTURED]["n_samples"]
+    want = P.M.evaluation(ML.score_structured(P.split_rows(P.prepared_rows(corpus, "off", 2), "time", 0.2).test, detector)).first()
+    assert {k: report[k] for k in ("tn", "fp", "fn", "tp", "roc_auc")} == {k: want[k] for k in ("tn", "fp", "fn", "tp", "roc_auc")}
+
+
 def test_model_info(spark):
     rows = [("structured_baseline", True, False, 0.3), ("tfidf_fallback", True, False, 0.5), ("distilbert", False, True, 0.5)]
     models = spark.createDataFrame(rows, "model string, available boolean, requested boolean, threshold double")
