@@ -367,7 +367,20 @@ def test_packed_blocks_lie_in_small_row_groups(spark):
     sizes = [m.row_group(i).total_byte_size for f in packs.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for i in range(m.num_row_groups)]
     assert sum(sizes) > 40 << 20 and max(sizes) < 24 << 20
     assert packs.agg(F.sum("rows")).first()[0] == 3000
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 8 << 20
+
+
+def test_fits_of_folds_run_with_small_batches(spark, monkeypatch):
+    seen, key = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def fit(*args, **options):
+        seen.append(int(spark.conf.get(key)))
+        raise RuntimeError("enough")
+
+    monkeypatch.setattr(P, "fit_folds", fit)
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError, match="enough"):
+        P.fold_metrics(spark.range(1), 2, 1)
+    assert seen == [4 << 20] and spark.conf.get(key) == before
 
 
 def test_texts_are_made_before_the_wide_feature_maps(spark, records):
