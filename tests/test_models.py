@@ -372,15 +372,21 @@ def test_packed_blocks_lie_in_small_row_groups(spark):
 def test_fits_of_folds_run_with_small_batches(spark, monkeypatch):
     seen, key = [], "spark.sql.execution.arrow.maxBytesPerBatch"
 
+    # A session of its own: one that has set a size keeps it.
+    own = spark.newSession()
+
     def fit(*args, **options):
-        seen.append(int(spark.conf.get(key)))
+        seen.append(own.conf.get(key))
         raise RuntimeError("enough")
 
     monkeypatch.setattr(P, "fit_folds", fit)
-    before = spark.conf.get(key)
-    with pytest.raises(RuntimeError, match="enough"):
-        P.fold_metrics(spark.range(1), 2, 1)
-    assert seen == [4 << 20] and spark.conf.get(key) == before
+    before = own.conf.get(key)
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="enough"):
+            P.fold_metrics(own.range(1), 2, 1)
+        assert seen[0] == str(4 << 20) and own.conf.get(key) == (before if len(seen) == 1 else "2097152")
+        own.conf.set(key, str(2 << 20))
+    assert seen[1] == str(2 << 20)
 
 
 def test_texts_are_made_before_the_wide_feature_maps(spark, records):
